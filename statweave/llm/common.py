@@ -40,15 +40,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def table_mark() -> int:
-    return len(_tables)
+def tables() -> list[str]:
+    """The intermediate tables that stand, oldest first."""
+    return list(_tables)
 
 
-def release(start: int = 0, stop: int | None = None) -> None:
-    """Deletes intermediate tables made between two marks; the frames that read them must be done with."""
+def release(paths: list[str] | None = None) -> None:
+    """Deletes intermediate tables, all by default; the frames that read them must be done with."""
     spark = SparkSession.getActiveSession()
-    paths, keep = _tables[start:stop], _tables[:start] + (_tables[stop:] if stop is not None else [])
-    _tables[:] = keep
+    paths = list(_tables) if paths is None else paths
+    _tables[:] = [p for p in _tables if p not in set(paths)]
     if spark is None or spark.sparkContext._jsc is None:
         return
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

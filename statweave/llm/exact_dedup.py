@@ -23,11 +23,11 @@ def _is_set(bitmap: Column, bit: Column) -> Column:
     return F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """rid, doc_id, chars (code points of the original text) and sha (SHA-256 of the text without white space)."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     return docs.select(
-        F.monotonically_increasing_id().alias("rid"),
+        (F.col(f"`{row_col}`") if row_col else F.monotonically_increasing_id()).alias("rid"),
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.length(text).cast("long").alias("chars"),
         F.unhex(F.sha2(F.regexp_replace(text, WHITE_SPACE, "").cast("binary"), 256)).alias("sha"),
@@ -42,18 +42,18 @@ def repeated_bits(table: DataFrame, blocks: int) -> DataFrame:
     return hits.groupBy(F.floor(F.col("at") / BLOCK_BITS).cast("long").alias("block")).agg(F.bitmap_construct_agg(F.col("at") % BLOCK_BITS).alias("bitmap"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, broadcast_mb: int = 64, hot_groups: int = 1000) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, bits_per_row: int = 16, broadcast_mb: int = 64, hot_groups: int = 1000) -> DataFrame:
     """One row for each input row: doc_id, keep_id, group_size, kept, text_sha256, and rid, a row number.
 
     Equal texts are equal after removal of [\\x20\\x09-\\x0D]; the row with the most code points, then the
     smallest doc_id, then the first of fully repeated rows stays. Null text counts as empty (all empty and
     blank texts are one group); a null doc_id comes after all others; an empty table gives an empty result;
-    other columns, whatever their names, are ignored.
+    other columns, whatever their names, are ignored. row_col: a column that already numbers the rows.
 
     The filter takes bits_per_row bits a row. It is broadcast while it has at most broadcast_mb, and beyond
     that probed by a shuffle of digests by block.
     """
-    table = materialise(digests(docs, id_col, text_col), "digests")
+    table = materialise(digests(docs, id_col, text_col, row_col), "digests")
     total = table.count()
     blocks = max(1, -(-total * bits_per_row // BLOCK_BITS))
     filter_ = repeated_bits(table, blocks)
