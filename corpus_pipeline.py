@@ -1,7 +1,89 @@
-"""The corpus pipeline; its stages are filled in as the operators are done."""
+"""From documents to packed sequences: language, quality, exact copies, near copies, packing.
+
+Each stage works on all that the one before it kept. Its result is written and read again before the next
+stage is called, so a stage's intermediate tables are deleted when the next begins.
+"""
+
 from __future__ import annotations
+
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
-STAGES: list = []
-ORACLE_SQL = None
+from pyspark.sql import functions as F
+
+from statweave.llm import common, exact_dedup, langid, packing, quality_gbt, simhash
+
+#: Below this score a language is not taken as known, and the document goes.
+LEAST_LANGUAGE_SCORE = 0.2
+#: Documents with a lower probability of quality go.
+LEAST_QUALITY = 0.3
+ROW = "__row"
+
+_before: list[str] = []
+
+
+def _stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.release(_before)
+        standing = set(common.tables())
+        out = function(spark, docs, sf_dir)
+        _before[:] = [t for t in common.tables() if t not in standing]
+        return out
+
+    return run
+
+
+@_stage
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language is recognised."""
+    predict = langid.predictor(langid.train(docs))
+    found = docs.withColumn(ROW, predict(F.col("text")))
+    return found.where((F.col(ROW)["lang"] != langid.UNKNOWN) & (F.col(ROW)["score"] >= LEAST_LANGUAGE_SCORE)).drop(ROW)
+
+
+@_stage
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that the quality classifier accepts."""
+    score = quality_gbt.scorer(quality_gbt.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return docs.withColumn(ROW, score(F.col("text"))).where(F.col(ROW) >= LEAST_QUALITY).drop(ROW)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    return common.materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+@_stage
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of equal texts."""
+    rows = _numbered(docs)
+    kept = exact_dedup.exact_dedup(rows, row_col=ROW).where("kept").select(F.col("rid").alias(ROW))
+    return rows.join(kept, ROW, "left_semi").drop(ROW)
+
+
+@_stage
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest document, by id, of each group linked by SimHash."""
+    rows = _numbered(docs)
+    groups = simhash.simhash_groups(rows, row_col=ROW).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = groups.groupBy("component_id").agg(F.min("rid").alias(ROW)).select(ROW)
+    return rows.join(kept, ROW, "left_semi").drop(ROW)
+
+
+@_stage
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [("language", known_language), ("quality", good_quality), ("exact_dedup", without_copies), ("near_dedup", without_near_copies), ("packing", packed)]
+ORACLE_SQL = None  # three stages are models or searches that SQL doesn't express
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last: list[str] = []
+    for name, stage in STAGES:
+        docs = common.materialise(stage(spark, docs, sf_dir), name)
+        common.release(last)
+        last = common.tables()[-1:]
+    common.release(_before)
+    return docs
