@@ -7,6 +7,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # They define what a number and a sentence with figures are.
 NUMBER = r"-?\d+(?:,\d{3})*(?:\.\d+)?(?:\s*%)?"
@@ -48,7 +49,7 @@ def rounded(values: Column) -> Column:
     return F.array_distinct(F.transform(values, lambda x: F.round(x, 4)))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def nfc(text: pa.Array) -> pa.Array:
     """Canonical composition; Arrow-batched Python, as the JVM side has no such function."""
     return pa.array([None if x is None else unicodedata.normalize("NFC", x) for x in text.to_pylist()], pa.string())

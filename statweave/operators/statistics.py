@@ -47,7 +47,7 @@ def paired_bootstrap(pairs: DataFrame, keys: list[str], rounds: int = 10_000, se
 
     A replicate's mean difference depends only on how many pairs of each kind it draws, so a group is its four
     counts whatever its size, and replicates are multinomial draws."""
-    counts = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if("x > y").alias("up"), F.count_if("x < y").alias("down"))
+    counts = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x") > F.col("y")).alias("up"), F.count_if(F.col("x") < F.col("y")).alias("down"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.schema if f.name in keys)
 
     def draw(rows: pd.DataFrame) -> pd.DataFrame:
