@@ -23,7 +23,7 @@ FAMILIES = {
     "uralic": "fi et hu".split(), "turkic": "tr az kk uz ky tk".split(), "indic": "hi ur bn mr gu pa ne".split(), "semitic": "ar he am mt".split(),
 }
 #: Rows of each language that are learned from, about; at most LANGUAGES of them are learned.
-TRAIN_ROWS, LANGUAGES = 1200, 64
+TRAIN_ROWS, LANGUAGES = 800, 64
 DIMENSIONS = 4096
 UNKNOWN = "und"
 
@@ -68,18 +68,17 @@ def fit_svm(x: np.ndarray, positive: np.ndarray, cost: float = 20.0, rounds: int
     """Weights and, last, the bias of a linear machine: squared hinge loss, the classes weighing alike, by
     accelerated gradient steps."""
     n = len(x)
-    x = np.hstack([x, np.ones((n, 1), np.float32)])
     y = np.where(positive, 1, -1).astype(np.float32)
     weight = np.where(positive, 0.5 / max(1, positive.sum()), 0.5 / max(1, n - positive.sum())).astype(np.float32) * cost
-    w = momentum = np.zeros(x.shape[1], np.float32)
+    w = momentum = np.zeros(x.shape[1] + 1, np.float32)
     step = 1 / (1 + 2 * cost * 2)
     t = 1.0
     for _ in range(rounds):
-        slack = np.maximum(0, 1 - y * (x @ momentum))
-        new = momentum - step * (momentum - 2 * (weight * y * slack) @ x)
+        slack = weight * y * np.maximum(0, 1 - y * (x @ momentum[:-1] + momentum[-1]))
+        new = momentum - step * (momentum - 2 * np.append(slack @ x, slack.sum()))
         after = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        momentum = new + np.float32((t - 1) / after) * (new - w)
-        w, t = new, after
+        momentum = (new + (t - 1) / after * (new - w)).astype(np.float32)
+        w, t = new.astype(np.float32), after
     return w
 
 
@@ -146,7 +145,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     x = np.zeros((len(languages), DIMENSIONS), np.float32)
     for i, row in enumerate(got.column("x").combine_chunks() if got.num_rows else []):
         x[i, row["at"].values.to_numpy()] = row["n"].values.to_numpy()
-    order = np.lexsort((x[:, 0], np.array([str(v) for v in got.column("id").to_pylist()]))) if len(languages) else np.zeros(0, int)
+    ids = [str(v) for v in got.column("id").to_pylist()]
+    del got
+    order = np.lexsort((x[:, 0], np.array(ids))) if len(languages) else np.zeros(0, int)
     x, languages = x[order], np.array(languages, object)[order]  # the same sums whatever the order of arrival
     names = sorted(set(languages))
     members: dict[str, list[str]] = {}
