@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from statweave.session import cut_lineage
+
 
 def breadth_first(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
     """edges (parent, child), roots (node): node, depth of first discovery. One join a level; what is seen is
@@ -13,7 +15,9 @@ def breadth_first(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFra
     frontier = seen
     for depth in range(1, max_depth + 1):
         new = frontier.join(edges, frontier["node"] == edges["parent"]).select(F.col("child").alias("node")).distinct()
-        frontier = new.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth).cast("long"))
+        frontier = cut_lineage(new.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth).cast("long")))
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen
 
@@ -28,7 +32,8 @@ def propagate_labels(edges: DataFrame, rounds: int) -> DataFrame:
     frequent among its neighbours, of several the least. Deterministic; node, community."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
     labels = both.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node"))
-    for _ in range(rounds):
+    for i in range(rounds):
+        labels = cut_lineage(labels) if i else labels
         votes = both.join(labels, both["dst"] == labels["node"]).groupBy("src", "community").agg(F.count(F.lit(1)).alias("n"))
         labels = votes.groupBy(F.col("src").alias("node")).agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("m")).select("node", F.col("m.community").alias("community"))
     return labels

@@ -152,3 +152,9 @@ def _finder(held):
         return pa.array([sorted({i for _, hits in found.iter(x or "") for i in hits}) for x in column.to_pylist()], pa.list_(pa.int32()))
 
     return find
+
+
+def first_hits(hits: DataFrame, n: int) -> DataFrame:
+    """The n best of each query by rank, ranked anew."""
+    order = Window.partitionBy("qid").orderBy("rank", *[c for c in hits.columns if c not in ("qid", "rank")])
+    return hits.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= n)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "statweave", master: str | None = None, **settings: str) -> SparkSession:
@@ -17,3 +19,12 @@ def session(app: str = "statweave", master: str | None = None, **settings: str)
     for key, value in (defaults | settings).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df from a checkpoint in the folder that spark.checkpoint.dir names, so that a loop's plan stays small and
+    a lost executor costs no recomputation; only where the setting is missing is a local folder taken."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="statweave-"))
+    return df.checkpoint()
