@@ -67,9 +67,9 @@ SELECT q.qid, coalesce(c.kept, 0) AS kept, c.kept IS NULL AS zero_shot, c.contex
  (SELECT qid, count(*) AS kept, string_agg('[' || rank || '] ' || document, chr(10) ORDER BY rank) AS context FROM N JOIN K USING (id) WHERE distance <= 0.7 GROUP BY qid) c USING (qid)""")
 def retrieve_context(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: nearest facts without held-out topics, the distance gate, numbered context, fallback flag."""
-    near = nearest(spark, d).where("distance <= 0.7")
+    near = nearest(spark, d).where("distance <= 0.7").join(documents_of(spark, d), "id")
     queries = X.vectors(spark, d).where("id % 50 = 0").select(F.col("id").alias("qid"))
-    context = R.numbered_context(near.join(documents_of(spark, d), "id"), "document")
+    context = R.numbered_context(near, "document")
     return R.gate(near, queries, 0.7).join(context, "qid", "left")
 
 
