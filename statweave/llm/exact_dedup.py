@@ -51,15 +51,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     other columns, whatever their names, are ignored. row_col: a column that already numbers the rows.
 
     The filter takes bits_per_row bits a row. It is broadcast while it has at most broadcast_mb, and beyond
-    that probed by a shuffle of digests by block.
+    that probed by a shuffle of digests by block, of which the hot ones, at most hot_groups of BLOCK_BITS bits
+    each, are broadcast.
     """
     table = materialise(digests(docs, id_col, text_col, row_col), "digests")
     total = table.count()
     blocks = max(1, -(-total * bits_per_row // BLOCK_BITS))
     filter_ = repeated_bits(table, blocks)
+    keyed = table.withColumn("block", F.pmod(F.xxhash64("sha"), F.lit(blocks)))
     if blocks * BLOCK_BITS // 8 <= broadcast_mb << 20:
-        filter_ = F.broadcast(filter_)
-    probed = table.withColumn("block", F.pmod(F.xxhash64("sha"), F.lit(blocks))).join(filter_, "block", "left")
+        probed = keyed.join(F.broadcast(filter_), "block", "left")
+    else:  # a text with very many copies makes its block hot
+        filter_ = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("rows")).join(filter_, "block", "left")
+        probed = attach_group(keyed, materialise(filter_, "filter"), "block", "rows", total, hot_groups)
     bit = lambda k: F.pmod(F.xxhash64("sha", F.lit(k)), F.lit(BLOCK_BITS))
     probed = materialise(probed.select("rid", "doc_id", "chars", "sha", (_is_set(F.col("bitmap"), bit(1)) & _is_set(F.col("bitmap"), bit(2))).alias("maybe")), "probed")
     maybe = probed.where("maybe").drop("maybe")
