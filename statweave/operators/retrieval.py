@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_, or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statweave.functions.vectors import cosine
@@ -15,6 +17,23 @@ from statweave.functions.vectors import cosine
 QUERY_BYTES = 32 << 20
 
 
+def metadata_condition(where: dict) -> Column:
+    """A filter over metadata columns, to be applied before ranking. Keys are columns with a value (equality) or
+    {"$eq" | "$ne" | "$in" | "$nin": ...}; "$and" and "$or" hold lists of filters; keys beside each other all
+    must hold. A null doesn't equal any value, so "$ne" and "$nin" keep it."""
+    parts = []
+    for key, want in where.items():
+        if key in ("$and", "$or"):
+            parts.append(reduce(and_ if key == "$and" else or_, map(metadata_condition, want)))
+            continue
+        for op, value in (want if isinstance(want, dict) else {"$eq": want}).items():
+            if op not in ("$eq", "$ne", "$in", "$nin"):
+                raise ValueError(f"unknown operator {op}")
+            held = F.coalesce(F.col(key).isin(*(value if op in ("$in", "$nin") else [value])), F.lit(False))
+            parts.append(~held if op in ("$ne", "$nin") else held)
+    return reduce(and_, parts, F.lit(True))
+
+
 def exclude(index: DataFrame, column: str, held_out: DataFrame) -> DataFrame:
     """Rows whose column is not in the held-out set; null stays."""
     return index.join(held_out.select(F.col(held_out.columns[0]).alias(column)).distinct(), column, "left_anti")

@@ -15,6 +15,18 @@ def mcnemar(pairs: DataFrame, *keys: str) -> DataFrame:
     return t.withColumn("p", F.round(exact_binomial(F.col("n10"), F.col("n01")), 5))
 
 
+def contrasts(vectors: DataFrame, named: dict[str, tuple[str, str]]) -> DataFrame:
+    """For each named pair of methods, over all models pooled: contrast, the 2x2 counts, exact p, and delta, the
+    difference of means. vectors: model, method, question, nem; read and shuffled once for all pairs."""
+    arms = [(name, side, method) for name, pair in named.items() for side, method in zip("xy", pair, strict=True)]
+    arm = F.array(*[F.struct(F.lit(name).alias("contrast"), F.lit(side).alias("side"), F.lit(method).alias("of")) for name, side, method in arms])
+    rows = vectors.select("model", "question", "nem", F.explode(F.filter(arm, lambda a: a["of"] == F.col("method"))).alias("arm")).select("*", "arm.contrast", "arm.side")
+    side = lambda s: F.max(F.when(F.col("side") == s, F.col("nem"))).alias(s)
+    pairs = rows.groupBy("contrast", "model", "question").agg(side("x"), side("y")).dropna(subset=["x", "y"])
+    n = F.col("n11") + F.col("n10") + F.col("n01") + F.col("n00")
+    return mcnemar(pairs, "contrast").withColumn("delta", F.round((F.col("n10") - F.col("n01")) / n, 6))
+
+
 def log_factorial(n: Column) -> Column:
     return F.when(n < 2, 0.0).otherwise(F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(n, F.lit(1)).cast("long")), F.lit(0.0), lambda s, i: s + F.ln(i.cast("double"))))
 

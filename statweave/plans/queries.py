@@ -355,6 +355,19 @@ def community_labels(spark: SparkSession, d: str) -> DataFrame:
     return G.propagate_labels(some_edges(spark, d), 2)
 
 
+@query(with_(SOME_EDGES) + VOTES + """, J AS (SELECT a.community AS c, b.community AS e FROM X JOIN L2 a ON X.src = a.node JOIN L2 b ON X.dst = b.node),
+U AS (SELECT c, count(*) AS total, count(*) FILTER (c = e) AS inside FROM J GROUP BY c)
+SELECT round(sum(inside) * 1.0 / sum(total) - sum(total * total) * 1.0 / (sum(total) * sum(total)), 6) AS modularity FROM U""")
+def modularity_score(spark: SparkSession, d: str) -> DataFrame:
+    edges_ = some_edges(spark, d)
+    return G.modularity(G.weighted(edges_), G.propagate_labels(edges_, 2)).select(F.round("modularity", 6).alias("modularity"))
+
+
+@query()
+def modularity_communities(spark: SparkSession, d: str) -> DataFrame:
+    return G.modularity_communities(some_edges(spark, d))
+
+
 @query(with_(SOME_EDGES) + VOTES + "SELECT community, count(*) AS size, string_agg(node, '; ' ORDER BY node) FILTER (r <= 20) AS members FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY node) AS r FROM L2) z GROUP BY community")
 def community_members(spark: SparkSession, d: str) -> DataFrame:
     return G.community_table(G.propagate_labels(some_edges(spark, d), 2))
@@ -464,6 +477,51 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     return S.paired_bootstrap(pairs(spark, d), ["model"])
 
 
+CONTRASTS = {"recovery": ("kg", "zero"), "algorithm": ("kg", "rag"), "parity": ("rag", "zero")}
+EXACT_P = "CASE WHEN n10 + n01 = 0 THEN 1.0 ELSE least(1.0, 2 * (SELECT sum(exp(lgamma(n10 + n01 + 1) - lgamma(i + 1) - lgamma(n10 + n01 - i + 1) + (n10 + n01) * ln(0.5))) FROM (SELECT unnest(range(0, 100000)) AS i) r WHERE i <= least(n10, n01))) END"
+
+
+@query(with_(X.SCORED) + f""", W AS (SELECT contrast, a.nem AS x, b.nem AS y FROM (VALUES ('recovery', 'kg', 'zero'), ('algorithm', 'kg', 'rag'), ('parity', 'rag', 'zero')) v(contrast, m1, m2) JOIN F a ON a.method = m1 JOIN F b ON b.method = m2 AND b.model = a.model AND b.question = a.question WHERE a.error IS NULL AND b.error IS NULL),
+C AS (SELECT contrast, count(*) FILTER (x = 1 AND y = 1) AS n11, count(*) FILTER (x = 1 AND y = 0) AS n10, count(*) FILTER (x = 0 AND y = 1) AS n01, count(*) FILTER (x = 0 AND y = 0) AS n00 FROM W GROUP BY contrast)
+SELECT contrast, n11, n10, n01, n00, round({EXACT_P}, 5) AS p, round((n10 - n01) * 1.0 / (n11 + n10 + n01 + n00), 6) AS delta FROM C""")
+def pooled_contrasts(spark: SparkSession, d: str) -> DataFrame:
+    return S.contrasts(E.score_vectors(scored(spark, d), "rid"), CONTRASTS)
+
+
+@query(with_(X.TRIPLES) + r"""SELECT text AS title, count(*) AS n FROM (SELECT subject AS text FROM T UNION ALL SELECT object FROM T) z
+WHERE length(text) > 3 AND length(text) < 200 AND NOT regexp_matches(text, '^[\d\s.,%$€£-]+$') AND NOT regexp_matches(text, '^\d') GROUP BY text""")
+def title_candidates(spark: SparkSession, d: str) -> DataFrame:
+    t = X.triples(spark, d)
+    texts = t.select(F.explode(F.array("subject", "object")).alias("title"))
+    return texts.where(T.title_candidate(F.col("title"))).groupBy("title").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH V AS (SELECT CAST(vec_id AS BIGINT) AS id, CAST(label AS BIGINT) AS label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+D AS (SELECT q.id AS qid, x.id, 1 - list_cosine_similarity(q.v, x.v) AS distance FROM V q, V x WHERE q.id % 50 = 0 AND (x.label = 1 OR (x.label <> 2 AND x.id % 2 = 0)))
+SELECT qid, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank FROM D) z WHERE rank <= 5""")
+def metadata_filter_topk(spark: SparkSession, d: str) -> DataFrame:
+    index = X.vectors(spark, d)
+    queries_ = index.where("id % 50 = 0").select(F.col("id").alias("qid"), "vector")
+    where = {"$or": [{"label": 1}, {"$and": [{"label": {"$nin": [2]}}, {"parity": 0}]}]}
+    allowed = index.withColumn("parity", F.col("id") % 2).where(R.metadata_condition(where)).select("id", "vector")
+    return R.cosine_topk(queries_, allowed, 5).select("qid", "id", "rank")
+
+
+@query(with_(NEAREST, X.TRIPLES, FACTS) + r""", C AS (SELECT qid, string_agg('[' || rank || '] ' || document, chr(10) ORDER BY rank) AS structured, 'According to the available data, ' || string_agg(regexp_replace(regexp_replace(document, '^The ', 'the '), '\.+$', ''), '. ' ORDER BY rank) || '.' AS prose FROM N JOIN K USING (id) GROUP BY qid)
+SELECT format, count(*) AS n, round(avg(length(context)), 4) AS mean_chars FROM (SELECT 'structured' AS format, structured AS context FROM C UNION ALL SELECT 'prose', prose FROM C) z GROUP BY format""")
+def format_ablation(spark: SparkSession, d: str) -> DataFrame:
+    hits = nearest(spark, d).join(documents_of(spark, d), "id")
+    forms = R.numbered_context(hits, "document").select(F.lit("structured").alias("format"), "context").unionByName(R.prose_context(hits, "document").select(F.lit("prose").alias("format"), "context"))
+    return forms.groupBy("format").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.length("context")), 4).alias("mean_chars"))
+
+
+@query(with_(X.SCORED) + """, G AS (SELECT tokens // 100 / 5.0 AS temperature, round(avg(nem) FILTER (method = 'kg'), 6) AS first, round(avg(nem) FILTER (method = 'zero'), 6) AS second FROM F GROUP BY ALL)
+SELECT temperature, coalesce(first, 0.0) AS first, coalesce(second, 0.0) AS second, round(coalesce(first, 0.0) - coalesce(second, 0.0), 6) AS delta FROM G""")
+def temperature_sweep(spark: SparkSession, d: str) -> DataFrame:
+    rows = scored(spark, d).withColumn("nem", M.nem(F.col("answer"), F.col("gold_numbers"))).withColumn("temperature", F.col("tokens") / 100 / 5.0)
+    return E.delta(rows, ["temperature"], "method", "kg", "zero", "nem")
+
+
 @query("""WITH N AS (SELECT quality AS a, toxic AS b FROM labels), C AS (SELECT a, b, count(*) AS n FROM N GROUP BY ALL),
 Z AS (SELECT (SELECT count(*) FROM N) AS n, (SELECT sum(n) FROM C WHERE a = b) * 1.0 / (SELECT count(*) FROM N) AS po, (SELECT sum(x * y) FROM (SELECT a, sum(n) AS x FROM C GROUP BY a) r JOIN (SELECT b, sum(n) AS y FROM C GROUP BY b) s ON a = b) * 1.0 / (SELECT count(*) * count(*) FROM N) AS pe)
 SELECT n, round(po, 6) AS agreement, round(pe, 6) AS expected, round((po - pe) / (1 - pe), 6) AS kappa, CASE WHEN (po - pe) / (1 - pe) >= 0.81 THEN 'Almost perfect' WHEN (po - pe) / (1 - pe) >= 0.61 THEN 'Substantial' WHEN (po - pe) / (1 - pe) >= 0.41 THEN 'Moderate' WHEN (po - pe) / (1 - pe) >= 0.21 THEN 'Fair' ELSE 'Slight/Poor' END AS interpretation FROM Z""")

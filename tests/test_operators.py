@@ -80,6 +80,28 @@ def test_search_ends_on_cycles(spark):
     assert got == {"a": 0, "b": 1, "c": 1, "d": 2}
 
 
+def test_modularity(spark):
+    ring = [(f"{c}{i}", f"{c}{j}") for c in "abcd" for i in range(5) for j in range(i)] + [("a0", "b1"), ("b0", "c1"), ("c0", "d1"), ("d0", "a1"), ("a0", "a0"), ("b1", "a0")]
+    edges = spark.createDataFrame(ring, "src string, dst string")
+    got = G.modularity_communities(edges)
+    groups = {}
+    for node, community in got.collect():
+        groups.setdefault(community, set()).add(node)
+    assert sorted(map(sorted, groups.values())) == [[f"{c}{i}" for i in range(5)] for c in "abcd"]
+    assert G.modularity(G.weighted(edges), got).first().modularity == pytest.approx(80 / 88 - 4 * (22 / 88) ** 2)
+    empty = edges.where("false")
+    assert G.modularity_communities(empty).count() == 0 and G.modularity(G.weighted(empty), got).first().modularity is None
+
+
+def test_metadata_condition(spark):
+    rows = spark.createDataFrame([("x", 1), ("y", 2), (None, 3)], "topic string, n int")
+    keep = lambda where: sorted(r.n for r in rows.where(R.metadata_condition(where)).collect())
+    assert keep({}) == [1, 2, 3] and keep({"topic": "x"}) == [1] and keep({"topic": {"$nin": ["x"]}}) == [2, 3]
+    assert keep({"$or": [{"topic": "x"}, {"$and": [{"n": {"$in": [2, 3]}}, {"topic": {"$ne": "y"}}]}]}) == [1, 3]
+    with pytest.raises(ValueError, match="unknown"):
+        R.metadata_condition({"n": {"$gt": 1}})
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "t.txt").write_text(" a \n\nb\n")
     assert [r.topic for r in files.topics(spark, str(tmp_path / "t.txt")).collect()] == ["a", "b"]
