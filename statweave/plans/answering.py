@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statweave.operators import retrieval as R
@@ -55,6 +55,19 @@ def community_retrieval(questions: DataFrame, entities: DataFrame, reports: Data
     return _ask(questions, R.numbered_context(found, "summary"), call, "community")
 
 
+def hybrid_retrieval(questions: DataFrame, entities: DataFrame, relations: DataFrame, chunks: DataFrame, embed: V.Embedder, call: V.Generator, k: int = 10) -> DataFrame:
+    """The nearest entities, the nearest relations and the chunks of either, as one context in that order.
+    entities: id, vector, entity, document; relations: id, vector, src, dst, document; chunks: entity, document."""
+    near = _hits(questions, entities, embed, k, None)
+    tied = _hits(questions, relations, embed, k, None)
+    named = near.select("qid", "entity", "rank").unionByName(tied.select("qid", F.explode(F.array("src", "dst")).alias("entity"), (F.col("rank") + k).alias("rank")))
+    text = named.groupBy("qid", "entity").agg(F.min("rank").alias("rank")).join(chunks, "entity").groupBy("qid", "document").agg(F.min("rank").alias("rank"))
+    part = lambda df, n: df.select("qid", "document", F.lit(n).alias("part"), F.col("rank").alias("at"))
+    found = part(near, 0).unionByName(part(tied, 1)).unionByName(part(R.first_hits(text.withColumn("rank", F.col("rank").cast("long")), k), 2))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("part", "at", "document")).cast("long"))
+    return _ask(questions, R.numbered_context(ranked, "document"), call, "hybrid")
+
+
 def verified(questions: DataFrame, index: DataFrame, embed: V.Embedder, draft: V.Generator, verify: V.Generator, revise: V.Generator, k: int = 5) -> DataFrame:
     """Draft, check against retrieved facts, revise only what the check calls CONTRADICTED."""
     first = zero_shot(questions, draft).select("qid", "question", F.col("answer").alias("draft"))
@@ -79,7 +92,7 @@ def _revised(drafts: DataFrame, verify: V.Generator, revise: V.Generator, word:
     return again.unionByName(kept).withColumn("method", F.lit(method))
 
 
-METHODS: dict[str, Callable[..., DataFrame]] = {"zero_shot": zero_shot, "kg_retrieval": kg_retrieval, "hpti": kg_retrieval, "standard_rag": kg_retrieval, "graph_rag": graph_retrieval, "community": community_retrieval, "conli": verified, "cove": self_verified}
+METHODS: dict[str, Callable[..., DataFrame]] = {"zero_shot": zero_shot, "kg_retrieval": kg_retrieval, "hpti": kg_retrieval, "standard_rag": kg_retrieval, "graph_rag": graph_retrieval, "community": community_retrieval, "hybrid": hybrid_retrieval, "conli": verified, "cove": self_verified}
 
 
 def run(method: str, *args: object, **settings: object) -> DataFrame:

@@ -634,7 +634,4 @@ def verdict_keywords(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_type, count(*) AS n, max(value) FILTER (i = floor(0.95 * c)) AS p95 FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS c FROM events) z GROUP BY event_type")
 def latency_p95_index(spark: SparkSession, d: str) -> DataFrame:
-    e = X.table(spark, d, "events").select("event_type", "value")
-    n = e.groupBy("event_type").agg(F.count("value").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("event_type").orderBy("value"))
-    return e.withColumn("r", rank).join(F.broadcast(n), "event_type").where(F.col("r") == F.floor(0.95 * F.col("n")) + 1).select("event_type", "n", F.col("value").alias("p95"))
+    return E.percentile_index(X.table(spark, d, "events"), ["event_type"], "value", 0.95, "p95")

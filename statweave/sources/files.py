@@ -79,3 +79,25 @@ def index_where(spark: SparkSession, path: str, condition: str) -> DataFrame:
     """Rows without their vectors; the scan leaves that column out."""
     rows = spark.read.parquet(path)
     return rows.select(*[c for c in rows.columns if c != "vector"]).where(condition)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """A report as one indented JSON array in one text file; for aggregates, whose rows one task holds."""
+    rows = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"pretty": "true"}).alias("row"))
+    whole = rows.agg(F.concat(F.lit("["), F.coalesce(F.array_join(F.sort_array(F.collect_list("row")), ",\n"), F.lit("")), F.lit("]")).alias("value"))
+    whole.coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_tsv(df: DataFrame, path: str, by: str = "title") -> None:
+    """Tab-separated rows sorted by a column, over as many files as the sort makes; their names are in order."""
+    df.orderBy(by).write.mode("overwrite").option("header", "false").option("emptyValue", "").csv(path, sep="\t")
+
+
+def write_topics(topics_: DataFrame, path: str, backup: str) -> None:
+    """One title a line, in order. What stood at path is kept at backup, once: a later call leaves the backup alone."""
+    spark = topics_.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    there = lambda p: (lambda f: f.getFileSystem(conf).exists(f))(jvm.org.apache.hadoop.fs.Path(p))
+    if there(path) and not there(backup):
+        spark.read.text(path).write.text(backup)
+    topics_.select(F.col("topic").alias("value")).orderBy("value").write.mode("overwrite").text(path)

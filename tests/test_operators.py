@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from statweave.functions import metrics as M
 from statweave.functions import text as T
+from statweave.operators import evaluation as E
 from statweave.operators import graph as G
 from statweave.operators import retrieval as R
 from statweave.operators import statistics as S
 from statweave.operators import triples as K
 from statweave.plans import answering, queries
-from statweave.sources import files, services
+from statweave.sources import files, remote, services
 from statweave.streaming import resume
 
 DATA = "/root/testdata/sf0.001"
@@ -102,6 +103,73 @@ def test_metadata_condition(spark):
         R.metadata_condition({"n": {"$gt": 1}})
 
 
+def test_percentile_by_index(spark):
+    rows = spark.range(60_001).selectExpr("id % 3 as g", "cast(if(id % 3 = 1, id * 7919 % 20011, id % 5) as double) as v").unionByName(spark.createDataFrame([(9, 4.0), (8, None), (9, None)], "g long, v double"))
+    values = {}
+    for g, v in rows.where("v is not null").collect():
+        values.setdefault(g, []).append(v)
+    for share in (0.0, 0.5, 0.95, 0.99999):
+        got = {r.g: (r.n, r.p) for r in E.percentile_index(rows, ["g"], "v", share, "p").collect()}
+        assert got == {g: (len(v), sorted(v)[int(share * len(v))]) for g, v in values.items()}
+
+
+def _listing(key, token):
+    if key == "bad":
+        raise ValueError("no such list")
+    start = int(token or 0)
+    items = [f"Category:{key}{i}" for i in range(5)][start : start + 2]
+    return items, str(start + 2) if start + 2 < 5 else None
+
+
+def _targets(keys):
+    if "fail" in keys:
+        raise ValueError("down")
+    return [(k, k.upper()) for k in keys if k != "none"]
+
+
+def test_remote(spark):
+    keys = spark.createDataFrame([("a",), ("b",), ("a",), ("bad",), (None,)], "topic string")
+    got = remote.paged(keys, "topic", _listing, wait=0.0).collect()
+    assert sorted((r.key, r.position) for r in got if r.error is None) == [(k, i) for k in "ab" for i in range(5)]
+    assert [(r.key, "no such list" in r.error) for r in got if r.error] == [("bad", True)]
+    shown = remote.visible_categories(remote.paged(keys, "topic", _listing, wait=0.0), ("a0", "b4"))
+    assert sorted(r.item for r in shown.collect()) == ["a1", "a2", "a3", "a4", "b0", "b1", "b2", "b3"]
+    names = spark.createDataFrame([("x",), ("y",), ("Z",), ("none",)], "topic string")
+    found = remote.looked_up(names, "topic", _targets, batch=2, wait=0.0)
+    other = found.where("key = 'x'").withColumn("item", F.lit("other"))
+    assert sorted(map(tuple, remote.aliases(found, other).collect())) == [("x", "X"), ("y", "Y")]
+    assert [r.key for r in remote.looked_up(names.limit(0).union(spark.sql("select 'fail'")), "topic", _targets, wait=0.0).where("error is not null").collect()] == ["fail"]
+    now, slept = [0.0], []
+    throttle = remote.Throttle(2, 60.0, lambda: now[0], lambda s: (slept.append(s), now.__setitem__(0, now[0] + s)))
+    for _ in range(5):
+        throttle.wait()
+    assert slept == [60.0, 60.0]
+
+
+def test_reports(spark, tmp_path):
+    rows = spark.createDataFrame([("b", 2), ("a", 1)], "title string, depth int")
+    files.write_json(rows, str(tmp_path / "j"))
+    text = "".join(open(f, encoding="utf-8").read() for f in sorted(glob.glob(f"{tmp_path}/j/part-*")))
+    assert sorted(json.loads(text), key=lambda r: r["depth"]) == [{"title": "a", "depth": 1}, {"title": "b", "depth": 2}]
+    files.write_tsv(rows.select("depth", "title"), str(tmp_path / "t"))
+    assert [x for f in sorted(glob.glob(f"{tmp_path}/t/part-*")) for x in open(f, encoding="utf-8").read().split("\n") if x] == ["1\ta", "2\tb"]
+    for titles in (["x"], ["y", "x"], ["z"]):
+        files.write_topics(spark.createDataFrame([(t,) for t in titles], "topic string"), str(tmp_path / "p"), str(tmp_path / "b"))
+    read = lambda p: sorted(r.topic for r in files.topics(spark, str(tmp_path / p)).collect())
+    assert (read("p"), read("b")) == (["z"], ["x"])
+
+
+def test_hybrid(spark):
+    embed, echo = services.hashed_embedder(), services.echo_generator()
+    entities = services.embed(spark.createDataFrame([(1, "sun", "sun power"), (2, "sea", "sea water")], "id long, entity string, document string"), "document", embed)
+    relations = services.embed(spark.createDataFrame([(1, "sun", "sea", "sun heats sea")], "id long, src string, dst string, document string"), "document", embed)
+    chunks = spark.createDataFrame([("sun", "the sun is 5"), ("sea", "the sea is 7"), ("moon", "the moon")], "entity string, document string")
+    ask = spark.createDataFrame([(1, "sun power")], "qid long, question string")
+    got = answering.run("hybrid", ask, entities, relations, chunks, embed, echo, k=2).first()
+    lines = got.context.split("\n")
+    assert got.method == "hybrid" and "sun power" in lines[0] and "sun heats sea" in lines[2] and len(lines) == 5 and "moon" not in got.context
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "t.txt").write_text(" a \n\nb\n")
     assert [r.topic for r in files.topics(spark, str(tmp_path / "t.txt")).collect()] == ["a", "b"]
