@@ -116,4 +116,5 @@ def stratified_sample(items: DataFrame, stratum: str, key: str, n: int, seed: in
     quota = max(1, n // max(1, strata))
     order = [F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.col(key)]
     ranked = items.withColumn("rn", F.row_number().over(Window.partitionBy(stratum).orderBy(*order)))
+    ranked = ranked.where(F.col("rn") <= n)  # no more of a stratum can be taken; tasks drop the rest before the shuffle
     return ranked.orderBy((F.col("rn") > quota).cast("int"), *order).limit(n).drop("rn")

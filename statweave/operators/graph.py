@@ -106,9 +106,12 @@ def community_table(members: DataFrame, most: int = 20) -> DataFrame:
 
 
 def entity_descriptions(triples: DataFrame, cap: int = 500) -> DataFrame:
-    """entity, description: facts in order joined by "; ", added while what is there is shorter than cap."""
+    """entity, description: facts in order joined by "; ", added while what is there is shorter than cap. Triples
+    with a null part are left out."""
     by = Window.partitionBy("subject").orderBy("tid")
-    first = F.row_number().over(by) == 1
+    # a fact takes four characters at least, so later ones can't be reached; tasks drop them before the shuffle
+    triples = triples.dropna(subset=["subject", "relation", "object"]).withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= cap // 4 + 1)
+    first = F.col("nth") == 1
     piece = F.when(first, F.concat("subject", F.lit(" ("), "relation", F.lit(": "), "object", F.lit(")"))).otherwise(F.concat(F.lit("; "), "relation", F.lit(": "), "object"))
     rows = triples.select("subject", "tid", piece.alias("piece"))
     before = F.coalesce(F.sum(F.length("piece")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
