@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statweave.functions.vectors import cosine
+from statweave.session import cut_lineage
 
 #: Bytes of query vectors that are broadcast at once; more queries are searched in blocks.
 QUERY_BYTES = 32 << 20
@@ -115,9 +116,10 @@ def prose_context(hits: DataFrame, document: str, prefix: str = "According to th
 def two_hop(hits: DataFrame, triples: DataFrame, k: int) -> DataFrame:
     """hits (qid, id, rank) and further triples (id, subject, document) with a hit's subject, at most 3k by id;
     hop one first, documents once, the first k: qid, document, rank."""
-    first = hits.join(triples, "id")
+    # a few rows for each query, looked at three times: the search behind them runs once
+    first = cut_lineage(hits.join(triples, "id").select("qid", "id", "rank", "subject", "document"))
     subjects = first.select("qid", "subject").distinct()
-    more = subjects.join(triples, "subject").join(hits.select("qid", "id"), ["qid", "id"], "left_anti")
+    more = subjects.join(triples, "subject").join(first.select("qid", "id"), ["qid", "id"], "left_anti")
     more = more.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy("id"))).where(F.col("pos") <= 3 * k)
     both = first.select("qid", "document", F.lit(1).alias("hop"), F.col("rank").cast("int").alias("pos")).unionByName(more.select("qid", "document", F.lit(2).alias("hop"), "pos"))
     once = both.groupBy("qid", "document").agg(F.min(F.struct("hop", "pos")).alias("at"))

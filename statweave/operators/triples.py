@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statweave.functions import text as T
+from statweave.session import cut_lineage
 
 LEVELS = {"fine": "The %2$s of %1$s is %3$s.", "medium": "%1$s - %2$s: %3$s", "coarse": "%1$s: %2$s=%3$s"}
 
@@ -73,7 +74,8 @@ def normalization_map(triples: DataFrame, numeric: bool = False) -> DataFrame:
 
 
 def rewrite(triples: DataFrame, mapping: DataFrame) -> DataFrame:
-    out = triples
+    """Subjects and objects through the mapping, which is worked out once for both."""
+    out, mapping = triples, cut_lineage(mapping)
     for column in ("subject", "object"):
         side = mapping.select(F.col("original").alias(column), F.col("normalized").alias("to"))
         out = out.join(side, column, "left").withColumn(column, F.coalesce("to", column)).drop("to")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,10 +23,33 @@ def session(app: str = "statweave", master: str | None = None, **settings: str)
     return builder.getOrCreate()
 
 
+_tables: list[str] = []
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df from a checkpoint in the folder that spark.checkpoint.dir names, so that a loop's plan stays small and
-    a lost executor costs no recomputation; only where the setting is missing is a local folder taken."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="statweave-"))
-    return df.checkpoint()
+    """df, written as a table in the folder that spark.checkpoint.dir names and read again, so that a loop's plan
+    stays small, nothing is worked out twice and a lost executor costs no recomputation. Only where the setting is
+    missing is a local folder taken. The tables are deleted by release_tables, at the latest when Python ends."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="statweave-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/statweave-loop/{uuid.uuid4().hex}"
+    if not _tables:
+        atexit.register(release_tables)
+    _tables.append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release_tables() -> None:
+    """Deletes the tables of cut_lineage; frames that read them must be done with."""
+    spark = SparkSession.getActiveSession()
+    paths, _tables[:] = list(_tables), []
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
