@@ -71,8 +71,8 @@ def fold(col: Column, modulus: int) -> Column:
 def attach_group(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, hot_groups: int = 1000) -> DataFrame:
     """Joins each row to its group's one row, on key. Groups of more than total/hot_groups rows number at
     most hot_groups, so they are broadcast with that proven bound and their rows never shuffle; every other
-    key holds too few rows to overload a task."""
-    limit = max(total // hot_groups, 1000)
+    key holds at most that share of the rows, whatever their number."""
+    limit = total // hot_groups
     hot = groups.where(F.col(size) > limit)
     marked = rows.join(F.broadcast(hot), key, "left")
     heavy = marked.where(F.col(size).isNotNull())
