@@ -25,6 +25,7 @@ _before: list[str] = []
 def _stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         common.release(_before)
+        common.collect_garbage(spark)
         standing = set(common.tables())
         out = function(spark, docs, sf_dir)
         _before[:] = [t for t in common.tables() if t not in standing]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -58,6 +59,13 @@ def release(paths: list[str] | None = None) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Lets go of finished plans: Python's cycles hold frames in the JVM, and only when the JVM collects them
+    does Spark's cleaner remove their shuffle files and broadcasts from the executors."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bounds the Arrow batches of the session's Python operators by rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
