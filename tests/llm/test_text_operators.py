@@ -27,7 +27,7 @@ def key(text):
     return hashlib.sha256(re.sub(r"[\x20\x09-\x0D]", "", text or "").encode()).hexdigest()
 
 
-@pytest.mark.parametrize("settings", [{}, {"bits_per_row": 1, "broadcast_mb": 0, "hot_groups": 10**9}, {"bits_per_row": 4096, "broadcast_mb": 0}])
+@pytest.mark.parametrize("settings", [{}, {"bits_per_row": 1, "broadcast_mb": 0, "hot_groups": 10**9}, {"bits_per_row": 4096, "broadcast_mb": 0}, {"broadcast_mb": 0, "hot_groups": 1}, {"bits_per_row": 1, "broadcast_mb": 0, "hot_groups": 20}])
 def test_exact_dedup(spark, settings):
     docs = documents()
     got = rows_of(exact_dedup.exact_dedup(frame(spark), **settings))
