@@ -63,10 +63,10 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 @_stage
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest document, by id, of each group linked by SimHash."""
+    """Keeps the smallest document, by id, nulls last, of each group linked by SimHash."""
     rows = _numbered(docs)
     groups = simhash.simhash_groups(rows, row_col=ROW).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = groups.groupBy("component_id").agg(F.min("rid").alias(ROW)).select(ROW)
+    kept = groups.groupBy("root").agg(F.min("rid").alias(ROW)).select(ROW)
     return rows.join(kept, ROW, "left_semi").drop(ROW)
 
 

@@ -16,7 +16,7 @@ def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.simhash_groups(table(spark, sf_dir, "documents")).drop("rid")
+    return simhash.simhash_groups(table(spark, sf_dir, "documents")).drop("rid", "root")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

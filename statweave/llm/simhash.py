@@ -200,7 +200,8 @@ def hamming_links(prints: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFram
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """One row for each input row: rid, doc_id, fingerprint (16 lower-case hex digits), component_id (smallest
-    doc_id reachable over links of at most two differing bits, itself included).
+    doc_id reachable over links of at most two differing bits, itself included), root (a fingerprint of the
+    component, which no other has; ids that are null or repeated make component_id ambiguous).
 
     Null, empty and blank texts have no words and the fingerprint zero, which links like any other. Repeated
     rows and ties share a component; a null doc_id is never a component's smallest unless all are null; an
@@ -216,5 +217,5 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = materialise(named, "named")
     comps = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("prints"))
     total = rows.count()
-    named = materialise(attach_group(named, comps, "root", "prints", total).select("fp", "size", "component_id"), "classes")
-    return attach_group(rows, named, "fp", "size", total).select("rid", "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = materialise(attach_group(named, comps, "root", "prints", total).select("fp", "size", "component_id", "root"), "classes")
+    return attach_group(rows, named, "fp", "size", total).select("rid", "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")

@@ -104,3 +104,11 @@ def test_stages(spark, tmp_path):
     for _, stage in pipeline.STAGES:
         given = stage(spark, empty, str(tmp_path))
         assert given.count() == 0
+
+
+def test_near_dedup_keeps_unrelated_texts_that_share_an_id(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    texts = [(None, "a first text without an id, on wizards and foxes"), (None, "something else altogether, also without an id here"), (7, "seven sorcerers judge what makes good writing"), (7, "lazy dogs sleep in the sun while nobody is looking"), (None, "lazy dogs sleep in the sun while nobody is looking")]
+    given = frame(spark, [(i, t, "en", "s", 1, True, "r", 1, "s", "w", 2) for i, t in texts]).select("doc_id", "text", "lang", "source", "n_chars")
+    stage = dict(pipeline.STAGES)["near_dedup"]
+    assert Counter((r.doc_id, r.text) for r in stage(spark, given, "").collect()) == Counter(texts[:4])
