@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from statweave.llm import common, exact_dedup, langid, packing, quality_gbt, simhash
 
-#: Below this score a language is not taken as known, and the document goes.
+#: Below this score a language is not taken as known, and the document goes; texts unlike all learned ones score 0.
 LEAST_LANGUAGE_SCORE = 0.2
 #: Documents with a lower probability of quality go.
 LEAST_QUALITY = 0.3

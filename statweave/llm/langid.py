@@ -56,12 +56,38 @@ def has_letter(text: str) -> bool:
     return any(c.isalpha() for c in text)
 
 
-def vectors(text: pa.Array) -> np.ndarray:
-    """Square roots of n-gram shares, so that each row has length one."""
+def vectors(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Square roots of n-gram shares, so that each row has length one, and the rows' numbers of n-grams."""
     n = len(text)
     where, rows = grams(text)
     counts = np.bincount(rows * DIMENSIONS + where, minlength=n * DIMENSIONS).reshape(n, DIMENSIONS).astype(np.float32)
-    return np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1))
+    size = counts.sum(axis=1)
+    return np.sqrt(counts / np.maximum(size[:, None], 1)), size
+
+
+def profile(x: np.ndarray) -> np.ndarray:
+    """Logarithms of the mean n-gram shares of rows, smoothed."""
+    return np.log(np.square(x).mean(axis=0) + 0.1 / DIMENSIONS).astype(np.float32)
+
+
+def likeness(x: np.ndarray, size: np.ndarray, usual: np.ndarray, middle: float) -> np.ndarray:
+    """How far the mean log-share of a row's n-grams lies above the language's middle; short rows, whose mean
+    says little, are drawn towards it."""
+    return (np.square(x) @ usual - middle) * np.sqrt(size / (size + 100))
+
+
+def familiar(x: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """A language's profile, its middle, and the least likeness that its texts have: three times as far below the
+    middle as the lowest hundredth of the labelled rows, each half held against the other half's profile."""
+    if len(x) < 2:
+        return profile(x), 0.0, -np.inf
+    half = np.arange(len(x)) % 2 == 0
+    own = np.zeros(len(x))
+    for a in (half, ~half):
+        own[a] = np.square(x[a]) @ profile(x[~a])
+    middle = float(np.median(own))
+    least = np.quantile((own - middle) * np.sqrt(size / (size + 100)), 0.01, method="lower")
+    return profile(x), middle, float(3 * least)
 
 
 def fit_svm(x: np.ndarray, positive: np.ndarray, cost: float = 20.0, rounds: int = 150) -> np.ndarray:
@@ -88,14 +114,15 @@ class Identifier:
     members: dict[str, list[str]]
     family_weights: np.ndarray  # a row for each family
     pair_weights: dict[tuple[str, str], np.ndarray] = field(default_factory=dict)
+    known: dict[str, tuple[np.ndarray, float, float]] = field(default_factory=dict)  # by language, from familiar()
 
     def predict(self, text: pa.Array) -> tuple[list[str], np.ndarray]:
         names, scores = np.full(len(text), UNKNOWN, object), np.zeros(len(text))
         known = np.array([has_letter(t or "") for t in text.to_pylist()], bool)
         if not self.families or not known.any():
             return names.tolist(), scores
-        x = vectors(text)
-        x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+        plain, size = vectors(text)
+        x = np.hstack([plain, np.ones((len(plain), 1), np.float32)])
         margins = x @ self.family_weights.T
         best = margins.argmax(axis=1)
         sure = _squash(margins.max(axis=1) - (np.sort(margins, axis=1)[:, -2] if len(self.families) > 1 else -1))
@@ -115,6 +142,10 @@ class Identifier:
             names[here] = np.array(languages, object)[chosen]
             own = _squash(margin[np.arange(here.size), chosen] / max(1, len(languages) - 1) * 2) if len(languages) > 1 else 1.0
             scores[here] = sure[here] * own
+            for j, language in enumerate(languages):  # a text unlike all that was learned is in none of the languages
+                rows = here[chosen == j]
+                usual, middle, least = self.known[language]
+                scores[rows[likeness(plain[rows], size[rows], usual, middle) < least]] = 0
         return names.tolist(), scores
 
 
@@ -132,23 +163,25 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     counts = source.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
     share = F.pmod(F.xxhash64("id", F.length("text")), F.lit(1 << 30)) / float(1 << 30)
 
-    @F.arrow_udf("struct<at: array<int>, n: array<float>>")
+    @F.arrow_udf("struct<at: array<int>, n: array<float>, size: float>")
     def measure(text: pa.Array) -> pa.Array:
-        x = vectors(text)
+        x, size = vectors(text)
         rows, at = np.nonzero(x)
         offsets = pa.array(np.searchsorted(rows, np.arange(len(x) + 1)).astype(np.int32))
-        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(at.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(x[rows, at]))], names=["at", "n"])
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(at.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(x[rows, at])), pa.array(size)], names=["at", "n", "size"])
 
     rows = source.join(F.broadcast(counts), "lang").where(share < train_rows / F.col("n"))
     got = rows.select("lang", "id", measure("text").alias("x")).toArrow()
     languages = got.column("lang").to_pylist()
     x = np.zeros((len(languages), DIMENSIONS), np.float32)
+    size = np.zeros(len(languages), np.float32)
     for i, row in enumerate(got.column("x").combine_chunks() if got.num_rows else []):
         x[i, row["at"].values.to_numpy()] = row["n"].values.to_numpy()
+        size[i] = row["size"].as_py()
     ids = [str(v) for v in got.column("id").to_pylist()]
     del got
     order = np.lexsort((x[:, 0], np.array(ids))) if len(languages) else np.zeros(0, int)
-    x, languages = x[order], np.array(languages, object)[order]  # the same sums whatever the order of arrival
+    x, size, languages = x[order], size[order], np.array(languages, object)[order]  # the same sums whatever the order of arrival
     names = sorted(set(languages))
     members: dict[str, list[str]] = {}
     for name in names:
@@ -156,7 +189,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     families = sorted(members)
     kin = np.array([family_of(v) for v in languages], object)
     weights = np.stack([fit_svm(x, kin == f) for f in families]) if families else np.zeros((0, DIMENSIONS + 1), np.float32)
-    model = Identifier(families, members, weights)
+    model = Identifier(families, members, weights, known={name: familiar(x[languages == name], size[languages == name]) for name in names})
     for names in members.values():
         for a, b in itertools.combinations(names, 2):
             own = (languages == a) | (languages == b)
@@ -178,7 +211,8 @@ def predictor(model: Identifier):
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_out: int = 2, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """One row for each input row: doc_id, held_out, lang_pred, score (0 to 1).
 
-    Only texts make a prediction. A text that is null or has no letter is "und" with score 0, as is every
+    Only texts make a prediction. A text whose n-grams are unlike those of its language's labelled rows scores 0:
+    it is in none of the learned languages. A text that is null or has no letter is "und" with score 0, as is every
     text where no language could be learned; repeated rows are predicted alike; an empty table gives an empty
     result; other columns, whatever their names, are ignored.
     """

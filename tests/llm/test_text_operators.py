@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -12,7 +13,7 @@ import numpy as np
 import pytest
 
 from statweave.llm import bpe, exact_dedup, langid, lm_scoring, packing, quality_gbt, quality_rules, simhash
-from tests.llm.data import documents, frame
+from tests.llm.data import documents, frame, prose
 
 xxhash = pytest.importorskip("xxhash")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -257,3 +258,13 @@ def test_quality_learns_on_held_out(spark):
     assert np.mean([r["predicted"] == int(r["doc_id"] % 3 != 0) for r in held]) >= 0.95
     none = rows_of(quality_gbt.quality_scores(frame(spark), labels.where("false")))
     assert {r["score"] for r in none} == {0.5}
+
+
+def test_language_that_was_not_learned(spark):
+    rng = random.Random(3)
+    swahili = "watu wote wamezaliwa huru hadhi na haki zao ni sawa wote wamejaliwa akili na dhamiri hivyo yapasa watendeane kindugu".split()
+    noise = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(400)]
+    other = [(1000 + i, prose(rng, words, 80), None, "src", 1, True, "r", 1, "s", "w", 2) for i, words in enumerate([swahili, noise] * 20)]
+    got = {r["doc_id"]: r["score"] for r in rows_of(langid.identify(frame(spark, documents(300)[:300] + other)))}
+    assert all(got[1000 + i] < 0.2 for i in range(40))
+    assert sum(got[i] >= 0.2 for i in range(300)) >= 299
