@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from statweave.operators import graph as G
 from statweave.operators import retrieval as R
 from statweave.sources import services as V
 
@@ -46,13 +47,21 @@ def graph_retrieval(questions: DataFrame, index: DataFrame, embed: V.Embedder, c
     return _ask(questions, R.numbered_context(R.two_hop(seeds, index.drop("vector"), k), "document"), call, "graph_rag")
 
 
-def community_retrieval(questions: DataFrame, entities: DataFrame, reports: DataFrame, embed: V.Embedder, call: V.Generator, k: int = 10, most_reports: int = 5) -> DataFrame:
-    """entities: id, vector, entity, community; reports: community, summary. The communities of the nearest
-    entities, by their best entity."""
+def community_retrieval(questions: DataFrame, entities: DataFrame, reports: DataFrame, embed: V.Embedder, call: V.Generator, k: int = 10, most_reports: int = 5, units: DataFrame | None = None, each: int = 3, most_facts: int = 10) -> DataFrame:
+    """entities: id, vector, entity, community; reports: community, summary; units: unit, text, entity_ids. The
+    communities of the nearest entities, by their best entity, then the first text units of each entity."""
     near = _hits(questions, entities.withColumn("document", F.col("entity")), embed, k, None)
     best = near.groupBy("qid", "community").agg(F.min("rank").alias("rank"))
     found = R.first_hits(best, most_reports).join(reports, "community")
-    return _ask(questions, R.numbered_context(found, "summary"), call, "community")
+    context = R.numbered_context(found, "summary")
+    if units is not None:
+        named = near.groupBy("qid", "entity").agg(F.min("rank").alias("at"))
+        facts = named.join(G.membership_facts(named, units, each).withColumnRenamed("rank", "nth"), "entity")
+        facts = facts.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("at", "entity", "nth")).cast("long")).where(F.col("rank") <= most_facts)
+        facts = R.numbered_context(facts, "text").withColumnRenamed("context", "facts")
+        titled = lambda title, name: F.concat(F.lit(f"{title}:\n"), name)
+        context = context.join(facts, "qid", "full").select("qid", F.concat_ws("\n\n", titled("Community Summaries", "context"), titled("Relevant Facts", "facts")).alias("context"))
+    return _ask(questions, context, call, "community")
 
 
 def hybrid_retrieval(questions: DataFrame, entities: DataFrame, relations: DataFrame, chunks: DataFrame, embed: V.Embedder, call: V.Generator, k: int = 10) -> DataFrame:
@@ -75,15 +84,18 @@ def verified(questions: DataFrame, index: DataFrame, embed: V.Embedder, draft: V
     return _revised(first.join(context, "qid", "left"), verify, revise, "CONTRADICTED", "conli")
 
 
-def self_verified(questions: DataFrame, draft: V.Generator, verify: V.Generator, revise: V.Generator) -> DataFrame:
-    """Draft, check it alone, refine only what the check calls INCORRECT."""
+def self_verified(questions: DataFrame, draft: V.Generator, verify: V.Generator, revise: V.Generator, extract: V.Generator | None = None) -> DataFrame:
+    """Draft, extract its claims (by draft's generator where no other is given), check them alone, refine only
+    what the check calls INCORRECT."""
     first = zero_shot(questions, draft).select("qid", "question", F.col("answer").alias("draft"), F.lit(None).cast("string").alias("context"))
-    return _revised(first, verify, revise, "INCORRECT", "cove")
+    first = V.generate(first.withColumn("prompt", F.concat(F.lit("List the factual claims of this answer, one a line.\nAnswer: "), "draft")), "prompt", extract or draft)
+    first = first.select("qid", "question", "draft", "context", F.col("answer").alias("claims"))
+    return _revised(first, verify, revise, "INCORRECT", "cove", "claims").drop("claims")
 
 
-def _revised(drafts: DataFrame, verify: V.Generator, revise: V.Generator, word: str, method: str) -> DataFrame:
+def _revised(drafts: DataFrame, verify: V.Generator, revise: V.Generator, word: str, method: str, subject: str = "draft") -> DataFrame:
     facts = F.coalesce("context", F.lit("none"))
-    checked = V.generate(drafts.withColumn("prompt", F.concat(F.lit("Facts:\n"), facts, F.lit("\nAnswer: "), "draft")), "prompt", verify)
+    checked = V.generate(drafts.withColumn("prompt", F.concat(F.lit("Facts:\n"), facts, F.lit("\nAnswer: " if subject == "draft" else "\nClaims: "), subject)), "prompt", verify)
     checked = checked.withColumnRenamed("answer", "verdict").drop("error", "latency_ms")
     wrong = F.contains(F.col("verdict"), F.lit(word))
     # only the rejected drafts go to the generator again

@@ -210,6 +210,22 @@ def test_answering(spark):
         answering.run("other", ask)
 
 
+def test_community_facts_and_claims(spark):
+    embed, echo = services.hashed_embedder(), services.echo_generator()
+    entities = services.embed(spark.createDataFrame([(1, "solar", 1), (2, "wind", 1)], "id long, entity string, community long"), "entity", embed)
+    reports = spark.createDataFrame([(1, "power sources")], "community long, summary string")
+    units = spark.createDataFrame([(i, f"solar fact {i}", ["solar"]) for i in range(5)] + [(9, "wind is 7 GW", ["wind", "solar"])], "unit long, text string, entity_ids array<string>")
+    ask = spark.createDataFrame([(1, "solar")], "qid long, question string")
+    seen = lambda prompts: list(prompts)
+    got = answering.run("community", ask, entities, reports, embed, seen, k=2, units=units).first().answer
+    assert "power sources" in got and all(f"solar fact {i}" in got for i in range(3)) and "solar fact 3" not in got
+    assert got.count("Relevant Facts:") == 1 and got.index("solar fact 0") < got.index("wind is 7 GW")
+    claims = lambda prompts: ["claim of " + p.split("Answer: ")[1] for p in prompts]
+    verify = lambda prompts: ["INCORRECT" if "claim of draft" in p else "CORRECT" for p in prompts]
+    got = answering.run("cove", ask, lambda prompts: ["draft"] * len(prompts), verify, lambda prompts: ["revised"] * len(prompts), claims).first()
+    assert got.answer == "revised" and got.method == "cove"
+
+
 def test_resume(spark, tmp_path):
     for i in range(2):
         os.makedirs(tmp_path / "in", exist_ok=True)
