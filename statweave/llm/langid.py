@@ -22,7 +22,7 @@ FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb".split(), "romance": "fr es it pt ro ca gl oc la".split(), "slavic": "ru uk be pl cs sk bg sr hr sl mk".split(),
     "uralic": "fi et hu".split(), "turkic": "tr az kk uz ky tk".split(), "indic": "hi ur bn mr gu pa ne".split(), "semitic": "ar he am mt".split(),
 }
-#: Rows of each language that are learned from, about; at most LANGUAGES of them are learned.
+#: Rows of each language that are learned from, about; fewer of each where there are more than LANGUAGES.
 TRAIN_ROWS, LANGUAGES = 800, 64
 DIMENSIONS = 4096
 UNKNOWN = "und"
@@ -160,8 +160,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     arrow_batches(spark, 500)
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     source = source.where(fold(F.col("id"), folds) != held_out).where("lang is not null and text is not null and text <> ''")
-    counts = source.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
     share = F.pmod(F.xxhash64("id", F.length("text")), F.lit(1 << 30)) / float(1 << 30)
+    counts = spark.createDataFrame(source.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(share).alias("least")).collect(), "lang string, n long, least double")
+    train_rows = min(train_rows, train_rows * LANGUAGES / max(1, counts.count()))
 
     @F.arrow_udf("struct<at: array<int>, n: array<float>, size: float>")
     def measure(text: pa.Array) -> pa.Array:
@@ -170,7 +171,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         offsets = pa.array(np.searchsorted(rows, np.arange(len(x) + 1)).astype(np.int32))
         return pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(at.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(x[rows, at])), pa.array(size)], names=["at", "n", "size"])
 
-    rows = source.join(F.broadcast(counts), "lang").where(share < train_rows / F.col("n"))
+    rows = source.join(F.broadcast(counts), "lang").where((share < train_rows / F.col("n")) | (share == F.col("least")))
     got = rows.select("lang", "id", measure("text").alias("x")).toArrow()
     languages = got.column("lang").to_pylist()
     x = np.zeros((len(languages), DIMENSIONS), np.float32)

@@ -268,3 +268,10 @@ def test_language_that_was_not_learned(spark):
     got = {r["doc_id"]: r["score"] for r in rows_of(langid.identify(frame(spark, documents(300)[:300] + other)))}
     assert all(got[1000 + i] < 0.2 for i in range(40))
     assert sum(got[i] >= 0.2 for i in range(300)) >= 299
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, ["".join(rng.choices("abcdefghij", k=5)) for _ in range(3)], 20), f"q{i % 70:02}") for i in range(280)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), folds=1, held_out=1, train_rows=2)
+    assert sorted(x for names in model.members.values() for x in names) == [f"q{i:02}" for i in range(70)]
