@@ -12,18 +12,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from statweave.llm.common import arrow_batches, fold, lower_ascii, text_buffers
+from statweave.llm.common import BLOCK, by_slices, fold, text_buffers
 
 #: Closely related languages, by ISO 639-1 code; any other language is a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb".split(), "romance": "fr es it pt ro ca gl oc la".split(), "slavic": "ru uk be pl cs sk bg sr hr sl mk".split(),
     "uralic": "fi et hu".split(), "turkic": "tr az kk uz ky tk".split(), "indic": "hi ur bn mr gu pa ne".split(), "semitic": "ar he am mt".split(),
 }
-#: Rows of each language that are learned from, about; fewer of each where there are more than LANGUAGES.
-TRAIN_ROWS, LANGUAGES = 800, 64
+#: Most rows of a language that are learned from, and of all languages together; where there are so many languages
+#: that this bound bites, each has its equal share, of one row at least.
+TRAIN_ROWS, ALL_ROWS = 800, 12_800
 DIMENSIONS = 4096
 UNKNOWN = "und"
 
@@ -33,23 +34,31 @@ def family_of(language: str) -> str:
     return next((name for name, members in FAMILIES.items() if base in members), f"own:{language}")
 
 
-def grams(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-grams (of two, three and four bytes over letters and the spaces between words) and their rows."""
+_LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
+
+
+def gram_counts(text: pa.Array) -> np.ndarray:
+    """For each row, how often each hashed n-gram occurs: two, three and four bytes over letters and the spaces
+    between words. Temporaries are held for one block of bytes at a time, however long a text."""
     data, offsets = text_buffers(text)
-    if data.size < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    letters = lower_ascii(data)
-    letters = np.where((letters >= 128) | ((letters >= 97) & (letters <= 122)), letters, np.uint8(32)).astype(np.uint32)
-    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    out, out_rows = [], []
-    code = letters.copy()
-    for width in (2, 3, 4):
-        code = (code[:-1] << np.uint32(8)) | letters[width - 1 :]
-        inside = (rows[: code.size] == rows[width - 1 :]) & ((code & np.uint32(0xFFFF)) != 0x2020)
-        mixed = (code[inside] + np.uint32(width)) * np.uint32(2654435761)
-        out.append((mixed >> np.uint32(20)).astype(np.int64))
-        out_rows.append(rows[: code.size][inside])
-    return np.concatenate(out), np.concatenate(out_rows)
+    n = len(offsets) - 1
+    counts = np.zeros((n, DIMENSIONS), np.float32)
+    letters = np.frombuffer(data.tobytes().translate(_LETTERS), np.uint8)
+    for p in range(0, data.size, BLOCK):
+        q = min(data.size, p + BLOCK)
+        part = letters[p : q + 3].astype(np.uint32)
+        edges = np.clip(offsets, p, p + part.size)
+        rows = np.repeat(np.arange(n), np.diff(edges))
+        first, last = int(rows[0]), int(rows[-1]) + 1
+        code, found = part, []
+        for width in (2, 3, 4):
+            code = (code[:-1] << np.uint32(8)) | part[width - 1 :]
+            m = min(q - p, code.size)
+            inside = (rows[:m] == rows[width - 1 : width - 1 + m]) & ((code[:m] & np.uint32(0xFFFF)) != 0x2020)
+            mixed = (code[:m][inside] + np.uint32(width)) * np.uint32(2654435761)
+            found.append((rows[:m][inside] - first) * DIMENSIONS + (mixed >> np.uint32(20)).astype(np.int64))
+        counts[first:last] += np.bincount(np.concatenate(found), minlength=(last - first) * DIMENSIONS).reshape(-1, DIMENSIONS)
+    return counts
 
 
 def has_letter(text: str) -> bool:
@@ -58,9 +67,7 @@ def has_letter(text: str) -> bool:
 
 def vectors(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Square roots of n-gram shares, so that each row has length one, and the rows' numbers of n-grams."""
-    n = len(text)
-    where, rows = grams(text)
-    counts = np.bincount(rows * DIMENSIONS + where, minlength=n * DIMENSIONS).reshape(n, DIMENSIONS).astype(np.float32)
+    counts = gram_counts(text)
     size = counts.sum(axis=1)
     return np.sqrt(counts / np.maximum(size[:, None], 1)), size
 
@@ -154,35 +161,39 @@ def _squash(margin: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_out: int = 2, train_rows: int = TRAIN_ROWS) -> Identifier:
-    """Fits on about train_rows rows of each language outside the held-out fold, picked by the hash of their
-    id and text against a threshold for the language, so that nothing is sorted or moved to choose them."""
+    """Fits on at most train_rows rows of each language outside the held-out fold, and ALL_ROWS in all, those whose
+    id, text and row number hash least. A threshold for the language leaves about twice as many, so that the texts
+    that are sorted to choose them are few; the driver holds them as one matrix of at most 210 MB."""
     spark = docs.sparkSession
-    arrow_batches(spark, 500)
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     source = source.where(fold(F.col("id"), folds) != held_out).where("lang is not null and text is not null and text <> ''")
-    share = F.pmod(F.xxhash64("id", F.length("text")), F.lit(1 << 30)) / float(1 << 30)
-    counts = spark.createDataFrame(source.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(share).alias("least")).collect(), "lang string, n long, least double")
-    train_rows = min(train_rows, train_rows * LANGUAGES / max(1, counts.count()))
+    counts = spark.createDataFrame(source.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect(), "lang string, n long")
+    each = max(1, min(train_rows, ALL_ROWS // max(1, counts.count())))
+    # of repeated rows each has a number of its own, so that none is taken for all
+    share = F.pmod(F.xxhash64("id", "text", F.monotonically_increasing_id()), F.lit(1 << 30)) / float(1 << 30)
 
-    @F.arrow_udf("struct<at: array<int>, n: array<float>, size: float>")
-    def measure(text: pa.Array) -> pa.Array:
+    def run(text: pa.Array) -> pa.Array:
         x, size = vectors(text)
         rows, at = np.nonzero(x)
         offsets = pa.array(np.searchsorted(rows, np.arange(len(x) + 1)).astype(np.int32))
         return pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(at.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(x[rows, at])), pa.array(size)], names=["at", "n", "size"])
 
-    rows = source.join(F.broadcast(counts), "lang").where((share < train_rows / F.col("n")) | (share == F.col("least")))
-    got = rows.select("lang", "id", measure("text").alias("x")).toArrow()
-    languages = got.column("lang").to_pylist()
+    @F.arrow_udf("struct<at: array<int>, n: array<float>, size: float>")
+    def measure(text: pa.Array) -> pa.Array:
+        return by_slices(run)(text)
+
+    # few more than are wanted pass the threshold, and the first of them are taken
+    near = source.withColumn("share", share).join(F.broadcast(counts), "lang").where(F.col("share") * F.col("n") < 2 * each + 20)
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("share", F.xxhash64("id", "text")))
+    chosen = near.withColumn("nth", first).where(F.col("nth") <= each)
+    got = chosen.select("lang", "nth", measure("text").alias("x")).toArrow().combine_chunks().sort_by([("lang", "ascending"), ("nth", "ascending")])  # the same sums whatever the order of arrival
+    languages = np.array(got.column("lang").to_pylist(), object)
     x = np.zeros((len(languages), DIMENSIONS), np.float32)
     size = np.zeros(len(languages), np.float32)
     for i, row in enumerate(got.column("x").combine_chunks() if got.num_rows else []):
         x[i, row["at"].values.to_numpy()] = row["n"].values.to_numpy()
         size[i] = row["size"].as_py()
-    ids = [str(v) for v in got.column("id").to_pylist()]
     del got
-    order = np.lexsort((x[:, 0], np.array(ids))) if len(languages) else np.zeros(0, int)
-    x, size, languages = x[order], size[order], np.array(languages, object)[order]  # the same sums whatever the order of arrival
     names = sorted(set(languages))
     members: dict[str, list[str]] = {}
     for name in names:
@@ -201,12 +212,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def predictor(model: Identifier):
     """A column function from a text to struct(lang, score)."""
 
-    @F.arrow_udf("struct<lang: string, score: double>")
     def run(text: pa.Array) -> pa.Array:
         names, scores = model.predict(text)
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"])
 
-    return run
+    @F.arrow_udf("struct<lang: string, score: double>")
+    def column(text: pa.Array) -> pa.Array:
+        return by_slices(run)(text)
+
+    return column
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_out: int = 2, train_rows: int = TRAIN_ROWS) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statweave.llm.bpe import encoder
-from statweave.llm.common import arrow_batches, materialise
+from statweave.llm.common import materialise, sliced_batches
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, nth long"
 
@@ -92,7 +92,7 @@ def _pieces(window: int, end_id: int, path: str | None):
         encode = encoder(path).whole
         ranks: Counter[int] = Counter()
         names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "nth")
-        for batch in batches:
+        for batch in sliced_batches(batches):
             rows = []
             for doc_id, text, part in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "part")), strict=True):
                 ids = np.append(encode(text or ""), np.uint32(end_id)).astype("<u4")
@@ -115,7 +115,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     windows and a rest; other columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
-    arrow_batches(spark, 500)
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.spark_partition_id().cast("long").alias("part"))
     pieces = materialise(source.mapInArrow(_pieces(window, end_id, tokenizer), PIECES), "pieces")
     per_part = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))

@@ -7,6 +7,7 @@ for each level.
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statweave.llm.common import arrow_batches, fold, grouped_sum, mix64, span_hashes, text_buffers, word_spans
+from statweave.llm.common import BLOCK, by_slices, fold, grouped_sum, mix64, span_hashes, text_buffers, word_spans
 
 #: Most labelled rows that are learned from.
 TRAIN_ROWS = 20_000
@@ -29,20 +30,51 @@ FEATURES = (
 )
 
 
+_MEMBERS = np.zeros((256, len(_GROUPS) + 2))
+for _k, _chars in enumerate(_GROUPS.values()):
+    _MEMBERS[list(_chars), _k] = 1
+_MEMBERS[128:, -2] = 1  # high
+_MEMBERS[:32, -1] = 1 - _MEMBERS[:32, :-2].max(axis=1)  # control
+_LETTER = bytes(int(b >= 128 or 48 <= b <= 57 or 97 <= (b | 32) <= 122) for b in range(256))
+
+
+def byte_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How often each row has each byte."""
+    out = np.zeros((len(offsets) - 1, 256))
+    for i, (p, q) in enumerate(itertools.pairwise(offsets.tolist())):
+        for at in range(p, q, BLOCK):
+            out[i] += np.bincount(data[at : min(q, at + BLOCK)], minlength=256)
+    return out
+
+
 def _repeats(keys: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For keys within rows: the distinct keys, the occurrences of keys found twice or more, and the most
-    occurrences of one key, for each row."""
+    occurrences of one key, for each row. A row's number takes the place of the keys' lowest bits."""
+    most = np.zeros(n)
     if not keys.size:
-        return np.zeros(n), np.zeros(n), np.zeros(n)
-    mixed = mix64(keys ^ mix64(rows.astype(np.uint64) + np.uint64(1)))
-    order = np.argsort(mixed, kind="stable")
-    run = mixed[order]
+        return most, most, most
+    bits = np.uint64(max(1, n - 1).bit_length())
+    run = np.sort((rows.astype(np.uint64) << (np.uint64(64) - bits)) | (keys >> bits))
     first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
     size = np.diff(np.append(first, run.size))
-    row = rows[order][first]
-    most = np.zeros(n)
-    np.maximum.at(most, row, size)
-    return grouped_sum(np.ones(first.size), row, n), grouped_sum(np.where(size > 1, size, 0), row, n), most
+    row = (run[first] >> (np.uint64(64) - bits)).astype(np.int64)
+    del run
+    begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    most[row[begin]] = np.maximum.reduceat(size, begin)
+    return np.bincount(row, minlength=n).astype(np.float64), grouped_sum(np.where(size > 1, size, 0), row, n), most
+
+
+def windows(hashes: np.ndarray, rows: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each run of so many words within a row, and its row."""
+    last = width - 1
+    if hashes.size < width:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    total = hashes[: hashes.size - last].copy()
+    for k in range(1, width):
+        total *= np.uint64(0x9E3779B97F4A7C15)
+        total += hashes[k : hashes.size - last + k]
+    inside = rows[last:] == rows[: rows.size - last]
+    return mix64(total[inside]), rows[last:][inside]
 
 
 def statistics(text: pa.Array) -> np.ndarray:
@@ -50,60 +82,42 @@ def statistics(text: pa.Array) -> np.ndarray:
     data, offsets = text_buffers(text)
     n = len(offsets) - 1
     size = np.maximum(np.diff(offsets), 1).astype(np.float64)
-
-    def share(mask: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
-        return total[offsets[1:]] - total[offsets[:-1]]
-
-    out = {}
-    table = np.zeros(256, np.uint8)
-    for k, (name, chars) in enumerate(_GROUPS.items()):
-        if name != "line":
-            table[list(chars)] = k + 1
-    kinds = table[data]
-    for k, name in enumerate(_GROUPS):
-        out[name] = share(kinds == k + 1 if name != "line" else data == 10)
-    lines = out["line"] + 1
-    out["high"] = share(data >= 128)
-    out["control"] = share((data < 32) & (kinds == 0))
-    for name in (*_GROUPS, "high", "control"):
-        out[name] = out[name] / size
+    shares = byte_counts(data, offsets) @ _MEMBERS
+    out = dict(zip((*_GROUPS, "high", "control"), shares.T / size, strict=True))
+    lines = shares[:, list(_GROUPS).index("line")] + 1
     starts, ends, rows = word_spans(data, offsets)
-    words = grouped_sum(np.ones(starts.size), rows, n)
+    words = np.bincount(rows, minlength=n)[:n].astype(np.float64)
     some = np.maximum(words, 1)
+    for name in ("word_length", "longest_word", "bare_words", "capital_words", "ended_words"):
+        out[name] = np.zeros(n)
+    if starts.size:
+        begin = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        lengths = ends - starts
+        out["word_length"][rows[begin]] = np.add.reduceat(lengths, begin)
+        out["longest_word"][rows[begin]] = np.log1p(np.maximum.reduceat(lengths, begin))
+        del lengths
+        bare = np.maximum.reduceat(np.frombuffer(data.tobytes().translate(_LETTER), np.uint8), starts) == 0
+        head, last = data[starts], data[ends - 1]
+        out["bare_words"] = grouped_sum(bare, rows, n)
+        out["capital_words"] = grouped_sum((head >= 65) & (head <= 90), rows, n)
+        out["ended_words"] = grouped_sum((last == 46) | (last == 33) | (last == 63), rows, n)
+        for name in ("word_length", "bare_words", "capital_words", "ended_words"):
+            out[name] = out[name] / some
     hashes = span_hashes(data, starts, ends)
-    lengths = (ends - starts).astype(np.float64)
-    longest = np.zeros(n)
-    np.maximum.at(longest, rows, lengths)
+    del starts, ends
     distinct, _, common = _repeats(hashes, rows, n)
-    windows = np.zeros(0, np.uint64)
-    window_rows = np.zeros(0, np.int64)
-    if hashes.size >= 5:
-        inside = rows[4:] == rows[:-4]
-        parts = sum(mix64(hashes[k : hashes.size - 4 + k] + np.uint64(k)) for k in range(5))
-        windows, window_rows = parts[inside], rows[4:][inside]
-    _, repeated, _ = _repeats(windows, window_rows, n)
-    # lines by their bytes, those without a word left out
-    breaks = np.flatnonzero(data == 10)
-    edge = np.unique(np.concatenate([offsets[:-1], breaks + 1]))
+    _, repeated, _ = _repeats(*windows(hashes, rows), n)
+    del hashes, rows
+    # lines by their bytes, empty ones left out
+    edge = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(data == 10) + 1]))
     edge = edge[edge < data.size]
     stop = np.append(edge[1:], data.size)
     line_rows = np.searchsorted(offsets[1:], edge, side="right")
     stop = np.where(data[stop - 1] == 10, stop - 1, stop) if edge.size else stop
     real = stop > edge
     line_distinct, _, _ = _repeats(span_hashes(data, edge[real], stop[real]), line_rows[real], n)
-    real_lines = np.maximum(grouped_sum(np.ones(int(real.sum())), line_rows[real], n), 1)
-    if starts.size:
-        head, last = data[starts], data[ends - 1]
-        letters = np.concatenate([[0], np.cumsum(((data | 32) >= 97) & ((data | 32) <= 122) | (data >= 128) | ((data >= 48) & (data <= 57)))])
-        bare = letters[ends] == letters[starts]
-        out["bare_words"] = grouped_sum(bare, rows, n) / some
-        out["capital_words"] = grouped_sum((head >= 65) & (head <= 90), rows, n) / some
-        out["ended_words"] = grouped_sum((last == 46) | (last == 33) | (last == 63), rows, n) / some
-    else:
-        out |= dict.fromkeys(("bare_words", "capital_words", "ended_words"), np.zeros(n))
+    real_lines = np.maximum(np.bincount(line_rows[real], minlength=n)[:n], 1)
     out["log_bytes"], out["log_words"], out["log_lines"] = np.log1p(np.diff(offsets)), np.log1p(words), np.log1p(lines)
-    out["word_length"], out["longest_word"] = grouped_sum(lengths, rows, n) / some, np.log1p(longest)
     out["distinct_words"], out["repeated_windows"], out["most_common_word"] = distinct / some, repeated / some, common / some
     out["dup_lines"], out["line_words"] = 1 - line_distinct / real_lines, np.log1p(words / lines)
     x = np.stack([out[name] for name in FEATURES], axis=1)
@@ -126,7 +140,7 @@ class Forest:
         total = np.full(len(x), self.base)
         rows = np.arange(len(x))
         for feature, edge, value in zip(self.feature, self.edge, self.value, strict=True):
-            node = np.zeros(len(x), np.int64)
+            node = np.zeros(len(x), np.intp)
             for _ in range(self.depth):
                 node = 2 * node + 1 + (x[rows, feature[node]] > edge[node])
             total += value[node]
@@ -178,16 +192,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     The sample's ids are chosen in the labels alone and broadcast, at most train_rows of them, so no text is
     moved; statistics are computed on the executors. Of an id labelled more than once the larger label counts.
     """
-    arrow_batches(docs.sparkSession)
     named = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).where("id is not null and label is not null")
     chosen = named.where(fold(F.col("id"), folds) != held_out).groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(train_rows)
     chosen = docs.sparkSession.createDataFrame(chosen.toPandas(), "id long, label int")
 
-    @F.arrow_udf("array<double>")
-    def measure(text: pa.Array) -> pa.Array:
+    def run(text: pa.Array) -> pa.Array:
         x = statistics(text)
         return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
 
+    @F.arrow_udf("array<double>")
+    def measure(text: pa.Array) -> pa.Array:
+        return by_slices(run)(text)
+
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(F.broadcast(chosen), "id")
     got = rows.select("id", "label", measure("text").alias("x")).dropDuplicates(["id"]).orderBy("id").limit(train_rows).toPandas()
     x = np.array(got["x"].tolist(), np.float64).reshape(-1, len(FEATURES))
@@ -197,11 +213,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def scorer(forest: Forest):
     """A column function from a text to its probability of quality 1."""
 
-    @F.arrow_udf("double")
     def run(text: pa.Array) -> pa.Array:
         return pa.array(forest.probability(statistics(text)))
 
-    return run
+    @F.arrow_udf("double")
+    def column(text: pa.Array) -> pa.Array:
+        return by_slices(run)(text)
+
+    return column
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, held_out: int = 0, threshold: float = 0.3, train_rows: int = TRAIN_ROWS) -> DataFrame:

@@ -15,10 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statweave.llm.common import arrow_batches, attach_group, lower_ascii, materialise, text_buffers
+from statweave.llm.common import attach_group, by_slices, byte_pieces, lower_ascii, materialise, text_buffers
 from statweave.llm.components import connected_components
 
 #: Start and width of the blocks; with a budget of k differing bits, k + 1 blocks suffice.
@@ -32,37 +33,43 @@ FRONTIER = 1 << 20
 CHUNK = 1 << 17
 
 
-def fingerprint(words: list[bytes], width: int = 3, seed: int = 42) -> int:
-    """SimHash over all shingles: a bit is 1 if set in over half of their XXH64 values."""
-    import xxhash
-
-    if not words:
-        return 0
-    text, n = b" ".join(words), len(words)
-    if n <= width:
-        hashes = np.array([xxhash.xxh64_intdigest(text, seed)], np.uint64)
-    else:
-        size = np.fromiter(map(len, words), np.int64, n) + 1
-        stops = np.cumsum(size)
-        starts, ends = (stops - size)[: n - width + 1].tolist(), (stops - 1)[width - 1 :].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter((digest(text[i:j], seed) for i, j in zip(starts, ends, strict=True)), np.uint64, n - width + 1)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, hashes.size, 65536):
-        part = hashes[at : at + 65536]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > hashes.size, bitorder="little").view(np.uint64)[0])
+def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
+    """SimHash over all shingles of the words of text: a bit is 1 if set in over half of their XXH64 values. A long
+    text is read in pieces, each after the last words of the one before."""
+    digest = xxhash.xxh64_intdigest
+    ones, total = np.zeros(64, np.int64), 0
+    held: list[bytes] = []
+    for piece in byte_pieces(text):
+        words = held + piece.split()
+        n = len(words) - width + 1
+        if n > 0:
+            line = b" ".join(words)
+            size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+            stops = np.cumsum(size)
+            starts, ends = (stops - size)[:n].tolist(), (stops - 1)[width - 1 :].tolist()
+            hashes = np.fromiter((digest(line[i:j], seed) for i, j in zip(starts, ends, strict=True)), np.uint64, n)
+            for at in range(0, n, 65536):
+                part = hashes[at : at + 65536]
+                ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            total += n
+        held = words[max(0, len(words) - width + 1) :]
+    if not total:
+        return digest(b" ".join(held), seed) if held else 0
+    return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0])
 
 
 def fingerprint_column(width: int = 3, seed: int = 42):
-    @F.arrow_udf("long")
     def run(text: pa.Array) -> pa.Array:
         data, offsets = text_buffers(text)
         data = lower_ascii(data).tobytes()
-        out = [fingerprint(data[i:j].split(), width, seed) for i, j in itertools.pairwise(offsets.tolist())]
+        out = [fingerprint(data[i:j], width, seed) for i, j in itertools.pairwise(offsets.tolist())]
         return pa.array(np.array(out, np.uint64).view(np.int64))
 
-    return run
+    @F.arrow_udf("long")
+    def column(text: pa.Array) -> pa.Array:
+        return by_slices(run)(text)
+
+    return column
 
 
 def _rotated(col: Column, by: int) -> Column:
@@ -171,6 +178,20 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from solve([np.ascontiguousarray(x) for x in held])
 
 
+def _marked(filed: DataFrame, hot: DataFrame, most: int = 1000) -> DataFrame:
+    """filed, with the bits that its subtrie is cut by, null for most. Subtries with more than a share of one in most
+    of the rows are at most as many, so they are broadcast and their rows don't move. Others, which only large tables
+    have, are joined by a shuffle, in which no key has a larger share."""
+    limit = filed.count() // most
+    large = hot.where(F.col("n") > limit).select("block", "top", "bits")
+    marked = filed.join(F.broadcast(large), ["block", "top"], "left")
+    rest = hot.where(F.col("n") <= limit)
+    if rest.isEmpty():
+        return marked
+    other = marked.where("bits is null").drop("bits").join(rest.select("block", "top", "bits").hint("shuffle_merge"), ["block", "top"], "left")
+    return marked.where("bits is not null").unionByName(other)
+
+
 def hamming_links(prints: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """prints: distinct fp (long). Returns links a, b between fingerprints at most two bits apart: not every
     pair, but enough that whatever is linked by pairs is linked by them."""
@@ -184,10 +205,9 @@ def hamming_links(prints: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFram
         depth = min(12, max(1, math.ceil(math.log2(widest / group_limit)) + 2))
         # the most even bits make the top levels of a hot subtrie
         even = F.slice(F.array_sort(F.transform("ones", lambda x, i: F.struct(F.abs(2 * x - F.col("n")), i.alias("bit")))), 1, depth)
-        hot = hot.select("block", "top", F.transform(even, lambda x: x["bit"]).alias("bits"))
         node = F.aggregate("bits", F.lit(0).cast("long"), lambda acc, b: acc * 2 + F.getbit("value", b))
         near = [0, *(1 << i for i in range(depth)), *((1 << i) | (1 << j) for i, j in itertools.combinations(range(depth), 2))]
-        marked = filed.join(hot, ["block", "top"], "left")
+        marked = _marked(filed, materialise(hot.select("block", "top", "n", F.transform(even, lambda x: x["bit"]).alias("bits")), "cuts"))
         other = F.col("node").bitwiseXOR(F.col("mask"))
         cut = marked.where("bits is not null").withColumn("node", node).withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in near])))
         cut = cut.select("block", "top", "value", F.least("node", other).alias("lo"), F.greatest("node", other).alias("hi"), (F.col("node") > other).cast("long").alias("side"))
@@ -208,7 +228,6 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty table gives an empty result; other columns, whatever their names, are ignored. row_col: a column
     that already numbers the rows, returned as rid.
     """
-    arrow_batches(docs.sparkSession)
     rid = F.col(f"`{row_col}`") if row_col else F.monotonically_increasing_id()
     rows = materialise(docs.select(rid.alias("rid"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), fingerprint_column()(F.col(f"`{text_col}`").cast("string")).alias("fp")), "fingerprints")
     prints = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size")), "prints")
