@@ -28,16 +28,28 @@ FIGURES = (
 )
 ANY_FIGURE = "(?i)(?:" + "|".join(FIGURES) + ")"
 SENTENCE_LENGTH = 50
+#: White space in all scripts, as a class that the JVM and RE2 read alike; plain \\s is ASCII in both.
+SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def spaced(pattern: str) -> str:
+    """The pattern with its white space in all scripts."""
+    return pattern.replace(r"\s", SPACE)
+
+
+def strip(text: Column) -> Column:
+    """text without white space at both ends; in linear time, however long a run of it is."""
+    return F.regexp_replace(text, f"^{SPACE}+|(?<!{SPACE}){SPACE}+$", "")
 
 
 def extract_numbers(text: Column) -> Column:
     """All number tokens, left to right; a hyphen before digits counts as a minus."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(NUMBER), F.lit(0))
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(spaced(NUMBER)), F.lit(0))
 
 
 def to_number(token: Column) -> Column:
     """A token without commas, percent sign and white space as a double, or null."""
-    return F.regexp_replace(token, r"[,%\s]", "").try_cast("double")
+    return F.regexp_replace(token, f"[,%]|{SPACE}", "").try_cast("double")
 
 
 def numbers(tokens: Column) -> Column:
@@ -50,15 +62,19 @@ def rounded(values: Column) -> Column:
 
 
 @F.arrow_udf(StringType())
-def nfc(text: pa.Array) -> pa.Array:
-    """Canonical composition; Arrow-batched Python, as the JVM side has no such function."""
+def _composed(text: pa.Array) -> pa.Array:
     return pa.array([None if x is None else unicodedata.normalize("NFC", x) for x in text.to_pylist()], pa.string())
 
 
-def normalize_string(text: Column, compose: bool = False) -> Column:
-    """Trimmed, white space collapsed, all trailing dots off; with compose, composed first."""
-    text = nfc(text) if compose else text
-    return F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+", " ")), r"\.+$", "")
+def nfc(text: Column) -> Column:
+    """Canonical composition; Arrow-batched Python, as the JVM side has no such function. ASCII texts, which it leaves
+    alone, don't go there."""
+    return F.coalesce(_composed(F.when(text.rlike(r"[^\x00-\x7f]"), text)), text)
+
+
+def normalize_string(text: Column) -> Column:
+    """Composed, trimmed, white space collapsed, all trailing dots off."""
+    return F.regexp_replace(F.regexp_replace(strip(nfc(text)), f"{SPACE}+", " "), r"(?<!\.)\.+$", "")
 
 
 def canonical_key(text: Column) -> Column:
@@ -72,12 +88,12 @@ def canonical_key(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Split after . ! or ? and white space; trimmed."""
-    return F.transform(F.split(text, r"(?<=[.!?])\s+"), F.trim)
+    return F.transform(F.split(text, f"(?<=[.!?]){SPACE}+"), strip)
 
 
 def is_statistical(sentence: Column) -> Column:
     """Long enough, no reference or heading, and with a figure."""
-    return (F.length(sentence) >= SENTENCE_LENGTH) & ~sentence.startswith("^") & ~sentence.contains("== ") & ~sentence.startswith("ISBN") & sentence.rlike(ANY_FIGURE)
+    return (F.length(sentence) >= SENTENCE_LENGTH) & ~sentence.startswith("^") & ~sentence.contains("== ") & ~sentence.startswith("ISBN") & sentence.rlike(spaced(ANY_FIGURE))
 
 
 def contains_any(text: Column, patterns: tuple[str, ...]) -> Column:
@@ -86,15 +102,21 @@ def contains_any(text: Column, patterns: tuple[str, ...]) -> Column:
 
 
 def fenced_json(text: Column) -> Column:
-    """What stands between code fences, or the text itself."""
-    inside = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    return F.trim(F.when(inside != "", inside).otherwise(text))
+    """What follows the first fence marked as JSON, else the first fence, up to the next one or the end; without a
+    fence the text itself."""
+    after = lambda fence: F.get(F.split(F.get(F.split(text, fence), F.lit(1)), "```"), F.lit(0))
+    return strip(F.coalesce(after("```json"), after("```"), text))
 
 
 def sitelink_title(url: Column) -> Column:
     return F.replace(F.substring_index(url, "/wiki/", -1), F.lit("_"), F.lit(" "))
 
 
+def sitelink_url(title: Column, site: str = "https://en.wikipedia.org/wiki/") -> Column:
+    """The page of a title: underscores for spaces, quotation marks left out."""
+    return F.concat(F.lit(site), F.translate(title, ' "', "_"))
+
+
 def title_candidate(text: Column) -> Column:
     """Plausible as an article title: 4 to 199 characters, not a number, not starting with a digit."""
-    return (F.length(text) > 3) & (F.length(text) < 200) & ~text.rlike(r"^[\d\s.,%$€£-]+$") & ~text.rlike(r"^\d")
+    return (F.length(text) > 3) & (F.length(text) < 200) & ~text.rlike(spaced(r"^(?:[\d.,%$€£-]|\s)+$")) & ~text.rlike(r"^\d")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def mcnemar(pairs: DataFrame, *keys: str) -> DataFrame:
@@ -27,31 +31,38 @@ def contrasts(vectors: DataFrame, named: dict[str, tuple[str, str]]) -> DataFram
     return mcnemar(pairs, "contrast").withColumn("delta", F.round((F.col("n10") - F.col("n01")) / n, 6))
 
 
-def log_factorial(n: Column) -> Column:
-    return F.when(n < 2, 0.0).otherwise(F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(n, F.lit(1)).cast("long")), F.lit(0.0), lambda s, i: s + F.ln(i.cast("double"))))
+def binomial_p(b: int, c: int) -> float:
+    """min(1, 2 P(X <= min(b, c))), X binomial with b + c trials at a half; 1 without trials. Terms are summed from the
+    largest down, each from the one before it; they shrink faster than a bell curve, so some fifty standard deviations
+    of them hold the sum to the last digit, whatever the counts."""
+    n, k = b + c, min(b, c)
+    if not n:
+        return 1.0
+    i = np.arange(k, max(0, k - 100 - int(25 * math.sqrt(n))), -1, dtype=np.float64)
+    first = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + n * math.log(0.5)
+    rest = np.exp(np.cumsum(np.log(i) - np.log(n - i + 1))).sum()
+    return min(1.0, 2 * math.exp(first) * (1 + rest))
 
 
-def exact_binomial(b: Column, c: Column) -> Column:
-    """min(1, 2 P(X <= min(b, c))), X binomial with b + c trials at a half; 1 without trials. The terms come by
-    a running product from the first, scaled in logs, so large counts don't underflow."""
-    n, least = b + c, F.least(b, c)
-    # log of each term by recurrence: t(i + 1) = t(i) + ln(n - i) - ln(i + 1)
-    start = F.struct((n * F.ln(F.lit(0.5))).alias("log"), F.exp(n * F.ln(F.lit(0.5))).alias("sum"))
+@F.arrow_udf(DoubleType())
+def exact_binomial(b: pa.Array, c: pa.Array) -> pa.Array:
+    return pa.array([binomial_p(x, y) for x, y in zip(b.to_pylist(), c.to_pylist(), strict=True)], pa.float64())
 
-    def step(s: Column, i: Column) -> Column:
-        log = s["log"] + F.ln((n - i + 1).cast("double")) - F.ln(i.cast("double"))
-        return F.struct(log.alias("log"), (s["sum"] + F.exp(log)).alias("sum"))
 
-    total = F.when(least > 0, F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(least, F.lit(1)).cast("long")), start, step)["sum"]).otherwise(F.exp(n * F.ln(F.lit(0.5))))
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * total))
+def stars(p: str) -> Column:
+    return F.when(F.col(p) < 0.001, "***").when(F.col(p) < 0.01, "**").when(F.col(p) < 0.05, "*").otherwise("")
 
 
-def bonferroni(tests: DataFrame, p: str = "p", alpha: float = 0.05) -> DataFrame:
-    """Each test against alpha over the number of tests, with stars. The window spans the tests of a study,
-    a handful of rows."""
-    m = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
-    level = F.when(F.col(p) < 0.001, "***").when(F.col(p) < 0.01, "**").when(F.col(p) < 0.05, "*").otherwise("")
-    return tests.withColumns({"alpha": F.round(F.lit(alpha) / m, 6), "significant": F.col(p) < F.lit(alpha) / m, "stars": level})
+def bonferroni(tests: DataFrame, *ps: str, alpha: float = 0.05) -> DataFrame:
+    """Each comparison's p values against alpha over the number of comparisons: alpha, and significant and stars, for
+    several tests of a comparison with the name of the p value after them."""
+    ps = ps or ("p",)
+    total = tests.agg(F.count(F.lit(1)).alias("__m"))
+    out = tests.join(F.broadcast(total))  # one row
+    for p in ps:
+        end = "" if len(ps) == 1 else f"_{p}"
+        out = out.withColumns({f"significant{end}": F.col(p) < F.lit(alpha) / F.col("__m"), f"stars{end}": stars(p)})
+    return out.withColumn("alpha", F.round(F.lit(alpha) / F.col("__m"), 6)).drop("__m")
 
 
 def paired_bootstrap(pairs: DataFrame, keys: list[str], rounds: int = 10_000, seed: int = 42) -> DataFrame:
@@ -89,10 +100,30 @@ def kappa(ratings: DataFrame, a: str, b: str) -> DataFrame:
     return out.select("n", F.round("po", 6).alias("agreement"), F.round("pe", 6).alias("expected"), "kappa", band.alias("interpretation"))
 
 
-def annotation_buckets(ratings: DataFrame, a: str, b: str) -> DataFrame:
-    """How many items are good, fair or bad by the two scores' mean, how many both rate 2, how many disagree by 2."""
+def both_annotators(one: DataFrame, two: DataFrame, *scores: str) -> DataFrame:
+    """Samples that both annotators rated: sample_id, and for each score two columns that end in _a and _b. A sample that
+    an annotator rated twice counts once, by the larger scores."""
+    of = lambda df, end: df.groupBy("sample_id").agg(*[F.max(s).alias(f"{s}_{end}") for s in scores])
+    return of(one, "a").join(of(two, "b"), "sample_id")
+
+
+def annotation_buckets(ratings: DataFrame, a: str, b: str, good: float = 1.5, fair: float = 0.5, top: int = 2) -> DataFrame:
+    """How many items are good, fair or bad by the two scores' mean, how many both rate top, how many disagree by 2."""
     mean = (F.col(a) + F.col(b)) / 2
     return ratings.agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(mean >= 1.5).alias("good"), F.count_if((mean >= 0.5) & (mean < 1.5)).alias("fair"), F.count_if(mean < 0.5).alias("bad"),
-        F.count_if((F.col(a) == 2) & (F.col(b) == 2)).alias("strict"), F.count_if(F.abs(F.col(a) - F.col(b)) >= 2).alias("disagreements"),
+        F.count(F.lit(1)).alias("n"), F.count_if(mean >= good).alias("good"), F.count_if((mean >= fair) & (mean < good)).alias("fair"), F.count_if(mean < fair).alias("bad"),
+        F.count_if((F.col(a) == top) & (F.col(b) == top)).alias("strict"), F.count_if(F.abs(F.col(a) - F.col(b)) >= 2).alias("disagreements"),
     )
+
+
+def validity(ratings: DataFrame, *scores: str, least: float = 1.5) -> DataFrame:
+    """n, and the share of items whose mean is at least least in every score, in percent to one place."""
+    valid = F.lit(True)
+    for s in scores:
+        valid = valid & ((F.col(f"{s}_a") + F.col(f"{s}_b")) / 2 >= least)
+    return ratings.agg(F.count(F.lit(1)).alias("n"), F.round(100 * F.avg(valid.cast("double")), 1).alias("valid_pct"))
+
+
+def disagreements(ratings: DataFrame, score: str, least: int = 2) -> DataFrame:
+    """sample_id and both scores where they differ by least or more."""
+    return ratings.where(F.abs(F.col(f"{score}_a") - F.col(f"{score}_b")) >= least).select("sample_id", F.col(f"{score}_a").alias("a"), F.col(f"{score}_b").alias("b"))

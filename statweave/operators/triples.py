@@ -29,6 +29,16 @@ def sentence_batches(rows: DataFrame, key: str, order: str, sentence: str, most:
     return ranked.groupBy(key, "batch").agg(F.array_join(F.transform(parts, lambda x: x[sentence]), "\n").alias("sentences"), F.count(F.lit(1)).alias("n"))
 
 
+def work_list(corpus: DataFrame, done: DataFrame, key: str = "topic", count: str = "sentence_count") -> DataFrame:
+    """What is still to be done: topics with sentences that are not among the done."""
+    return corpus.where(F.col(count) > 0).join(done.select(key), key, "left_anti")
+
+
+def with_numbers(triples: DataFrame) -> DataFrame:
+    """Triples whose object holds a number."""
+    return triples.where(F.size(T.extract_numbers(F.col("object"))) > 0)
+
+
 def validate(raw: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Rows with all three parts, a known relation, and a digit in the object. The vocabulary is a fixed
     schema of a few dozen rows, hence broadcast."""
@@ -37,10 +47,14 @@ def validate(raw: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def parse_generated(answers: DataFrame, column: str, *keys: str) -> DataFrame:
-    """Triples in generated text: fenced or plain JSON, an array of objects; anything else gives none."""
-    kind = "array<struct<subject: string, relation: string, object: string>>"
-    parsed = F.from_json(T.fenced_json(F.col(column)), kind)
-    return answers.select(*keys, F.explode(F.coalesce(parsed, F.array().cast(kind))).alias("t")).select(*keys, "t.*")
+    """Triples in generated text: fenced or plain JSON, an array whose elements are judged one by one. An element that
+    is no object or lacks a part is left out; text that is no JSON or another thing than an array gives none."""
+    elements = F.from_json(T.fenced_json(F.col(column)), "array<string>")
+    rows = answers.select(*keys, F.explode(elements).alias("element")).select(*keys, F.from_json("element", "map<string, string>").alias("t"))
+    parts = ("subject", "relation", "object")
+    for part in parts:
+        rows = rows.where(F.map_contains_key("t", part))
+    return rows.select(*keys, *[F.col("t")[part].alias(part) for part in parts])
 
 
 def verbalise(level: str = "fine") -> Column:
@@ -58,7 +72,7 @@ def coarse_documents(triples: DataFrame) -> DataFrame:
 def paragraph_chunks(docs: DataFrame, key: str, text: str, separator: str = "\n\n", least: int = 50, most: int = 1024) -> DataFrame:
     """Paragraphs over least characters, cut at most; chunk_idx counts all paragraphs."""
     parts = docs.select(key, F.posexplode(F.split(text, separator)).alias("chunk_idx", "chunk"))
-    return parts.withColumn("chunk", F.trim("chunk")).where(F.length("chunk") > least).select(key, F.col("chunk_idx").cast("string").alias("chunk_idx"), F.substring("chunk", 1, most).alias("chunk"))
+    return parts.withColumn("chunk", T.strip(F.col("chunk"))).where(F.length("chunk") > least).select(key, F.col("chunk_idx").cast("string").alias("chunk_idx"), F.substring("chunk", 1, most).alias("chunk"))
 
 
 def normalization_map(triples: DataFrame, numeric: bool = False) -> DataFrame:

@@ -26,25 +26,32 @@ def session(app: str = "statweave", master: str | None = None, **settings: str)
 _tables: list[str] = []
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df, written as a table in the folder that spark.checkpoint.dir names and read again, so that a loop's plan
-    stays small, nothing is worked out twice and a lost executor costs no recomputation. Only where the setting is
-    missing is a local folder taken. The tables are deleted by release_tables, at the latest when Python ends."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names, deleted by release_tables, at the latest when Python
+    ends. Only where the setting is missing, and all runs on one machine, is a local folder taken; on a cluster, where
+    each executor would see another folder, that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="statweave-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/statweave-loop/{uuid.uuid4().hex}"
     if not _tables:
         atexit.register(release_tables)
-    _tables.append(path)
+    _tables.append(f"{folder.rstrip('/')}/statweave-loop/{name}{uuid.uuid4().hex}")
+    return _tables[-1]
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df, written as a table in the shared folder and read again, so that a loop's plan stays small, nothing is worked
+    out twice and a lost executor costs no recomputation."""
+    path = shared_path(df.sparkSession, "")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release_tables() -> None:
-    """Deletes the tables of cut_lineage; frames that read them must be done with."""
+    """Deletes what is at shared paths; frames that read it must be done with."""
     spark = SparkSession.getActiveSession()
     paths, _tables[:] = list(_tables), []
     if spark is None or spark.sparkContext._jsc is None:

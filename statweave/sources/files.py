@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+from statweave.functions import text as T
+from statweave.session import cut_lineage
 
 CORPUS = "map<string, struct<sentences: array<string>, full_text: string, sentence_count: bigint, text_length: bigint>>"
 TRIPLE = "subject string, relation string, object string, source_topic string, source_sentences string, extraction_method string"
@@ -14,12 +23,53 @@ RESULT = (
 BENCHMARK = "id bigint, question string, gold_triple struct<subject: string, relation: string, object: string>, gold_numbers array<string>, source_topic string"
 
 
-def topics(spark: SparkSession, path: str, distinct: bool = False) -> DataFrame:
-    """One trimmed title a line, blank lines dropped."""
-    out = spark.read.text(path).select(F.trim("value").alias("topic")).where("topic <> ''")
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in whatever store the path names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def topics(spark: SparkSession, path: str, *others: str, distinct: bool = False) -> DataFrame:
+    """One trimmed title a line, blank lines dropped, from the first of the paths that there is."""
+    found = next((p for p in (path, *others) if exists(spark, p)), path)
+    out = spark.read.text(found).select(T.strip(F.col("value")).alias("topic")).where("topic <> ''")
     return out.distinct() if distinct else out
 
 
+def vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """The relations of a schema file, in its order: position, relation, description, example, and the line that names
+    the relation in a prompt."""
+    kind = "struct<relations: array<struct<name: string, description: string, example: string>>>"
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", kind)["relations"]).alias("position", "r"))
+    line = F.concat(F.lit("- "), "r.name", F.lit(": "), "r.description", F.lit(" (e.g., "), "r.example", F.lit(")"))
+    return rows.select("position", F.col("r.name").alias("relation"), "r.description", "r.example", line.alias("line"))
+
+
+def vocabulary_prompt(vocabulary_: DataFrame) -> str:
+    """All relations' lines, in order; a schema has a few dozen."""
+    return "\n".join(r.line for r in vocabulary_.orderBy("position").collect())
+
+
+@dataclass(frozen=True)
+class Domain:
+    """What a crawl starts from and leaves out."""
+
+    roots: tuple[str, ...]
+    anchors: tuple[str, ...]
+    skip: tuple[str, ...]
+
+    def overlaid(self, text: str | None) -> Domain:
+        """With the settings of a domain's JSON file, where there is one: other roots or anchors, patterns that are no
+        longer skipped, and patterns that are skipped besides."""
+        given = json.loads(text) if text else {}
+        kept = [p for p in self.skip if p not in given.get("unskip", ())]
+        return Domain(tuple(given.get("root_categories", self.roots)), tuple(given.get("anchor_titles", self.anchors)), (*kept, *given.get("extra_skip", ())))
+
+
+def domain(spark: SparkSession, path: str, default: Domain) -> Domain:
+    return default.overlaid(spark.read.text(path, wholetext=True).first().value if exists(spark, path) else None)
+
+
 def corpus(spark: SparkSession, path: str) -> DataFrame:
     """A JSON object keyed by topic, one file a row."""
     whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", CORPUS)).alias("topic", "x"))
@@ -65,27 +115,132 @@ def results(spark: SparkSession, directory: str, aliases: dict[str, str] | None
     return rows.where(F.col("file").contains("_")).withColumns({"method": method, "model": part(2)}).drop("file")
 
 
-def write_jsonl(df: DataFrame, path: str) -> None:
-    """One JSON object a line; Spark's commit makes the replacement atomic."""
-    df.write.mode("overwrite").json(path)
-
+def replaced(spark: SparkSession, path: str, write: Callable[[str], object]) -> None:
+    """Writes beside path and renames, so that path holds all of the old or all of the new, and the old stays if the
+    writing fails; a crash between the two renames leaves the old under its other name. What is written may be read
+    from path."""
+    jvm = spark.sparkContext._jvm
+    at, new, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"))
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        write(new.toString())
+        there = store.exists(at)
+        if there and not store.rename(at, old):
+            raise OSError(f"{path} can't be renamed")
+        if not store.rename(new, at):
+            if there:
+                store.rename(old, at)
+            raise OSError(f"{new.toString()} can't be renamed")
+        store.delete(old, True)
+    finally:
+        store.delete(new, True)
 
-def write_index(df: DataFrame, path: str, by: str = "source_topic") -> None:
-    """A vector index, its files grouped by topic so that a filter on topics skips files."""
-    df.repartitionByRange(by).sortWithinPartitions(by).write.mode("overwrite").parquet(path)
 
-
-def index_where(spark: SparkSession, path: str, condition: str) -> DataFrame:
-    """Rows without their vectors; the scan leaves that column out."""
+def write_jsonl(df: DataFrame, path: str) -> None:
+    """One JSON object a line, in place of what stood there."""
+    replaced(df.sparkSession, path, lambda p: df.write.json(p))
+
+
+def append_results(df: DataFrame, path: str) -> None:
+    """More records of a result log; a record without an error has no such field, as Spark leaves nulls out."""
+    df.write.mode("append").json(path)
+
+
+def purge_errors(spark: SparkSession, path: str, schema: str = RESULT) -> int:
+    """Rewrites a result log without the records that have an error or don't parse, if there are any, and says how
+    many lines went."""
+    if not exists(spark, path):
+        return 0
+    rows = spark.read.text(path).where(T.strip(F.col("value")) != "").withColumn("r", F.from_json("value", schema))
+    bad = F.col("r").isNull() | F.col("r.error").isNotNull() | F.col("r.query").isNull()
+    lost = rows.where(bad).count()
+    if lost:
+        replaced(spark, path, lambda p: rows.where(~bad).select("value").write.text(p))
+    return lost
+
+
+def positions(df: DataFrame, *order: str) -> DataFrame:
+    """df with position, the 0-based place of each row in a stated order. Each range of the order is numbered by a task
+    of its own, after the sizes of the ranges before it, so no task holds all rows."""
+    rows = cut_lineage(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    sizes = {r["__part"]: r["count"] for r in rows.groupBy("__part").count().collect()}
+    before, starts = 0, []
+    for part in sorted(sizes):
+        starts.append((part, before))
+        before += sizes[part]
+    nth = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    known = df.sparkSession.createDataFrame(starts, "__part int, __start long")
+    return rows.withColumn("__nth", nth).join(F.broadcast(known), "__part").withColumn("position", F.col("__start") + F.col("__nth")).drop("__part", "__nth", "__start")
+
+
+def index_rows(triples_: DataFrame, document: Column, order: str = "tid", cut: int = 500) -> DataFrame:
+    """What a vector index holds of triples, besides the vectors: id (by position), document, and the metadata, with
+    objects cut and missing sources filled."""
+    rows = positions(triples_, order)
+    source = F.coalesce("source", F.lit("llm")) if "source" in triples_.columns else F.lit("llm")
+    return rows.select(
+        F.concat(F.lit("t_"), F.col("position").cast("string")).alias("id"), document.alias("document"), "subject", "relation", F.substring(F.col("object").cast("string"), 1, cut).alias("object"),
+        F.coalesce("source_topic", F.lit("")).alias("source_topic"), source.alias("source"),
+    )
+
+
+def write_index(df: DataFrame, path: str, by: str = "source_topic") -> int:
+    """A vector index, made anew: its files are grouped by topic, so that a filter on topics skips files, and rows are
+    added by all tasks at once. Returns how many it holds."""
+    replaced(df.sparkSession, path, lambda p: df.repartitionByRange(by).sortWithinPartitions(by).write.parquet(p))
+    return df.sparkSession.read.parquet(path).count()
+
+
+def cached_vectors(texts: DataFrame, column: str, path: str, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """texts with vector, from the cache at path; texts that it lacks are embedded and added to it first. embed takes a
+    frame of the column's distinct texts and adds vector, which is null where the service failed; those are not kept."""
+    spark = texts.sparkSession
+    wanted = texts.select(F.col(column).alias("text")).where("text is not null").distinct()
+    if exists(spark, path):
+        wanted = wanted.join(spark.read.parquet(path).select("text"), "text", "left_anti")
+    new = cut_lineage(embed(wanted).select("text", "vector")).where("vector is not null")  # the service is asked once
+    if not new.isEmpty():
+        new.write.mode("append").parquet(path)
+    if not exists(spark, path):
+        return texts.withColumn("vector", F.lit(None).cast("array<double>"))
+    return texts.join(spark.read.parquet(path).select(F.col("text").alias(column), "vector"), column, "left")
+
+
+def write_graph(chunks: DataFrame, entities: DataFrame, relationships: DataFrame, path: str) -> dict[str, int]:
+    """The three tables of a custom graph, each replaced as a whole; says how many rows each has."""
+    counts = {}
+    for name, df in (("chunks", chunks), ("entities", entities), ("relationships", relationships)):
+        replaced(df.sparkSession, f"{path}/{name}", lambda p, df=df: df.write.parquet(p))
+        counts[name] = df.sparkSession.read.parquet(f"{path}/{name}").count()
+    return counts
+
+
+def report_lines(df: DataFrame, widths: dict[str, int], decimals: int = 4) -> list[str]:
+    """A table of fixed width, for aggregates: a heading, a rule, and a line for each row in df's order. Numbers stand
+    to the right."""
+    names = list(widths)
+    number = {f.name for f in df.schema if isinstance(f.dataType, NumericType)}
+
+    def cell(name: str, value: object) -> str:
+        text = "-" if value is None else f"{value:.{decimals}f}" if isinstance(value, float) else str(value)
+        return f"{text:>{widths[name]}}" if name in number else f"{text[: widths[name]]:<{widths[name]}}"
+
+    head = " ".join(f"{n:>{widths[n]}}" if n in number else f"{n:<{widths[n]}}" for n in names)
+    return [head, "-" * len(head), *(" ".join(cell(n, r[n]) for n in names) for r in df.select(*names).collect())]
+
+
+def index_where(spark: SparkSession, path: str, condition: str | Column, limit: int | None = None, order: str = "id") -> DataFrame:
+    """Rows without their vectors, the first of them by order where there is a limit; the scan leaves vectors out."""
     rows = spark.read.parquet(path)
-    return rows.select(*[c for c in rows.columns if c != "vector"]).where(condition)
+    rows = rows.select(*[c for c in rows.columns if c != "vector"]).where(condition)
+    return rows if limit is None else rows.orderBy(order).limit(limit)
 
 
 def write_json(df: DataFrame, path: str) -> None:
     """A report as one indented JSON array in one text file; for aggregates, whose rows one task holds."""
     rows = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"pretty": "true"}).alias("row"))
     whole = rows.agg(F.concat(F.lit("["), F.coalesce(F.array_join(F.sort_array(F.collect_list("row")), ",\n"), F.lit("")), F.lit("]")).alias("value"))
-    whole.coalesce(1).write.mode("overwrite").text(path)
+    replaced(df.sparkSession, path, lambda p: whole.coalesce(1).write.text(p))
 
 
 def write_tsv(df: DataFrame, path: str, by: str = "title") -> None:
@@ -96,8 +251,7 @@ def write_tsv(df: DataFrame, path: str, by: str = "title") -> None:
 def write_topics(topics_: DataFrame, path: str, backup: str) -> None:
     """One title a line, in order. What stood at path is kept at backup, once: a later call leaves the backup alone."""
     spark = topics_.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    there = lambda p: (lambda f: f.getFileSystem(conf).exists(f))(jvm.org.apache.hadoop.fs.Path(p))
-    if there(path) and not there(backup):
+    if exists(spark, path) and not exists(spark, backup):
         spark.read.text(path).write.text(backup)
-    topics_.select(F.col("topic").alias("value")).orderBy("value").write.mode("overwrite").text(path)
+    rows = topics_.select(F.col("topic").alias("value")).orderBy("value")
+    replaced(spark, path, lambda p: rows.write.text(p))
