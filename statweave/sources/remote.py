@@ -23,20 +23,21 @@ ROWS = "key string, item string, position long, error string"
 
 
 class Throttle:
-    """At most calls in each window of so many seconds, counted anew when a window is over; for one task."""
+    """At most calls in each window of so many seconds, counted anew when a window is over; for one caller. A unit of
+    work that makes several calls waits for all of them at once."""
 
     def __init__(self, calls: int = 30, seconds: float = 60.0, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> None:
         self.calls, self.seconds, self.clock, self.sleep = calls, seconds, clock, sleep
         self.began, self.used = clock(), 0
 
-    def wait(self) -> None:
+    def wait(self, units: int = 1) -> None:
         now = self.clock()
         if now - self.began >= self.seconds:
             self.began, self.used = now, 0
-        if self.used >= self.calls:
+        if self.used and self.used + units > self.calls:
             self.sleep(self.seconds - (now - self.began))
             self.began, self.used = self.clock(), 0
-        self.used += 1
+        self.used += units
 
 
 def _table(rows: list[tuple]) -> pa.RecordBatch:
@@ -44,12 +45,14 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "item", "position", "error"])
 
 
-def paged(keys: DataFrame, column: str, call: Page, calls: int = 30, seconds: float = 60.0, tries: int = 4, wait: float = 1.0) -> DataFrame:
+def paged(keys: DataFrame, column: str, call: Page, calls: int = 30, seconds: float = 60.0, tries: int = 4, wait: float = 1.0, callers: int = 1) -> DataFrame:
     """Every item of each distinct key's listing, followed over all pages: key, item, position, error. A key that
-    fails keeps the items of its earlier pages and has one more row with the error."""
+    fails keeps the items of its earlier pages and has one more row with the error. The budget of calls is the whole
+    job's: it is shared out among so many callers, each a task."""
+    callers = max(1, min(callers, calls))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        throttle = Throttle(calls, seconds)
+        throttle = Throttle(calls // callers, seconds)
         for batch in batches:
             for key in batch.column(0).to_pylist():
                 token, position, more = None, 0, True
@@ -64,15 +67,16 @@ def paged(keys: DataFrame, column: str, call: Page, calls: int = 30, seconds: fl
                         yield _table([(key, x, position + i, None) for i, x in enumerate(items)])
                     position, more = position + len(items), token is not None
 
-    return _distinct(keys, column).mapInArrow(run, ROWS)
+    return _distinct(keys, column, callers).mapInArrow(run, ROWS)
 
 
-def looked_up(keys: DataFrame, column: str, call: Lookup, batch: int = 50, calls: int = 30, seconds: float = 60.0, tries: int = 4, wait: float = 1.0) -> DataFrame:
+def looked_up(keys: DataFrame, column: str, call: Lookup, batch: int = 50, calls: int = 30, seconds: float = 60.0, tries: int = 4, wait: float = 1.0, callers: int = 1) -> DataFrame:
     """Items of distinct keys, asked for batch by batch: key, item, position, error. Each key of a failed batch has
-    one row with the error; a key without items has none."""
+    one row with the error; a key without items has none. The budget is shared out as in paged."""
+    callers = max(1, min(callers, calls))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        throttle = Throttle(calls, seconds)
+        throttle = Throttle(calls // callers, seconds)
         for part in batches:
             names = part.column(0).to_pylist()
             for at in range(0, len(names), batch):
@@ -83,11 +87,13 @@ def looked_up(keys: DataFrame, column: str, call: Lookup, batch: int = 50, calls
                 if rows:
                     yield _table(rows)
 
-    return _distinct(keys, column).mapInArrow(run, ROWS)
+    return _distinct(keys, column, callers).mapInArrow(run, ROWS)
 
 
-def _distinct(keys: DataFrame, column: str) -> DataFrame:
-    return keys.select(F.col(column).cast("string").alias("key")).where("key is not null").distinct()
+def _distinct(keys: DataFrame, column: str, callers: int) -> DataFrame:
+    """The keys in so many partitions, each key by its hash, so that no more tasks call at a time; a number that is asked
+    for is not changed by adaptive execution."""
+    return keys.select(F.col(column).cast("string").alias("key")).where("key is not null").distinct().repartition(callers, "key")
 
 
 def aliases(redirects: DataFrame, normalized: DataFrame) -> DataFrame:

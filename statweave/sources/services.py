@@ -7,13 +7,14 @@ or a null vector, and never stop the job.
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 Embedder = Callable[[list[str]], list[list[float]]]
@@ -28,10 +29,74 @@ def retried(call: Callable, items: list, tries: int = 3, wait: float = 0.0) -> t
             return call(items), None
         except Exception as e:  # a service may fail in any way; the error's text goes to the result
             error = f"{type(e).__name__}: {e}"
-            time.sleep(wait * 2**attempt)
+            if attempt + 1 < tries:
+                time.sleep(wait * 2**attempt)
     return None, error
 
 
+#: Least answer lengths in tokens, for models in general and for those that reason within it.
+LEAST_TOKENS, LEAST_REASONING_TOKENS = 512, 1024
+
+
+class ChatService:
+    """A generator that asks a chat model, one call for each prompt. post takes a request (model, messages, temperature,
+    max_tokens, top_p and what else the model needs) and returns the response as nested dicts. An answer without content
+    is the model's reasoning, else empty. reasoning and plain name models, by part of their name, whose reasoning counts
+    as part of the answer, and whose reasoning is switched off."""
+
+    def __init__(self, post: Callable[[dict], dict], model: str, system: str = "", temperature: float = 0.1, max_tokens: int = 512, top_p: float = 0.9, tries: int = 3, wait: float = 5.0, reasoning: tuple[str, ...] = ("glm", "gpt-oss"), plain: tuple[str, ...] = ("qwen3", "qwen-3.6")) -> None:
+        self.post, self.model, self.system, self.temperature, self.tries, self.wait = post, model, system, temperature, tries, wait
+        named = lambda names: any(n in model.lower() for n in names)
+        self.extra: dict = {"chat_template_kwargs": {"enable_thinking": False}} if named(plain) else {}
+        self.max_tokens, self.top_p = max(max_tokens, LEAST_REASONING_TOKENS if named(reasoning) else LEAST_TOKENS), top_p
+
+    def at(self, temperature: float) -> ChatService:
+        """The same service at another temperature."""
+        other = copy.copy(self)
+        other.temperature = temperature
+        return other
+
+    def __call__(self, prompts: list[str]) -> list[str]:
+        return [self._answer(p) for p in prompts]
+
+    def _answer(self, prompt: str) -> str:
+        messages = [{"role": "system", "content": self.system}] if self.system else []
+        request = {"model": self.model, "messages": [*messages, {"role": "user", "content": prompt}], "temperature": self.temperature, "max_tokens": self.max_tokens, "top_p": self.top_p, **self.extra}
+        got, error = retried(lambda of: [self.post(of[0])], [request], self.tries, self.wait)
+        if error:
+            raise RuntimeError(error)
+        said = got[0]["choices"][0]["message"]
+        text = said.get("content")
+        return text if text is not None else said.get("reasoning_content") or said.get("reasoning") or ""
+
+
+def tuned(call: Generator, temperature: float | None) -> Generator:
+    """call at a temperature, where it has one."""
+    return call.at(temperature) if temperature is not None and hasattr(call, "at") else call
+
+
+def supporting_verifier(word: str = "CONTRADICTED") -> Generator:
+    """Offline: says word if the answer in a prompt doesn't stand in its facts, else that it is supported."""
+
+    def verify(prompts: list[str]) -> list[str]:
+        out = []
+        for p in prompts:
+            facts, _, answer = (p or "").rpartition("\nAnswer: ")
+            out.append("SUPPORTED" if answer and answer in facts else word)
+        return out
+
+    return verify
+
+
+def shortest_reranker() -> Reranker:
+    """Offline: the shorter a document, the better."""
+
+    def score(pairs: list[tuple[str, str]]) -> list[float]:
+        return [-float(len(d)) for _, d in pairs]
+
+    return score
+
+
 def hashed_embedder(dimensions: int = 64) -> Embedder:
     """Deterministic bag-of-words vectors of length one; an empty text is the zero vector."""
 
@@ -63,8 +128,9 @@ def overlap_reranker() -> Reranker:
     return score
 
 
-def embed(df: DataFrame, text: str, call: Embedder, batch: int = 20) -> DataFrame:
-    """df with a column vector; texts of a batch whose calls all fail get null, never zeros."""
+def embed(df: DataFrame, text: str, call: Embedder, batch: int = 20, pad: int | None = None) -> DataFrame:
+    """df with a column vector; texts of a batch whose calls all fail get null, or with pad so many zeros, which are at
+    distance one from everything."""
 
     @F.arrow_udf("array<double>")
     def run(column: pa.Array) -> pa.Array:
@@ -72,7 +138,7 @@ def embed(df: DataFrame, text: str, call: Embedder, batch: int = 20) -> DataFram
         for at in range(0, len(texts), batch):
             part = texts[at : at + batch]
             got, _ = retried(call, [x or "" for x in part])
-            out += got if got is not None else [None] * len(part)
+            out += got if got is not None else [None if pad is None else [0.0] * pad] * len(part)
         return pa.array(out, pa.list_(pa.float64()))
 
     return df.withColumn("vector", run(F.col(text)))
@@ -94,9 +160,8 @@ def generate(df: DataFrame, prompt: str, call: Generator) -> DataFrame:
     return df.withColumn("__g", run(F.col(prompt))).select(*df.columns, "__g.*")
 
 
-def rerank(hits: DataFrame, question: str, document: str, call: Reranker, top_n: int) -> DataFrame:
-    """Hits reordered by relevance within each qid, the first top_n; where the service fails, as they were."""
-    from pyspark.sql import Window
+def rerank(hits: DataFrame, question: str, document: str, call: Reranker, top_n: int | None = None, keys: tuple[str, ...] = ("qid",)) -> DataFrame:
+    """Hits reordered by relevance within each of keys, the first top_n; where the service fails, as they were."""
 
     @F.arrow_udf("double")
     def run(q: pa.Array, d: pa.Array) -> pa.Array:
@@ -106,7 +171,8 @@ def rerank(hits: DataFrame, question: str, document: str, call: Reranker, top_n:
 
     scored = hits.withColumn("rerank_score", run(F.col(question), F.col(document)))
     # one failed call leaves its query's order alone
-    whole = F.count("rerank_score").over(Window.partitionBy("qid")) == F.count(F.lit(1)).over(Window.partitionBy("qid"))
+    whole = F.count("rerank_score").over(Window.partitionBy(*keys)) == F.count(F.lit(1)).over(Window.partitionBy(*keys))
     scored = scored.withColumn("whole", whole)
-    order = Window.partitionBy("qid").orderBy(F.when(F.col("whole"), -F.col("rerank_score")), "rank")
-    return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top_n).drop("whole")
+    order = Window.partitionBy(*keys).orderBy(F.when(F.col("whole"), -F.col("rerank_score")), "rank")
+    scored = scored.withColumn("rank", F.row_number().over(order).cast("long")).drop("whole")
+    return scored if top_n is None else scored.where(F.col("rank") <= top_n)
