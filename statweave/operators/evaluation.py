@@ -48,6 +48,13 @@ def by_relation(scored: DataFrame) -> DataFrame:
     return rows.rollup("relation").agg(F.grouping("relation").alias("total"), F.count(F.lit(1)).alias("n"), F.sum("nem").cast("long").alias("correct"), F.round(F.avg("nem"), 6).alias("accuracy")).select(F.when(F.col("total") == 1, "OVERALL").otherwise(F.col("relation")).alias("relation"), "n", "correct", "accuracy")
 
 
+def relation_examples(scored: DataFrame, order: str, n: int = 3) -> DataFrame:
+    """The first n answers of each relation in the log's order: the question and the answer cut short, the gold, the score."""
+    rank = F.row_number().over(Window.partitionBy("relation").orderBy(order)).cast("long")
+    rows = scored.withColumn("nth", rank).where(F.col("nth") <= n)
+    return rows.select("relation", "nth", F.substring("question", 1, 100).alias("question"), F.array_join("gold_numbers", ", ").alias("gold"), F.substring("answer", 1, 150).alias("answer"), M.nem(F.col("answer"), F.col("gold_numbers")).alias("nem"))
+
+
 def error_class() -> Column:
     """correct, else by whether a gold token was retrieved and whether the answer has numbers at all."""
     found = F.arrays_overlap(F.col("gold_numbers"), T.extract_numbers(F.array_join("retrieved", " ")))
@@ -66,7 +73,7 @@ def error_taxonomy(results: DataFrame, gold: DataFrame) -> DataFrame:
     return counted.join(F.broadcast(total)).select("category", "n", F.round(F.col("n") / F.col("total"), 6).alias("fraction"))
 
 
-def attribution(scored: DataFrame) -> DataFrame:
+def attribution(scored: DataFrame, *keys: str) -> DataFrame:
     """For each result: 0-based rank of the retrieved text that shares most numbers with the answer (the first
     of several; null without any), how many, and the rank of the first that has a gold number."""
     said, gold = T.rounded(T.numbers(T.extract_numbers(F.col("answer")))), T.rounded(T.numbers(F.col("gold_numbers")))
@@ -75,7 +82,21 @@ def attribution(scored: DataFrame) -> DataFrame:
     overlap = F.transform("seen", lambda s, i: F.struct(F.size(F.array_intersect(s, F.col("said"))).alias("n"), (-i).alias("back")))
     rows = rows.withColumn("best", F.array_max(overlap)).withColumn("gold_rank", F.array_position(F.transform("seen", lambda s: F.arrays_overlap(s, F.col("gold"))), True) - 1)
     hit = F.col("best.n") > 0
-    return rows.select("model", "method", "question", F.when(hit, -F.col("best.back")).cast("long").alias("best_rank"), F.when(hit, F.col("best.n")).otherwise(0).cast("long").alias("overlap"), F.when(F.col("gold_rank") >= 0, F.col("gold_rank")).cast("long").alias("gold_rank"))
+    return rows.select(*(keys or ("model", "method", "question")), F.when(hit, -F.col("best.back")).cast("long").alias("best_rank"), F.when(hit, F.col("best.n")).otherwise(0).cast("long").alias("overlap"), F.when(F.col("gold_rank") >= 0, F.col("gold_rank")).cast("long").alias("gold_rank"))
+
+
+def attribution_summary(scored: DataFrame, *keys: str) -> DataFrame:
+    """keys, how many results there are and have facts; in percent of those, how many answers come from a fact and how
+    often the gold is among the facts; the mean 0-based rank of the facts that answers come from, and in percent how
+    often that is the first, and one of the first three."""
+    rows = scored.where("error is null").withColumn("__has", F.size("retrieved") > 0)
+    found = attribution(rows, *keys, "__has")
+    share = lambda hits, of: F.round(100 * F.try_divide(hits, of), 1)
+    has, got = F.count_if("__has"), F.count("best_rank")
+    return found.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("total"), has.alias("has_triples"), share(got, has).alias("attributed_pct"), share(F.count("gold_rank"), has).alias("gold_in_context_pct"),
+        F.round(F.avg("best_rank"), 2).alias("mean_rank"), share(F.count_if(F.col("best_rank") == 0), got).alias("rank_1_pct"), share(F.count_if(F.col("best_rank") < 3), got).alias("rank_top3_pct"),
+    )
 
 
 def tolerance_sweep(scored: DataFrame, tolerances: tuple[float, ...] = (0.005, 0.01, 0.02, 0.05)) -> DataFrame:

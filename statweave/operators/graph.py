@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statweave.session import cut_lineage
+from statweave.sources.services import Generator, generate
 
 
 def breadth_first(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
@@ -134,10 +135,33 @@ def membership_facts(entities: DataFrame, units: DataFrame, most: int = 3) -> Da
     return entities.select("entity").distinct().join(named, "entity").withColumn("rank", rank.cast("long")).where(F.col("rank") <= most)
 
 
-def community_facts(members: DataFrame, triples: DataFrame, first_members: int = 10, each: int = 3, most: int = 15) -> DataFrame:
-    """Facts for a community's report: of its first members as topics a few each, then the first of all."""
-    ranked = members.withColumn("m", F.row_number().over(Window.partitionBy("community").orderBy("node"))).where(F.col("m") <= first_members)
+def community_facts(members: DataFrame, triples: DataFrame, first_members: int = 10, each: int = 3, most: int = 15, entities: DataFrame | None = None, described: int = 5) -> DataFrame:
+    """Facts for a community's report: of its first members as topics a few each, then the first of all. With entities
+    (entity, description), a community without facts has the descriptions of its first described members."""
+    ranked = members.withColumn("m", F.row_number().over(Window.partitionBy("community").orderBy("node")))
     few = triples.withColumn("t", F.row_number().over(Window.partitionBy("source_topic").orderBy("tid"))).where(F.col("t") <= each)
-    facts = ranked.join(few, ranked["node"] == few["source_topic"])
+    facts = ranked.where(F.col("m") <= first_members).join(few, ranked["node"] == few["source_topic"])
     facts = facts.withColumn("rank", F.row_number().over(Window.partitionBy("community").orderBy("m", "t")).cast("long")).where(F.col("rank") <= most)
-    return facts.select("community", "rank", F.concat(F.lit("- "), F.concat_ws(" ", "subject", "relation", "object")).alias("fact"))
+    facts = facts.select("community", "rank", F.concat(F.lit("- "), F.concat_ws(" ", "subject", "relation", "object")).alias("fact"))
+    if entities is None:
+        return facts
+    facts = cut_lineage(facts)
+    bare = ranked.join(facts.select("community").distinct(), "community", "left_anti").join(entities.select(F.col("entity").alias("node"), "description"), "node")
+    bare = bare.withColumn("rank", F.row_number().over(Window.partitionBy("community").orderBy("m")).cast("long")).where(F.col("rank") <= described)
+    return facts.unionByName(bare.select("community", "rank", F.concat(F.lit("- "), "node", F.lit(": "), "description").alias("fact")))
+
+
+def community_reports(members: DataFrame, triples: DataFrame, call: Generator, entities: DataFrame | None = None) -> DataFrame:
+    """One report a community: community, title (its first three members), summary, level, rank (its size), error. The
+    generator is asked for a summary of the members and facts; where it fails, the summary names the first members."""
+    listed = members.withColumn("m", F.row_number().over(Window.partitionBy("community").orderBy("node"))).where(F.col("m") <= 10)
+    names = lambda n: F.array_join(F.slice("names", 1, n), ", ")
+    sizes = members.groupBy("community").agg(F.count(F.lit(1)).alias("rank"))
+    first = listed.groupBy("community").agg(F.array_sort(F.collect_list("node")).alias("names")).join(sizes, "community")
+    facts = community_facts(members, triples, entities=entities).groupBy("community").agg(F.array_sort(F.collect_list(F.struct("rank", "fact"))).alias("f"))
+    facts = facts.select("community", F.array_join(F.transform("f", lambda x: x["fact"]), "\n").alias("facts"))
+    prompt = F.concat(F.lit("Summarise in two or three sentences what these topics have in common, with their key figures.\nTopics: "), names(10), F.lit("\nFacts:\n"), F.coalesce("facts", F.lit("")))
+    asked = generate(first.join(facts, "community", "left").withColumn("prompt", prompt), "prompt", call)
+    summary = F.when(F.col("error").isNull(), F.col("answer")).otherwise(F.concat(F.lit("Community covering: "), names(5)))
+    title = F.concat(F.lit("Community "), F.col("community").cast("string"), F.lit(": "), names(3))
+    return asked.select("community", title.alias("title"), summary.alias("summary"), F.lit(0).alias("level"), "rank", "error")

@@ -35,17 +35,24 @@ def metadata_condition(where: dict) -> Column:
     return reduce(and_, parts, F.lit(True))
 
 
+def renamed_filter(where: dict | None, names: dict[str, str]) -> dict | None:
+    """The same filter over columns of other names, inside "$and" and "$or" too."""
+    if where is None:
+        return None
+    return {names.get(k, k): [renamed_filter(x, names) for x in v] if k in ("$and", "$or") else v for k, v in where.items()}
+
+
 def exclude(index: DataFrame, column: str, held_out: DataFrame) -> DataFrame:
     """Rows whose column is not in the held-out set; null stays."""
     return index.join(held_out.select(F.col(held_out.columns[0]).alias(column)).distinct(), column, "left_anti")
 
 
-def cosine_topk(queries: DataFrame, index: DataFrame, k: int, query_bytes: int = QUERY_BYTES) -> DataFrame:
+def cosine_topk(queries: DataFrame, index: DataFrame, k: int, query_bytes: int = QUERY_BYTES, later_first: bool = False) -> DataFrame:
     """queries (qid long, vector), index (id long, vector): qid, id, distance, rank of each query's k nearest.
 
     One block of queries goes to every task, which multiplies it with batches of the index and keeps k rows a
     query; only those rows shuffle for the final ranking. Queries beyond query_bytes make further blocks.
-    Ties go to the smaller id; a zero vector is at distance 1.
+    Ties go to the smaller id, or with later_first to the larger; a zero vector is at distance 1.
     """
     spark = queries.sparkSession
     n = queries.count()
@@ -60,11 +67,11 @@ def cosine_topk(queries: DataFrame, index: DataFrame, k: int, query_bytes: int =
             continue
         vectors = np.array(rows.column("vector").to_pylist(), np.float64)
         held = spark.sparkContext.broadcast((rows.column("qid").to_numpy(), _unit(vectors)))
-        near = index.select("id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(_nearest(held, k), "qid long, id long, distance double")
+        near = index.select("id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(_nearest(held, k, later_first), "qid long, id long, distance double")
         out = near if out is None else out.unionByName(near)
     if out is None:
         return spark.createDataFrame([], "qid long, id long, distance double, rank long")
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id")).cast("long")
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", F.desc("id") if later_first else "id")).cast("long")
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
@@ -73,7 +80,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
 
 
-def _nearest(held, k: int):
+def _nearest(held, k: int, later_first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qid, queries = held.value
         ids = np.zeros((len(qid), 0), np.int64)
@@ -86,7 +93,7 @@ def _nearest(held, k: int):
             ids = np.concatenate([ids, np.broadcast_to(batch.column("id").to_numpy(), (len(qid), batch.num_rows))], axis=1)
             distance = np.concatenate([distance, 1 - queries @ x.T], axis=1)
             if ids.shape[1] > k:
-                keep = np.lexsort((ids, distance), axis=1)[:, :k]
+                keep = np.lexsort((-ids if later_first else ids, distance), axis=1)[:, :k]
                 ids, distance = np.take_along_axis(ids, keep, 1), np.take_along_axis(distance, keep, 1)
         if ids.size:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, ids.shape[1])), pa.array(ids.ravel()), pa.array(distance.ravel())], names=["qid", "id", "distance"])
@@ -101,9 +108,11 @@ def gate(hits: DataFrame, queries: DataFrame, most: float | None) -> DataFrame:
     return queries.select("qid").distinct().join(counted, "qid", "left").select("qid", F.coalesce("kept", F.lit(0)).alias("kept"), F.col("kept").isNull().alias("zero_shot"))
 
 
-def numbered_context(hits: DataFrame, document: str) -> DataFrame:
+def numbered_context(hits: DataFrame, document: str, *keys: str) -> DataFrame:
+    """keys (qid by default) and context: the documents by rank, each after its number."""
     lines = F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("["), F.col("rank"), F.lit("] "), F.col(document)).alias("line"))))
-    return hits.groupBy("qid").agg(lines.alias("l")).select("qid", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("context"))
+    keys = keys or ("qid",)
+    return hits.groupBy(*keys).agg(lines.alias("l")).select(*keys, F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("context"))
 
 
 def prose_context(hits: DataFrame, document: str, prefix: str = "According to the available data, ") -> DataFrame:
@@ -113,6 +122,13 @@ def prose_context(hits: DataFrame, document: str, prefix: str = "According to th
     return hits.groupBy("qid").agg(lines.alias("l")).select("qid", F.concat(F.lit(prefix), F.array_join(F.transform("l", lambda x: x["line"]), ". "), F.lit(".")).alias("context"))
 
 
+def retrieved(hits: DataFrame, document: str, *keys: str) -> DataFrame:
+    """keys (qid by default) and retrieved: the documents by rank."""
+    keys = keys or ("qid",)
+    lines = F.array_sort(F.collect_list(F.struct("rank", F.col(document).alias("line"))))
+    return hits.groupBy(*keys).agg(F.transform(lines, lambda x: x["line"]).alias("retrieved"))
+
+
 def two_hop(hits: DataFrame, triples: DataFrame, k: int) -> DataFrame:
     """hits (qid, id, rank) and further triples (id, subject, document) with a hit's subject, at most 3k by id;
     hop one first, documents once, the first k: qid, document, rank."""

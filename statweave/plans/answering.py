@@ -6,51 +6,91 @@ Each returns the questions with method, answer, error and latency_ms, and the co
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statweave.operators import graph as G
 from statweave.operators import retrieval as R
+from statweave.operators import triples as K
+from statweave.session import cut_lineage
+from statweave.sources import files
 from statweave.sources import services as V
 
 
-def _ask(questions: DataFrame, context: DataFrame | None, call: V.Generator, method: str) -> DataFrame:
+#: What stands for facts where none could be had.
+NO_FACTS = "(No reference facts available)"
+
+
+def _ask(questions: DataFrame, context: DataFrame | None, call: V.Generator, method: str, temperature: float | None = None) -> DataFrame:
     q = questions if context is None else questions.join(context, "qid", "left")
     text = F.concat(F.lit("Question: "), "question")
     if context is not None:  # without anything retrieved the question stands alone
         text = F.when(F.col("context").isNull(), text).otherwise(F.concat(F.lit("Context:\n"), "context", F.lit("\n\n"), text))
-    return V.generate(q.withColumn("prompt", text), "prompt", call).withColumn("method", F.lit(method))
+    return V.generate(q.withColumn("prompt", text), "prompt", V.tuned(call, temperature)).withColumn("method", F.lit(method))
 
 
-def _hits(questions: DataFrame, index: DataFrame, embed: V.Embedder, k: int, most: float | None) -> DataFrame:
-    vectors = V.embed(questions.select("qid", "question"), "question", embed)
-    near = R.cosine_topk(vectors.where("vector is not null").select("qid", "vector"), index.select("id", "vector"), k)
+def _hits(questions: DataFrame, index: DataFrame, embed: V.Embedder | None, k: int, most: float | None, where: dict | None = None, later_first: bool = False) -> DataFrame:
+    """The nearest rows of the index that pass the filter, at most most away. Questions that have vectors keep them."""
+    allowed = index if where is None else index.where(R.metadata_condition(where))
+    vectors = questions.select("qid", "vector") if "vector" in questions.columns else cut_lineage(V.embed(questions.select("qid", "question"), "question", embed))
+    near = R.cosine_topk(vectors.where("vector is not null").select("qid", "vector"), allowed.select("id", "vector"), k, later_first=later_first)
     near = near if most is None else near.where(F.col("distance") <= most)
-    return near.join(index.drop("vector"), "id")
+    return near.join(allowed.drop("vector"), "id")
+
 
+def _context(hits: DataFrame, *keys: str) -> DataFrame:
+    """The numbered facts, and the list of them, from hits that are looked at once."""
+    hits = cut_lineage(hits.select(*(keys or ("qid",)), "rank", "document"))
+    return R.numbered_context(hits, "document", *keys).join(R.retrieved(hits, "document", *keys), [*(keys or ("qid",))])
 
-def zero_shot(questions: DataFrame, call: V.Generator) -> DataFrame:
-    return _ask(questions, None, call, "zero_shot")
 
+def zero_shot(questions: DataFrame, call: V.Generator, temperature: float | None = None) -> DataFrame:
+    return _ask(questions, None, call, "zero_shot", temperature)
 
-def kg_retrieval(questions: DataFrame, index: DataFrame, embed: V.Embedder, call: V.Generator, k: int = 5, most: float | None = None, rerank: V.Reranker | None = None, method: str = "kg_retrieval") -> DataFrame:
-    """index: id, vector, subject, document. Also retrieval over paragraphs, with chunks for documents."""
-    hits = _hits(questions, index, embed, k, most)
+
+def kg_retrieval(
+    questions: DataFrame, index: DataFrame | dict[str, DataFrame], embed: V.Embedder | None, call: V.Generator, k: int = 5, most: float | None = None, rerank: V.Reranker | None = None, method: str = "kg_retrieval",
+    where: dict | None = None, granularity: str = "fine", temperature: float | None = None,
+) -> DataFrame:
+    """index: id, vector, document and metadata, or one for each granularity. where is a filter on the metadata, applied
+    before ranking. Questions without anything near enough are asked alone."""
+    index = index[granularity] if isinstance(index, dict) else index
+    hits = _hits(questions, index, embed, k, most, where)
     if rerank is not None:
-        hits = V.rerank(hits.join(questions, "qid"), "question", "document", rerank, k)
-    return _ask(questions, R.numbered_context(hits, "document"), call, method)
+        hits = V.rerank(hits.join(questions.select("qid", "question"), "qid"), "question", "document", rerank, k)
+    return _ask(questions, _context(hits), call, method, temperature)
+
+
+def chunk_index(corpus: DataFrame, embed: V.Embedder, path: str, topic: str = "topic", text: str = "full_text") -> DataFrame:
+    """The index of a corpus's paragraphs at path (id, vector, document, topic, chunk_idx), made when it is first asked
+    for."""
+    spark = corpus.sparkSession
+    if not files.exists(spark, path):
+        chunks = K.paragraph_chunks(corpus, topic, text).select(F.col(topic).alias("topic"), "chunk_idx", F.col("chunk").alias("document"))
+        rows = files.positions(chunks.withColumn("at", F.col("chunk_idx").cast("int")), "topic", "at").withColumnRenamed("position", "id").drop("at")
+        files.write_index(V.embed(rows, "document", embed), path, "topic")
+    return spark.read.parquet(path)
 
 
-def graph_retrieval(questions: DataFrame, index: DataFrame, embed: V.Embedder, call: V.Generator, k: int = 50, most: float | None = None) -> DataFrame:
-    seeds = _hits(questions, index, embed, max(k // 2, 10), most).select("qid", "id", "rank")
-    return _ask(questions, R.numbered_context(R.two_hop(seeds, index.drop("vector"), k), "document"), call, "graph_rag")
+def standard_rag(questions: DataFrame, chunks: DataFrame, embed: V.Embedder | None, call: V.Generator, k: int = 5, where: dict | None = None, temperature: float | None = None) -> DataFrame:
+    """Retrieval over paragraphs. A filter on the facts' topics is one on the paragraphs' topics."""
+    hits = _hits(questions, chunks, embed, k, None, R.renamed_filter(where, {"source_topic": "topic"}))
+    return _ask(questions, _context(hits), call, "standard_rag", temperature)
+
+
+def graph_retrieval(questions: DataFrame, index: DataFrame, embed: V.Embedder | None, call: V.Generator, k: int = 50, most: float | None = None, where: dict | None = None, temperature: float | None = None) -> DataFrame:
+    """Facts near the question and those of the same subjects; the filter holds for both."""
+    seeds = _hits(questions, index, embed, max(k // 2, 10), most, where).select("qid", "id", "rank")
+    allowed = index if where is None else index.where(R.metadata_condition(where))
+    return _ask(questions, _context(R.two_hop(seeds, allowed.drop("vector"), k)), call, "graph_rag", temperature)
 
 
 def community_retrieval(questions: DataFrame, entities: DataFrame, reports: DataFrame, embed: V.Embedder, call: V.Generator, k: int = 10, most_reports: int = 5, units: DataFrame | None = None, each: int = 3, most_facts: int = 10) -> DataFrame:
     """entities: id, vector, entity, community; reports: community, summary; units: unit, text, entity_ids. The
     communities of the nearest entities, by their best entity, then the first text units of each entity."""
-    near = _hits(questions, entities.withColumn("document", F.col("entity")), embed, k, None)
+    near = cut_lineage(_hits(questions, entities.withColumn("document", F.col("entity")), embed, k, None, later_first=True))
     best = near.groupBy("qid", "community").agg(F.min("rank").alias("rank"))
     found = R.first_hits(best, most_reports).join(reports, "community")
     context = R.numbered_context(found, "summary")
@@ -77,34 +117,51 @@ def hybrid_retrieval(questions: DataFrame, entities: DataFrame, relations: DataF
     return _ask(questions, R.numbered_context(ranked, "document"), call, "hybrid")
 
 
-def verified(questions: DataFrame, index: DataFrame, embed: V.Embedder, draft: V.Generator, verify: V.Generator, revise: V.Generator, k: int = 5) -> DataFrame:
-    """Draft, check against retrieved facts, revise only what the check calls CONTRADICTED."""
+def verified(questions: DataFrame, index: DataFrame | None, embed: V.Embedder | None, draft: V.Generator, verify: V.Generator, revise: V.Generator, k: int = 5, where: dict | None = None) -> DataFrame:
+    """Draft, check against retrieved facts, revise only what the check calls CONTRADICTED. Without an index, or where
+    nothing is found, a placeholder stands for the facts."""
     first = zero_shot(questions, draft).select("qid", "question", F.col("answer").alias("draft"))
-    context = R.numbered_context(_hits(questions, index, embed, k, None), "document")
+    if index is None:
+        context = first.select("qid", F.lit(None).cast("string").alias("context"), F.lit(None).cast("array<string>").alias("retrieved"))
+    else:
+        context = _context(_hits(questions, index, embed, k, None, where))
     return _revised(first.join(context, "qid", "left"), verify, revise, "CONTRADICTED", "conli")
 
 
 def self_verified(questions: DataFrame, draft: V.Generator, verify: V.Generator, revise: V.Generator, extract: V.Generator | None = None) -> DataFrame:
     """Draft, extract its claims (by draft's generator where no other is given), check them alone, refine only
     what the check calls INCORRECT."""
-    first = zero_shot(questions, draft).select("qid", "question", F.col("answer").alias("draft"), F.lit(None).cast("string").alias("context"))
+    first = zero_shot(questions, draft).select("qid", "question", F.col("answer").alias("draft"), F.lit(None).cast("string").alias("context"), F.lit(None).cast("array<string>").alias("retrieved"))
     first = V.generate(first.withColumn("prompt", F.concat(F.lit("List the factual claims of this answer, one a line.\nAnswer: "), "draft")), "prompt", extract or draft)
-    first = first.select("qid", "question", "draft", "context", F.col("answer").alias("claims"))
+    first = first.select("qid", "question", "draft", "context", "retrieved", F.col("answer").alias("claims"))
     return _revised(first, verify, revise, "INCORRECT", "cove", "claims").drop("claims")
 
 
+def rejected(verdict: Column, word: str) -> Column:
+    """Whether a check's answer holds the word that rejects."""
+    return F.contains(verdict, F.lit(word))
+
+
 def _revised(drafts: DataFrame, verify: V.Generator, revise: V.Generator, word: str, method: str, subject: str = "draft") -> DataFrame:
-    facts = F.coalesce("context", F.lit("none"))
+    facts = F.coalesce("context", F.lit(NO_FACTS))
     checked = V.generate(drafts.withColumn("prompt", F.concat(F.lit("Facts:\n"), facts, F.lit("\nAnswer: " if subject == "draft" else "\nClaims: "), subject)), "prompt", verify)
-    checked = checked.withColumnRenamed("answer", "verdict").drop("error", "latency_ms")
-    wrong = F.contains(F.col("verdict"), F.lit(word))
+    checked = cut_lineage(checked.withColumnRenamed("answer", "verdict").drop("error", "latency_ms"))
+    wrong = F.coalesce(rejected(F.col("verdict"), word), F.lit(False))
     # only the rejected drafts go to the generator again
-    again = V.generate(checked.where(wrong).withColumn("prompt", F.concat(F.lit("Context:\n"), facts, F.lit("\n\nQuestion: "), "question")), "prompt", revise)
-    kept = checked.where(F.coalesce(~wrong, F.lit(True))).withColumns({"answer": F.col("draft"), "error": F.lit(None).cast("string"), "latency_ms": F.lit(0.0)})
+    again = F.concat(F.lit("Context:\n"), facts, F.lit("\n\nQuestion: "), "question", F.lit("\nFirst answer: "), "draft", F.lit("\nTo be corrected: "), "verdict")
+    again = V.generate(checked.where(wrong).withColumn("prompt", again), "prompt", revise)
+    kept = checked.where(~wrong).withColumns({"answer": F.col("draft"), "error": F.lit(None).cast("string"), "latency_ms": F.lit(0.0)})
     return again.unionByName(kept).withColumn("method", F.lit(method))
 
 
-METHODS: dict[str, Callable[..., DataFrame]] = {"zero_shot": zero_shot, "kg_retrieval": kg_retrieval, "hpti": kg_retrieval, "standard_rag": kg_retrieval, "graph_rag": graph_retrieval, "community": community_retrieval, "hybrid": hybrid_retrieval, "conli": verified, "cove": self_verified}
+def compared_indexes(questions: DataFrame, indexes: dict[str, tuple[DataFrame, dict | None]], embed: V.Embedder | None, call: V.Generator, k: int = 5) -> DataFrame:
+    """The same retrieval, without reranking, over several indexes, each with its own filter or none: a held-out filter
+    belongs to the own one only. The method of an answer ends in its index's name."""
+    parts = [kg_retrieval(questions, index, embed, call, k, where=where, method=f"kg_retrieval_{name}") for name, (index, where) in indexes.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+METHODS: dict[str, Callable[..., DataFrame]] = {"zero_shot": zero_shot, "kg_retrieval": kg_retrieval, "hpti": kg_retrieval, "standard_rag": standard_rag, "graph_rag": graph_retrieval, "community": community_retrieval, "hybrid": hybrid_retrieval, "conli": verified, "cove": self_verified}
 
 
 def run(method: str, *args: object, **settings: object) -> DataFrame:
