@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statweave.functions import text as T
+from statweave.operators import triples as K
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -94,14 +97,71 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vector"), F.col("label").cast("long").alias("label"))
 
 
+def squeezed(sql: str) -> str:
+    """A text without white space at its ends, as T.strip makes it."""
+    return f"regexp_replace(regexp_replace({sql}, '^{T.SPACE}+', ''), '{T.SPACE}+$', '')"
+
+
+def normal(sql: str) -> str:
+    """A text as T.normalize_string makes it."""
+    return f"regexp_replace(regexp_replace({squeezed(f'nfc_normalize({sql})')}, '{T.SPACE}+', ' ', 'g'), '\\.+$', '')"
+
+
 def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text with figures: one article for each part."""
+    """Text with figures, and with white space of all kinds: one article for each part."""
     part = table(spark, sf_dir, "part")
     s = lambda c: F.col(c).cast("string")
-    text = F.concat(F.lit("The "), s("p_name"), F.lit(" by "), s("p_brand"), F.lit(" costs about "), price().cast("string"), F.lit(" dollars and weighs "), s("p_size"), F.lit(" kg in all. Short 5%. A "), s("p_type"), F.lit(" part with no figures in it whatsoever, as such things go! ^ see "), s("p_size"), F.lit("% of the pages that were cited in the literature here."))
+    kind = F.col("p_partkey") % 5
+    text = F.concat(
+        F.when(kind == 0, "\n^ ").when(kind == 1, "\u00a0\t").otherwise(""), F.lit("The "), s("p_name"), F.lit(" by "), s("p_brand"), F.lit(" costs about "), price().cast("string"), F.lit(" dollars and weighs "), s("p_size"), F.lit(" kg in all."),
+        F.when(kind == 2, "\u2003").when(kind == 3, "\n").otherwise(" "), F.lit("Short 5%. A "), s("p_type"), F.lit(" part with no figures in it whatsoever, as such things go!"),
+        F.when(kind == 4, "\u00a0").otherwise(" "), F.lit("^ see "), s("p_size"), F.lit("% of the pages that were cited in the literature here."),
+    )
     return part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("topic"), text.alias("text"))
 
 
 PROSE = """
-A AS (SELECT p_partkey AS id, p_brand AS topic, 'The ' || p_name || ' by ' || p_brand || ' costs about ' || CAST(floor(p_retailprice) AS BIGINT) || ' dollars and weighs ' || p_size || ' kg in all. Short 5%. A ' || p_type
-      || ' part with no figures in it whatsoever, as such things go! ^ see ' || p_size || '% of the pages that were cited in the literature here.' AS text FROM part)"""
+A AS (SELECT p_partkey AS id, p_brand AS topic,
+        CASE p_partkey % 5 WHEN 0 THEN chr(10) || '^ ' WHEN 1 THEN chr(160) || chr(9) ELSE '' END || 'The ' || p_name || ' by ' || p_brand || ' costs about ' || CAST(floor(p_retailprice) AS BIGINT) || ' dollars and weighs ' || p_size || ' kg in all.'
+        || CASE p_partkey % 5 WHEN 2 THEN chr(8195) WHEN 3 THEN chr(10) ELSE ' ' END || 'Short 5%. A ' || p_type || ' part with no figures in it whatsoever, as such things go!'
+        || CASE p_partkey % 5 WHEN 4 THEN chr(160) ELSE ' ' END || '^ see ' || p_size || '% of the pages that were cited in the literature here.' AS text FROM part)"""
+#: The statistical sentences of the prose, with their positions among all sentences.
+SENTENCES = (
+    PROSE
+    + f""",
+Z AS (SELECT id, topic, unnest(cut) AS raw, generate_subscripts(cut, 1) - 1 AS pos FROM (SELECT *, string_split(regexp_replace(text, '([.!?]){T.SPACE}+', '\\1' || chr(1), 'g'), chr(1)) AS cut FROM A) c),
+S AS (SELECT id, topic, pos, {squeezed("raw")} AS sentence FROM Z),
+SS AS (SELECT * FROM S WHERE length(sentence) >= 50 AND sentence NOT LIKE '^%' AND sentence NOT LIKE '%== %' AND sentence NOT LIKE 'ISBN%'
+       AND regexp_matches(sentence, '(?i)(\\d+\\.?\\d*\\s*%|\\d+\\.?\\d*\\s*(tons?|tonnes?|kilograms?|kg)|(approximately|about|nearly|over|up\\s+to|around)\\s+\\d+)'))"""
+)
+
+
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector index: each vector stands for the fact of the same number; its topic is its label's."""
+    t = triples(spark, sf_dir).select("tid", "subject", "relation", "object")
+    of = lambda level: K.verbalise(level).alias(level)
+    return vectors(spark, sf_dir).join(t, F.col("id") == F.col("tid")).select("id", "vector", F.concat(F.lit("t"), F.col("label").cast("string")).alias("source_topic"), "subject", "relation", "object", *map(of, K.LEVELS))
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question for each fact of the stated query set, and the figure that answers it."""
+    rows = facts(spark, sf_dir).where("id % 50 = 0")
+    text = F.concat(F.lit("What is the "), "relation", F.lit(" of "), "subject", F.lit(" ("), F.col("id").cast("string"), F.lit(")?"))
+    return rows.select(F.col("id").alias("qid"), text.alias("question"), "vector", F.array(F.regexp_extract("object", "^[0-9]+", 0)).alias("gold_numbers"), F.lit(0).alias("id"))
+
+
+ASKED = (
+    TRIPLES
+    + """,
+FI AS (SELECT CAST(vec_id AS BIGINT) AS id, CAST(label AS BIGINT) AS label, CAST(embedding AS DOUBLE[]) AS v, subject,
+              'The ' || relation || ' of ' || subject || ' is ' || object || '.' AS fine, subject || ' - ' || relation || ': ' || object AS medium, subject || ': ' || relation || '=' || object AS coarse, CAST(regexp_extract(object, '^[0-9]+') AS DOUBLE) AS figure
+       FROM embeddings JOIN T ON tid = vec_id),
+FD AS (SELECT mode, q.id AS qid, q.figure AS gold, x.id, x.subject, x.fine, x.medium, x.coarse, 1 - list_cosine_similarity(q.v, x.v) AS distance
+       FROM (VALUES ('held_out'), ('full_index')) m(mode), FI q, FI x WHERE q.id % 50 = 0 AND (mode = 'full_index' OR x.label NOT IN (0, 3))),
+FN AS (SELECT *, row_number() OVER (PARTITION BY mode, qid ORDER BY distance, id) AS rank FROM FD)"""
+)
+
+
+def right(document: str) -> str:
+    """SQL for whether a document has a number close to gold."""
+    return f"CASE WHEN len(list_filter({NUMS.format(document)}, lambda p: abs(p - gold) / gold <= 0.01)) > 0 THEN 1.0 ELSE 0.0 END"

@@ -10,12 +10,19 @@ from pyspark.sql import functions as F
 from statweave.functions import metrics as M
 from statweave.functions import text as T
 from statweave.functions.vectors import cosine
+from statweave.operators import crawl as C
 from statweave.operators import evaluation as E
 from statweave.operators import graph as G
 from statweave.operators import retrieval as R
 from statweave.operators import statistics as S
 from statweave.operators import triples as K
+from statweave.plans import answering as A
+from statweave.plans import experiments as N
 from statweave.plans import fixtures as X
+from statweave.session import cut_lineage, shared_path
+from statweave.sources import files
+from statweave.sources import services as V
+from statweave.sources import sparql as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -147,18 +154,31 @@ def cosine_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 
 # text and triples
-@query(with_(X.PROSE) + r""", Z AS (SELECT id, unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS sentence FROM A)
-SELECT id, trim(sentence) AS sentence FROM Z WHERE length(trim(sentence)) >= 50 AND trim(sentence) NOT LIKE '^%' AND sentence NOT LIKE '%== %' AND trim(sentence) NOT LIKE 'ISBN%'
- AND regexp_matches(sentence, '(?i)(\d+\.?\d*\s*%|\d+\.?\d*\s*(tons?|tonnes?|kilograms?|kg)|(approximately|about|nearly|over|up\s+to|around)\s+\d+)')""")
+@query(with_(X.SENTENCES) + "SELECT id, sentence FROM SS")
 def stat_sentence_filter(spark: SparkSession, d: str) -> DataFrame:
     return K.statistical_sentences(X.prose(spark, d), "text", "id").select("id", "sentence")
 
 
-@query(with_(X.PROSE) + r""", Z AS (SELECT topic, id, row_number() OVER (PARTITION BY topic ORDER BY id) AS rn, 'The' || substr(text, 4, 10) AS s FROM A)
-SELECT topic, CAST(floor((rn - 1) / 5) AS BIGINT) AS batch, string_agg(s, chr(10) ORDER BY rn) AS sentences, count(*) AS n FROM Z WHERE rn <= 20 GROUP BY ALL""")
+@query(with_(X.SENTENCES) + """, RN AS (SELECT topic, sentence, row_number() OVER (PARTITION BY topic ORDER BY id, pos) AS rn FROM SS)
+SELECT topic, CAST(floor((rn - 1) / 5) AS BIGINT) AS batch, string_agg(sentence, chr(10) ORDER BY rn) AS sentences, count(*) AS n FROM RN WHERE rn <= 20 GROUP BY ALL""")
 def sentence_batches(spark: SparkSession, d: str) -> DataFrame:
-    rows = X.prose(spark, d).select("topic", "id", F.concat(F.lit("The"), F.substring("text", 4, 10)).alias("sentence"))
-    return K.sentence_batches(rows, "topic", "id", "sentence")
+    rows = K.statistical_sentences(X.prose(spark, d), "text", "topic", "id")
+    return K.sentence_batches(rows.withColumn("at", F.struct("id", "pos")), "topic", "at", "sentence")
+
+
+@query(with_(X.SENTENCES) + """, C AS (SELECT id, count(*) FILTER (length(sentence) >= 50) AS sentence_count FROM SS GROUP BY id)
+SELECT CAST(id AS VARCHAR) AS topic, sentence_count FROM C WHERE sentence_count > 0 AND id NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)""")
+def work_list(spark: SparkSession, d: str) -> DataFrame:
+    """Topics with statistical sentences that no earlier run has done."""
+    text = X.prose(spark, d).select(F.col("id").cast("string").alias("topic"), F.size(F.filter(T.sentences(F.col("text")), T.is_statistical)).cast("long").alias("sentence_count"))
+    done = X.table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").cast("string").alias("topic"))
+    return K.work_list(text, done).select("topic", "sentence_count")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS position, doc_id FROM documents ORDER BY doc_id LIMIT 20")
+def first_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """The first so many in file order, which is what a limit on a run takes."""
+    return files.positions(X.table(spark, d, "documents").select("doc_id"), "doc_id").where("position < 20").select("position", "doc_id")
 
 
 @query(r"SELECT doc_id, t.token, round(TRY_CAST(regexp_replace(t.token, '[,%\s]', '', 'g') AS DOUBLE), 6) AS value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '-?\d+(?:,\d{3})*(?:\.\d+)?(?:\s*%)?')) AS token FROM documents) t")
@@ -167,20 +187,19 @@ def extract_numbers_docs(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("value", F.round(T.to_number(F.col("token")), 6))
 
 
-@query(r"SELECT doc_id, regexp_replace(trim(regexp_replace(substr(text, 1, 60), '\s+', ' ', 'g')), '\.+$', '') AS normalized FROM documents")
+@query(f"SELECT doc_id, {X.normal('text')} AS normalized FROM documents")
 def normalize_strings(spark: SparkSession, d: str) -> DataFrame:
-    return X.table(spark, d, "documents").select("doc_id", T.normalize_string(F.substring("text", 1, 60), compose=True).alias("normalized"))
+    return X.table(spark, d, "documents").select("doc_id", T.normalize_string(F.col("text")).alias("normalized"))
 
 
-KEYS = r"""
-Y AS (SELECT doc_id, substr(text, 1, 60) AS entity, regexp_replace(trim(regexp_replace(substr(text, 1, 60), '\s+', ' ', 'g')), '\.+$', '') AS norm FROM documents),
+KEYS = f"Y AS (SELECT doc_id, text AS entity, {X.normal('text')} AS norm FROM documents)," + r"""
 Z AS (SELECT *, regexp_replace(regexp_replace(lower(norm), '(^|[^\p{L}\p{M}\p{N}_])(the|a|an)($|[^\p{L}\p{M}\p{N}_])', '\1\3', 'g'), '(^|[^\p{L}\p{M}\p{N}_])(the|a|an)($|[^\p{L}\p{M}\p{N}_])', '\1\3', 'g') AS k FROM Y),
-C AS (SELECT doc_id, entity, norm, trim(regexp_replace(regexp_replace(replace(k, '''s', ''), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g')) AS key FROM Z)"""
+C AS (SELECT doc_id, entity, norm, trim(regexp_replace(regexp_replace(replace(k, '\'\'s', ''), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g')) AS key FROM Z)""".replace("\\'\\'", "''")
 
 
 @query(with_(KEYS) + "SELECT key, count(*) AS n, count(DISTINCT entity) AS variants FROM C GROUP BY key")
 def canonical_key_groups(spark: SparkSession, d: str) -> DataFrame:
-    rows = X.table(spark, d, "documents").select(F.substring("text", 1, 60).alias("entity"))
+    rows = X.table(spark, d, "documents").select(F.col("text").alias("entity"))
     return rows.groupBy(T.canonical_key(F.col("entity")).alias("key")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("entity").alias("variants"))
 
 
@@ -224,11 +243,17 @@ def validate_triples(spark: SparkSession, d: str) -> DataFrame:
     return K.validate(raw, vocabulary).select("event_id", "relation", "object")
 
 
-@query("SELECT p_partkey, p_name AS subject, 'HasCapacity' AS relation, CAST(p_size AS VARCHAR) || ' units' AS object FROM part WHERE p_partkey % 3 <> 2")
+@query("""SELECT p_partkey, p_name AS subject, 'HasCapacity' AS relation, CAST(p_size AS VARCHAR) || ' units' AS object FROM part WHERE p_partkey % 6 IN (0, 1, 4)
+UNION ALL SELECT p_partkey, p_name, 'HasPrice', CAST(p_size AS VARCHAR) FROM part WHERE p_partkey % 6 = 4""")
 def parse_generated_triples(spark: SparkSession, d: str) -> DataFrame:
-    body = F.concat(F.lit('[{"subject": "'), "p_name", F.lit('", "relation": "HasCapacity", "object": "'), F.col("p_size").cast("string"), F.lit(' units"}]'))
-    k = F.col("p_partkey") % 3
-    text = F.when(k == 0, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```"))).when(k == 1, body).otherwise("no triples [")
+    """Fenced and plain arrays, text, a lone object, and an array with elements that are no triples."""
+    own = F.concat(F.lit('{"subject": "'), "p_name", F.lit('", "relation": "HasCapacity", "object": "'), F.col("p_size").cast("string"), F.lit(' units"}'))
+    other = F.concat(F.lit('{"object": '), F.col("p_size").cast("string"), F.lit(', "relation": "HasPrice", "subject": "'), "p_name", F.lit('", "more": [1]}'))
+    k = F.col("p_partkey") % 6
+    text = (
+        F.when(k == 0, F.concat(F.lit("Here:\n```json\n["), own, F.lit("]\n```"))).when(k == 1, F.concat(F.lit("\u00a0["), own, F.lit("]\n"))).when(k == 2, "no triples [").when(k == 3, own)
+        .when(k == 4, F.concat(F.lit('```\n[{"a": 1}, 7, null, "x", '), own, F.lit(', {"subject": "s", "relation": "r"}, '), other, F.lit("]"))).otherwise('{"a": 1}')
+    )
     return K.parse_generated(X.table(spark, d, "part").select("p_partkey", text.alias("answer")), "answer", "p_partkey")
 
 
@@ -342,35 +367,38 @@ VOTES = """, X AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM G UNION A
 L0 AS (SELECT DISTINCT src AS node, src AS c FROM X),
 L1 AS (SELECT src AS node, c FROM (SELECT src, c, row_number() OVER (PARTITION BY src ORDER BY count(*) DESC, c) AS r FROM X JOIN L0 ON dst = node GROUP BY src, c) z WHERE r = 1),
 L2 AS (SELECT src AS node, c AS community FROM (SELECT src, c, row_number() OVER (PARTITION BY src ORDER BY count(*) DESC, c) AS r FROM X JOIN L1 ON dst = node GROUP BY src, c) z WHERE r = 1)"""
-SOME_EDGES = "G AS (SELECT DISTINCT 'c' || (o_custkey % 200) AS src, 'o' || (o_orderkey % 211) AS dst FROM orders WHERE o_orderkey % 9 = 0)"
+ALL_EDGES = """G AS (SELECT DISTINCT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders
+UNION SELECT 'c' || c_custkey, 'n' || c_nationkey || c_mktsegment FROM customer)"""
 
 
-def some_edges(spark: SparkSession, d: str) -> DataFrame:
-    s = lambda c, m, p: F.concat(F.lit(p), (F.col(c) % m).cast("string"))
-    return X.table(spark, d, "orders").where("o_orderkey % 9 = 0").select(s("o_custkey", 200, "c").alias("src"), s("o_orderkey", 211, "o").alias("dst")).distinct()
+def all_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Customers with their orders, and with their nation's segment."""
+    s = lambda c, p: F.concat(F.lit(p), F.col(c).cast("string"))
+    customer = X.table(spark, d, "customer").select(s("c_custkey", "c").alias("src"), F.concat(s("c_nationkey", "n"), "c_mktsegment").alias("dst"))
+    return X.table(spark, d, "orders").select(s("o_custkey", "c").alias("src"), s("o_orderkey", "o").alias("dst")).unionByName(customer).distinct()
 
 
-@query(with_(SOME_EDGES) + VOTES + "SELECT node, community FROM L2")
+@query(with_(ALL_EDGES) + VOTES + "SELECT node, community FROM L2")
 def community_labels(spark: SparkSession, d: str) -> DataFrame:
-    return G.propagate_labels(some_edges(spark, d), 2)
+    return G.propagate_labels(all_edges(spark, d), 2)
 
 
-@query(with_(SOME_EDGES) + VOTES + """, J AS (SELECT a.community AS c, b.community AS e FROM X JOIN L2 a ON X.src = a.node JOIN L2 b ON X.dst = b.node),
+@query(with_(ALL_EDGES) + VOTES + """, J AS (SELECT a.community AS c, b.community AS e FROM X JOIN L2 a ON X.src = a.node JOIN L2 b ON X.dst = b.node),
 U AS (SELECT c, count(*) AS total, count(*) FILTER (c = e) AS inside FROM J GROUP BY c)
 SELECT round(sum(inside) * 1.0 / sum(total) - sum(total * total) * 1.0 / (sum(total) * sum(total)), 6) AS modularity FROM U""")
 def modularity_score(spark: SparkSession, d: str) -> DataFrame:
-    edges_ = some_edges(spark, d)
+    edges_ = all_edges(spark, d)
     return G.modularity(G.weighted(edges_), G.propagate_labels(edges_, 2)).select(F.round("modularity", 6).alias("modularity"))
 
 
 @query()
 def modularity_communities(spark: SparkSession, d: str) -> DataFrame:
-    return G.modularity_communities(some_edges(spark, d))
+    return G.modularity_communities(all_edges(spark, d))
 
 
-@query(with_(SOME_EDGES) + VOTES + "SELECT community, count(*) AS size, string_agg(node, '; ' ORDER BY node) FILTER (r <= 20) AS members FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY node) AS r FROM L2) z GROUP BY community")
+@query(with_(ALL_EDGES) + VOTES + "SELECT community, count(*) AS size, string_agg(node, '; ' ORDER BY node) FILTER (r <= 20) AS members FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY node) AS r FROM L2) z GROUP BY community")
 def community_members(spark: SparkSession, d: str) -> DataFrame:
-    return G.community_table(G.propagate_labels(some_edges(spark, d), 2))
+    return G.community_table(G.propagate_labels(all_edges(spark, d), 2))
 
 
 @query(with_(X.TRIPLES) + """, W AS (SELECT subject, tid, CASE WHEN row_number() OVER w = 1 THEN subject || ' (' || relation || ': ' || object || ')' ELSE '; ' || relation || ': ' || object END AS piece FROM T WINDOW w AS (PARTITION BY subject ORDER BY tid)),
@@ -435,11 +463,16 @@ def attribution_rank(spark: SparkSession, d: str) -> DataFrame:
     return E.attribution(scored(spark, d))
 
 
-@query(with_(ATTRIBUTED) + "SELECT method, count(*) AS total, count(*) FILTER (len(retrieved) > 0) AS has_triples, count(best_rank) AS attributed, count(gold_rank) AS gold_in_context, round(avg(best_rank), 6) AS mean_rank, count(*) FILTER (best_rank = 0) AS rank_1 FROM GR WHERE error IS NULL GROUP BY method")
+@query(with_(ATTRIBUTED) + """SELECT method, count(*) AS total, count(*) FILTER (len(retrieved) > 0) AS has_triples, round(100.0 * count(best_rank) / count(*) FILTER (len(retrieved) > 0), 1) AS attributed_pct,
+round(100.0 * count(gold_rank) / count(*) FILTER (len(retrieved) > 0), 1) AS gold_in_context_pct, round(avg(best_rank), 2) AS mean_rank, round(100.0 * count(*) FILTER (best_rank = 0) / count(best_rank), 1) AS rank_1_pct,
+round(100.0 * count(*) FILTER (best_rank < 3) / count(best_rank), 1) AS rank_top3_pct FROM GR WHERE error IS NULL GROUP BY method""")
 def attribution_summary(spark: SparkSession, d: str) -> DataFrame:
-    rows = scored(spark, d).where("error is null")
-    found = E.attribution(rows).join(rows.select("model", "method", "question", (F.size("retrieved") > 0).alias("has")), ["model", "method", "question"])
-    return found.groupBy("method").agg(F.count(F.lit(1)).alias("total"), F.count_if("has").alias("has_triples"), F.count("best_rank").alias("attributed"), F.count("gold_rank").alias("gold_in_context"), F.round(F.avg("best_rank"), 6).alias("mean_rank"), F.count_if(F.col("best_rank") == 0).alias("rank_1"))
+    return E.attribution_summary(scored(spark, d), "method")
+
+
+@query(with_(X.SCORED) + "SELECT relation, nth, substr(question, 1, 100) AS question, gold_numbers[1] AS gold, substr(answer, 1, 150) AS answer, CAST(nem AS DOUBLE) AS nem FROM (SELECT *, row_number() OVER (PARTITION BY relation ORDER BY rid) AS nth FROM F) z WHERE nth <= 3")
+def relation_examples(spark: SparkSession, d: str) -> DataFrame:
+    return E.relation_examples(scored(spark, d), "rid")
 
 
 @query(with_(X.SCORED) + """, Z AS (SELECT model, method, CAST(tolerance AS DOUBLE) AS tolerance, avg(CASE WHEN len(list_filter(pred, lambda p: abs(p - gold[1]) / gold[1] <= CAST(tolerance AS DOUBLE))) > 0 THEN 1.0 ELSE 0.0 END) AS nem FROM F, (VALUES (0.005), (0.01), (0.02), (0.05)) v(tolerance) GROUP BY ALL)
@@ -515,13 +548,6 @@ def format_ablation(spark: SparkSession, d: str) -> DataFrame:
     return forms.groupBy("format").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.length("context")), 4).alias("mean_chars"))
 
 
-@query(with_(X.SCORED) + """, G AS (SELECT tokens // 100 / 5.0 AS temperature, round(avg(nem) FILTER (method = 'kg'), 6) AS first, round(avg(nem) FILTER (method = 'zero'), 6) AS second FROM F GROUP BY ALL)
-SELECT temperature, coalesce(first, 0.0) AS first, coalesce(second, 0.0) AS second, round(coalesce(first, 0.0) - coalesce(second, 0.0), 6) AS delta FROM G""")
-def temperature_sweep(spark: SparkSession, d: str) -> DataFrame:
-    rows = scored(spark, d).withColumn("nem", M.nem(F.col("answer"), F.col("gold_numbers"))).withColumn("temperature", F.col("tokens") / 100 / 5.0)
-    return E.delta(rows, ["temperature"], "method", "kg", "zero", "nem")
-
-
 @query("""WITH N AS (SELECT quality AS a, toxic AS b FROM labels), C AS (SELECT a, b, count(*) AS n FROM N GROUP BY ALL),
 Z AS (SELECT (SELECT count(*) FROM N) AS n, (SELECT sum(n) FROM C WHERE a = b) * 1.0 / (SELECT count(*) FROM N) AS po, (SELECT sum(x * y) FROM (SELECT a, sum(n) AS x FROM C GROUP BY a) r JOIN (SELECT b, sum(n) AS y FROM C GROUP BY b) s ON a = b) * 1.0 / (SELECT count(*) * count(*) FROM N) AS pe)
 SELECT n, round(po, 6) AS agreement, round(pe, 6) AS expected, round((po - pe) / (1 - pe), 6) AS kappa, CASE WHEN (po - pe) / (1 - pe) >= 0.81 THEN 'Almost perfect' WHEN (po - pe) / (1 - pe) >= 0.61 THEN 'Substantial' WHEN (po - pe) / (1 - pe) >= 0.41 THEN 'Moderate' WHEN (po - pe) / (1 - pe) >= 0.21 THEN 'Fair' ELSE 'Slight/Poor' END AS interpretation FROM Z""")
@@ -529,26 +555,32 @@ def kappa(spark: SparkSession, d: str) -> DataFrame:
     return S.kappa(X.table(spark, d, "labels"), "quality", "toxic")
 
 
-@query("SELECT count(*) AS n, count(*) FILTER ((a + b) / 2.0 >= 1.5) AS good, count(*) FILTER ((a + b) / 2.0 >= 0.5 AND (a + b) / 2.0 < 1.5) AS fair, count(*) FILTER ((a + b) / 2.0 < 0.5) AS bad, count(*) FILTER (a = 2 AND b = 2) AS strict, count(*) FILTER (abs(a - b) >= 2) AS disagreements FROM (SELECT p_partkey % 3 AS a, p_size % 3 AS b FROM part) z")
-def annotation_buckets(spark: SparkSession, d: str) -> DataFrame:
-    return S.annotation_buckets(X.table(spark, d, "part").select((F.col("p_partkey") % 3).alias("a"), (F.col("p_size") % 3).alias("b")), "a", "b")
+RATED = """
+AB AS (SELECT p_partkey AS sample_id, p_partkey % 3 AS qa, p_size % 3 AS ca FROM part WHERE p_size > 5), BB AS (SELECT p_partkey AS sample_id, (p_partkey + p_size) % 3 AS qb, p_size % 2 + 1 AS cb FROM part WHERE p_type <> 'ECONOMY'),
+W AS (SELECT * FROM AB JOIN BB USING (sample_id))"""
 
 
-@query("SELECT p_partkey AS sample_id, p_partkey % 3 AS a, p_size % 3 AS b FROM part WHERE abs(p_partkey % 3 - p_size % 3) >= 2 ORDER BY p_partkey LIMIT 20")
-def disagreements(spark: SparkSession, d: str) -> DataFrame:
-    rows = X.table(spark, d, "part").select(F.col("p_partkey").alias("sample_id"), (F.col("p_partkey") % 3).alias("a"), (F.col("p_size") % 3).alias("b"))
-    return rows.where("abs(a - b) >= 2").orderBy("sample_id").limit(20)
+def rated(spark: SparkSession, d: str) -> DataFrame:
+    """Two annotators, who did not rate the same samples all."""
+    part, k, n = X.table(spark, d, "part"), F.col("p_partkey"), F.col("p_size")
+    one = part.where("p_size > 5").select(k.alias("sample_id"), (k % 3).alias("quality"), (n % 3).alias("correct"))
+    two = part.where("p_type <> 'ECONOMY'").select(k.alias("sample_id"), ((k + n) % 3).alias("quality"), (n % 2 + 1).alias("correct"))
+    return S.both_annotators(one, two, "quality", "correct")
 
 
-@query(with_(X.SCORED) + "SELECT model, round(coalesce(avg(nem) FILTER (method = 'kg'), 0), 6) AS first, round(coalesce(avg(nem) FILTER (method = 'zero'), 0), 6) AS second, round(round(coalesce(avg(nem) FILTER (method = 'kg'), 0), 6) - round(coalesce(avg(nem) FILTER (method = 'zero'), 0), 6), 6) AS delta FROM F GROUP BY model")
-def heldout_vs_full_delta(spark: SparkSession, d: str) -> DataFrame:
-    rows = scored(spark, d).withColumn("nem", M.nem(F.col("answer"), F.col("gold_numbers")))
-    return E.delta(rows, ["model"], "method", "kg", "zero", "nem")
+@query(with_(RATED) + "SELECT count(*) AS n, count(*) FILTER ((qa + qb) / 2.0 >= 1.5) AS good, count(*) FILTER ((qa + qb) / 2.0 >= 0.5 AND (qa + qb) / 2.0 < 1.5) AS fair, count(*) FILTER ((qa + qb) / 2.0 < 0.5) AS bad, count(*) FILTER (qa = 2 AND qb = 2) AS strict, count(*) FILTER (abs(qa - qb) >= 2) AS disagreements FROM W")
+def annotation_buckets(spark: SparkSession, d: str) -> DataFrame:
+    return S.annotation_buckets(rated(spark, d), "quality_a", "quality_b")
 
 
-@query("SELECT event_type AS method, CAST(user_id % 3 AS BIGINT) AS model, round(avg(value), 4) AS latency, count(*) AS n FROM events GROUP BY ALL")
-def seed_average(spark: SparkSession, d: str) -> DataFrame:
-    return X.table(spark, d, "events").groupBy(F.col("event_type").alias("method"), (F.col("user_id") % 3).cast("long").alias("model")).agg(F.round(F.avg("value"), 4).alias("latency"), F.count(F.lit(1)).alias("n"))
+@query(with_(RATED) + "SELECT count(*) AS n, round(100 * avg(CASE WHEN (qa + qb) / 2.0 >= 1.5 AND (ca + cb) / 2.0 >= 1.5 THEN 1.0 ELSE 0.0 END), 1) AS valid_pct FROM W")
+def annotation_validity(spark: SparkSession, d: str) -> DataFrame:
+    return S.validity(rated(spark, d), "quality", "correct")
+
+
+@query(with_(RATED) + "SELECT sample_id, qa AS a, qb AS b FROM W WHERE abs(qa - qb) >= 2 ORDER BY sample_id LIMIT 20")
+def disagreements(spark: SparkSession, d: str) -> DataFrame:
+    return S.disagreements(rated(spark, d), "quality").orderBy("sample_id").limit(20)
 
 
 @query(with_(X.SCORED) + "SELECT method, passes, round(avg(nem), 6) AS nem, round(avg(latency_ms), 4) AS latency, round(avg(nullif(tokens, 0)), 4) AS tokens FROM F JOIN (VALUES ('kg', 1), ('rag', 3), ('zero', 4)) v(method, passes) USING (method) GROUP BY ALL")
@@ -590,13 +622,13 @@ def results_filename_parse(spark: SparkSession, d: str) -> DataFrame:
     return X.table(spark, d, "events").select(f.alias("file")).distinct().select("file", part(1).alias("method"), part(2).alias("model"))
 
 
-@query("SELECT item_id, min(doc_id) AS doc_id, count(*) AS n FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 40)) WHERE length(b.text) >= 40 GROUP BY item_id")
+@query("SELECT item_id, min(doc_id) AS doc_id, count(*) AS n FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> '' GROUP BY item_id")
 def containment_match(spark: SparkSession, d: str) -> DataFrame:
-    """Items whose opening stands in a document. The item list is a benchmark, small by its nature; where it is
+    """Items that stand whole in a document. The item list is a benchmark, small by its nature; where it is
     under the stated bound it is broadcast against one scan of the documents, else matched through word grams."""
-    items = X.table(spark, d, "benchmark").where(F.length("text") >= 40).select("item_id", F.substring("text", 1, 40).alias("opening"))
+    items = X.table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
     docs = X.table(spark, d, "documents").select("doc_id", "text")
-    return R.containment(items, docs, "item_id", "opening", "doc_id", "text").groupBy("item_id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+    return R.containment(items, docs, "item_id", "passage", "doc_id", "text").groupBy("item_id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT page_id, replace(regexp_extract(url, '([^/]*)$', 1), '_', ' ') AS title FROM pages")
@@ -612,10 +644,10 @@ def property_mapping(spark: SparkSession, d: str) -> DataFrame:
     return X.table(spark, d, "customer").select("c_custkey", F.coalesce(F.try_element_at(names, F.col("c_mktsegment")), "c_mktsegment").alias("relation"), F.concat((F.col("c_custkey") % 100).cast("string"), unit).alias("object"))
 
 
-@query("WITH A AS (SELECT c_mktsegment AS alias, min_by(c_name, (c_custkey % 2, c_name)) AS target FROM customer WHERE c_custkey % 10 < 4 GROUP BY ALL) SELECT entity, coalesce(target, entity) AS resolved FROM (SELECT DISTINCT c_mktsegment AS entity FROM customer UNION SELECT DISTINCT p_type FROM part) e LEFT JOIN A ON alias = entity")
+@query("WITH A AS (SELECT c_mktsegment AS alias, min_by(c_name, (c_custkey % 2, c_name)) AS target FROM customer GROUP BY ALL) SELECT entity, coalesce(target, entity) AS resolved FROM (SELECT DISTINCT c_mktsegment AS entity FROM customer UNION SELECT DISTINCT p_type FROM part) e LEFT JOIN A ON alias = entity")
 def alias_resolution(spark: SparkSession, d: str) -> DataFrame:
     c = X.table(spark, d, "customer")
-    aliases = c.where("c_custkey % 10 < 4").select(F.col("c_mktsegment").alias("alias"), F.col("c_name").alias("target"), (F.col("c_custkey") % 2).alias("priority"))
+    aliases = c.select(F.col("c_mktsegment").alias("alias"), F.col("c_name").alias("target"), (F.col("c_custkey") % 2).alias("priority"))
     entities = c.select(F.col("c_mktsegment").alias("entity")).union(X.table(spark, d, "part").select("p_type")).distinct()
     return K.resolve_aliases(entities, aliases)
 
@@ -627,11 +659,164 @@ def prompt_assembly(spark: SparkSession, d: str) -> DataFrame:
     return grouped.select("conv_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("prompt"), F.size("l").cast("long").alias("turns"))
 
 
-@query("SELECT role, count(*) AS n, count(*) FILTER (contains(upper(text), 'TH')) AS flagged FROM conversations GROUP BY role")
+@query("""SELECT role, count(*) AS n, count(*) FILTER (turn % 3 = 1) AS contradicted, count(*) FILTER (turn % 3 = 2) AS incorrect FROM conversations GROUP BY role""")
 def verdict_keywords(spark: SparkSession, d: str) -> DataFrame:
-    return X.table(spark, d, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.contains(F.upper("text"), F.lit("TH"))).alias("flagged"))
+    """Checks' answers, found by the words that reject a draft, in capitals only."""
+    k = F.col("turn") % 3
+    said = X.table(spark, d, "conversations").withColumn("verdict", F.when(k == 1, "- claim 1: CONTRADICTED").when(k == 2, "The second claim is INCORRECT.").otherwise("SUPPORTED, not contradicted nor incorrect"))
+    counted = lambda word: F.count_if(A.rejected(F.col("verdict"), word)).alias(word.lower())
+    return said.groupBy("role").agg(F.count(F.lit(1)).alias("n"), counted("CONTRADICTED"), counted("INCORRECT"))
 
 
 @query("SELECT event_type, count(*) AS n, max(value) FILTER (i = floor(0.95 * c)) AS p95 FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS c FROM events) z GROUP BY event_type")
 def latency_p95_index(spark: SparkSession, d: str) -> DataFrame:
     return E.percentile_index(X.table(spark, d, "events"), ["event_type"], "value", 0.95, "p95")
+
+
+# crawl, connectors, index
+CRAWLED = """
+C0 AS (SELECT CAST(r_regionkey AS BIGINT) AS r, CAST(-1 AS BIGINT) AS n, r_name AS category, 1 AS depth FROM region),
+C1 AS (SELECT r_regionkey, n_nationkey, n_name, 2 FROM nation JOIN region ON n_regionkey = r_regionkey WHERE NOT contains(lower(n_name), '_1')),
+CAT AS (SELECT * FROM C0 UNION ALL SELECT * FROM C1),
+PG AS (SELECT r, n, category, depth, c_mktsegment || c_custkey % 400 AS title, c_custkey AS position FROM CAT JOIN customer ON c_nationkey = n
+       UNION ALL SELECT r, n, category, depth, 'About ' || category, 0 FROM CAT),
+FA AS (SELECT title, min_by(struct_pack(r := r, n := n, category := category, depth := depth), (depth, r, n, position)) AS x FROM PG GROUP BY title),
+CN AS (SELECT x.depth AS depth, x.r AS r, x.n AS n, count(*) AS c FROM FA GROUP BY ALL),
+KP AS (SELECT depth, r, n FROM (SELECT *, coalesce(sum(c) OVER (ORDER BY depth, r, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM CN) z WHERE before < 700)"""
+
+
+@query(with_(CRAWLED) + "SELECT title, CAST(x.depth AS BIGINT) AS depth, x.category AS category FROM FA JOIN KP ON x.depth = KP.depth AND x.r = KP.r AND x.n = KP.n")
+def crawl_categories(spark: SparkSession, d: str) -> DataFrame:
+    """Regions, their nations and the customers there, with a cycle, names that are skipped, and a cap on articles."""
+    region, nation, customer = (X.table(spark, d, t) for t in ("region", "nation", "customer"))
+    names = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
+    subs = spark.createDataFrame([], "key string, item string, position long")
+    for rows in (region.select(F.lit("root"), "r_name", "r_regionkey"), names.select("r_name", "n_name", "n_nationkey"), names.select("n_name", "r_name", F.lit(99))):
+        subs = subs.union(rows)
+    everyone = customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    pages = everyone.select(F.col("n_name").alias("key"), F.concat("c_mktsegment", (F.col("c_custkey") % 400).cast("string")).alias("item"), F.col("c_custkey").alias("position"))
+    for name in (region.select("r_name"), nation.select("n_name")):
+        pages = pages.union(name.select(F.col(name.columns[0]), F.concat(F.lit("About "), name.columns[0]), F.lit(0)))
+    found = C.crawl(spark.createDataFrame([("root", 0)], "category string, position long"), C.listing(pages), C.listing(subs), ("_1",), 2, 700)
+    return found.select("title", "depth", "category")
+
+
+@query("""WITH C AS (SELECT i, avg(x) AS m FROM (SELECT unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE label IN (0, 3)) z GROUP BY i), L AS (SELECT list(m ORDER BY i) AS v FROM C),
+S AS (SELECT 'a' || vec_id AS title, vec_id, label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), v), 4) AS score FROM embeddings, L)
+SELECT row_number() OVER (ORDER BY score DESC, label, vec_id) AS rank, title, score, CAST(label AS BIGINT) AS depth, 'c' || label AS category FROM S WHERE score >= 0.05 ORDER BY rank LIMIT 50""")
+def score_and_cap(spark: SparkSession, d: str) -> DataFrame:
+    index = X.vectors(spark, d)
+    candidates = index.select(F.concat(F.lit("a"), F.col("id").cast("string")).alias("title"), F.col("label").alias("depth"), F.concat(F.lit("c"), F.col("label").cast("string")).alias("category"), F.array("label", "id").alias("place"), "vector")
+    return C.accepted(C.scored(candidates, index.where(F.col("label").isin(*HELD_OUT))), 0.05, 50)
+
+
+@query(with_(X.TRIPLES) + "SELECT relation, count(*) AS n FROM T GROUP BY relation ORDER BY n DESC, min(tid) LIMIT 15")
+def most_common_relations(spark: SparkSession, d: str) -> DataFrame:
+    return C.most_common(X.triples(spark, d), "relation", ["tid"], 15)
+
+
+BOUND = """
+TP AS (SELECT c_name AS topic, row_number() OVER (ORDER BY c_custkey) - 1 AS position FROM customer),
+BT AS (SELECT *, position // 25 AS batch FROM TP),
+BF AS (SELECT c_custkey AS id, position // 25 AS batch, CASE c_custkey % 4 WHEN 0 THEN 'Someone else' WHEN 1 THEN lower(c_name) || ' plc' WHEN 2 THEN 'Customer#' ELSE 'Unknown' END AS label,
+              CASE WHEN c_custkey % 4 = 0 THEN upper(c_name) END AS title, c_nationkey, c_custkey % 100 AS v FROM customer JOIN TP ON topic = c_name),
+MT AS (SELECT id, BT.topic, row_number() OVER (PARTITION BY id ORDER BY coalesce(lower(title) = lower(topic), false) DESC, position) AS r FROM BF JOIN BT USING (batch)
+       WHERE coalesce(lower(title) = lower(topic), false) OR contains(lower(label), lower(topic)) OR contains(lower(topic), lower(label))),
+FC AS (SELECT label AS subject, CASE WHEN id % 2 = 0 THEN 'HasArea' ELSE 'P' || c_nationkey END AS relation, CAST(v AS VARCHAR) || CASE WHEN c_nationkey = 1 THEN '' ELSE ' u' || c_nationkey END AS object, coalesce(topic, label) AS source_topic FROM BF LEFT JOIN (SELECT * FROM MT WHERE r = 1) m USING (id))"""
+
+
+@query(with_(BOUND) + "SELECT subject, relation, object, min(source_topic) AS source_topic FROM FC GROUP BY subject, relation, object")
+def sparql_rows(spark: SparkSession, d: str) -> DataFrame:
+    """An endpoint's rows for batches of topics, matched to them by title, else by names that hold each other."""
+    c = X.table(spark, d, "customer")
+    batches = cut_lineage(P.batched(c, "c_name", "c_custkey"))
+    k, code = F.col("c_custkey"), F.col("c_nationkey").cast("string")
+    label = F.when(k % 4 == 0, "Someone else").when(k % 4 == 1, F.concat(F.lower("topic"), F.lit(" plc"))).when(k % 4 == 2, "Customer#").otherwise("Unknown")
+    link = F.when(k % 4 == 0, T.sitelink_url(F.upper("topic")))
+    rows = batches.join(c, F.col("topic") == F.col("c_name")).select(
+        "batch", k.cast("string").alias("item"), label.alias("label"), F.concat(F.lit("http://x/P"), F.when(k % 2 == 0, "2046").otherwise(code)).alias("property"), (k % 100).cast("string").alias("value"),
+        F.when(F.col("c_nationkey") == 1, "1").otherwise(F.concat(F.lit("u"), code)).alias("unit"), link.alias("sitelink"), F.lit(None).cast("string").alias("error"),
+    )
+    return P.facts(rows, batches, {"P2046": "HasArea"}).select("subject", "relation", "object", "source_topic")
+
+
+@query(with_(X.TRIPLES, X.STRUCTURAL) + """, W AS (SELECT tid, subject, relation, repeat(object || ' ', 100) AS object, source_topic FROM T UNION ALL SELECT tid, subject, relation, object, NULL FROM S)
+SELECT 't_' || (row_number() OVER (ORDER BY tid) - 1) AS id, 'The ' || relation || ' of ' || subject || ' is ' || object || '.' AS document, subject, relation, substr(object, 1, 500) AS object, coalesce(source_topic, '') AS source_topic, 'llm' AS source FROM W""")
+def index_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """What an index keeps beside its vectors: ids by position, objects cut, what is missing filled."""
+    long = X.triples(spark, d).withColumn("object", F.repeat(F.concat("object", F.lit(" ")), 100))
+    both = long.unionByName(X.structural(spark, d).withColumn("source_topic", F.lit(None).cast("string")))
+    return files.index_rows(both, K.verbalise("fine"))
+
+
+# experiments over the offline services, whose answer is the first fact
+HELD_TOPICS = {"source_topic": {"$nin": ["t0", "t3"]}}
+
+
+def offline(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, N.Services]:
+    index = cut_lineage(X.facts(spark, d))
+    of = lambda level: index.withColumn("document", F.col(level))
+    asked = cut_lineage(X.asked(spark, d))
+    chunks = index.select("id", "vector", F.col("source_topic").alias("topic"), F.col("coarse").alias("document"))
+    services = N.Services({level: of(level) for level in K.LEVELS}, V.echo_generator(), rerank=V.shortest_reranker(), chunks=chunks, verify=V.supporting_verifier(), self_verify=V.echo_generator(), held_out=HELD_TOPICS)
+    return asked.select("qid", "question", "vector"), asked.select("id", "question", "gold_numbers"), services
+
+
+def experiment(spark: SparkSession, d: str, cells: list[N.Cell]) -> DataFrame:
+    questions, gold, services = offline(spark, d)
+    log = N.run(questions, cells, shared_path(spark, "log-"), lambda need, some: N.answer_cells(need, some, services))
+    return N.scores(log, gold)
+
+
+MAIN_GRID = N.grid(method=("kg_retrieval", "zero_shot", "standard_rag", "graph_rag", "conli", "cove"), mode=("held_out", "full_index"), rerank=(False,))
+MAIN = X.ASKED + f""", AN AS (SELECT mode, 'kg_retrieval' AS method, {X.right("fine")} AS nem FROM FN WHERE rank = 1 UNION ALL SELECT mode, 'graph_rag', {X.right("fine")} FROM FN WHERE rank = 1 UNION ALL SELECT mode, 'conli', {X.right("fine")} FROM FN WHERE rank = 1
+UNION ALL SELECT mode, 'standard_rag', {X.right("coarse")} FROM FN WHERE rank = 1 UNION ALL SELECT mode, 'zero_shot', 0.0 FROM FN WHERE rank = 1 UNION ALL SELECT mode, 'cove', 0.0 FROM FN WHERE rank = 1)"""
+
+
+@query(with_(MAIN) + "SELECT mode, method, 'offline' AS model, count(*) AS n, round(avg(nem), 6) AS nem FROM AN GROUP BY ALL")
+def main_comparison(spark: SparkSession, d: str) -> DataFrame:
+    return N.summary(experiment(spark, d, MAIN_GRID), "mode", "method", "model").drop("nf1", "fp")
+
+
+@query(with_(MAIN) + "SELECT method, 'offline' AS model, round(avg(nem) FILTER (mode = 'held_out'), 6) AS held_out, round(avg(nem) FILTER (mode = 'full_index'), 6) AS full_index, round(round(avg(nem) FILTER (mode = 'full_index'), 6) - round(avg(nem) FILTER (mode = 'held_out'), 6), 6) AS delta FROM AN GROUP BY method")
+def heldout_vs_full_delta(spark: SparkSession, d: str) -> DataFrame:
+    return N.held_out_against_full(experiment(spark, d, MAIN_GRID))
+
+
+@query(with_(X.ASKED) + f""", GN AS (SELECT granularity, top_k, qid, gold, rank, CASE granularity WHEN 'fine' THEN fine WHEN 'medium' THEN medium ELSE coarse END AS document FROM FN, (VALUES ('fine'), ('medium'), ('coarse')) g(granularity), (VALUES (1), (3), (5)) k(top_k) WHERE mode = 'held_out' AND rank <= top_k),
+FR AS (SELECT granularity, top_k, qid, any_value(gold) AS gold, min_by(document, (length(document), rank)) AS document FROM GN GROUP BY ALL)
+SELECT granularity, top_k, 2 AS seeds, round(avg({X.right("document")}), 6) AS nem, CAST(0 AS DOUBLE) AS spread FROM FR GROUP BY granularity, top_k""")
+def granularity_ablation(spark: SparkSession, d: str) -> DataFrame:
+    """Wording by number of facts by seed, reranked: means over seeds."""
+    return N.over_seeds(experiment(spark, d, N.grid(method=("kg_retrieval",), granularity=("fine", "medium", "coarse"), top_k=(1, 3, 5), seed=(0, 1))))
+
+
+@query(with_(X.ASKED) + f""", RR AS (SELECT false AS rerank, qid, gold, fine AS document FROM FN WHERE mode = 'held_out' AND rank = 1 UNION ALL SELECT true, qid, any_value(gold), min_by(fine, (length(fine), rank)) FROM FN WHERE mode = 'held_out' AND rank <= 5 GROUP BY qid)
+SELECT rerank, count(*) AS n, round(avg({X.right("document")}), 6) AS nem FROM RR GROUP BY rerank""")
+def reranker_ablation(spark: SparkSession, d: str) -> DataFrame:
+    return N.summary(experiment(spark, d, N.grid(method=("kg_retrieval",), rerank=(True, False))), "rerank").drop("nf1", "fp")
+
+
+CUTS = (0.55, 0.7, None)
+
+
+@query(with_(X.ASKED) + """, TH AS (SELECT CAST(threshold AS DOUBLE) AS threshold FROM (VALUES (0.55), (0.7), (NULL)) v(threshold)),
+HQ AS (SELECT DISTINCT threshold, qid, gold FROM FN, TH),
+SD AS (SELECT threshold, FN.* FROM FN, TH WHERE mode = 'held_out' AND (threshold IS NULL OR distance <= threshold)),
+KG AS (SELECT 'kg_retrieval' AS method, threshold, qid, count(*) AS facts, min_by(fine, rank) AS answer FROM SD WHERE rank <= 5 GROUP BY threshold, qid),
+SG AS (SELECT * FROM SD WHERE rank <= 10),
+WG AS (SELECT *, row_number() OVER (PARTITION BY threshold, qid ORDER BY id) AS pos FROM (SELECT o.threshold, o.qid, FI.id, FI.fine FROM (SELECT DISTINCT threshold, qid, subject FROM SG) o JOIN FI USING (subject) WHERE FI.label NOT IN (0, 3)
+       AND NOT EXISTS (SELECT 1 FROM SG WHERE SG.threshold IS NOT DISTINCT FROM o.threshold AND SG.qid = o.qid AND SG.id = FI.id)) z),
+UG AS (SELECT threshold, qid, fine, 1 AS hop, rank AS pos FROM SG UNION ALL SELECT threshold, qid, fine, 2, pos FROM WG WHERE pos <= 15),
+GR AS (SELECT 'graph_rag' AS method, threshold, qid, least(5, count(DISTINCT fine)) AS facts, min_by(fine, (hop, pos)) AS answer FROM UG GROUP BY threshold, qid),
+RS AS (SELECT m.method, HQ.threshold, HQ.qid, HQ.gold, coalesce(x.facts, 0) AS facts, coalesce(x.answer, 'Not known') AS answer FROM HQ CROSS JOIN (VALUES ('kg_retrieval'), ('graph_rag')) m(method) LEFT JOIN (SELECT * FROM KG UNION ALL SELECT * FROM GR) x ON x.method = m.method AND x.qid = HQ.qid AND x.threshold IS NOT DISTINCT FROM HQ.threshold)
+SELECT method, 'offline' AS model, threshold, round(avg(CASE WHEN contains(answer, CAST(CAST(gold AS BIGINT) AS VARCHAR)) THEN 1.0 ELSE 0.0 END), 4) AS nem, round(avg(facts), 1) AS avg_facts, round(avg(CASE WHEN facts = 0 THEN 1.0 ELSE 0.0 END), 4) AS zero_share, count(*) AS n FROM RS GROUP BY method, threshold""")
+def threshold_methods(spark: SparkSession, d: str) -> DataFrame:
+    return N.by_threshold(experiment(spark, d, N.grid(method=("kg_retrieval", "graph_rag"), threshold=CUTS, rerank=(False,))))
+
+
+@query(with_(X.ASKED) + f""", KG AS (SELECT avg({X.right("fine")}) AS nem FROM FN WHERE mode = 'held_out' AND rank = 1)
+SELECT CAST(temperature AS DOUBLE) AS temperature, round(nem, 6) AS first, CAST(0 AS DOUBLE) AS second, round(nem, 6) AS delta FROM KG, (VALUES (0.0), (0.1), (0.3), (0.5), (0.7), (1.0)) t(temperature)""")
+def temperature_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """The offline services answer alike at every temperature."""
+    return N.by_temperature(experiment(spark, d, N.grid(method=("kg_retrieval", "zero_shot"), temperature=N.TEMPERATURES, rerank=(False,))))
