@@ -51,7 +51,7 @@ def test_metrics(spark, answer, gold, nem, nf1, fp):
 
 
 def test_nfc(spark):
-    assert one(spark, T.normalize_string(F.lit("é x.. "), compose=True)) == "é x"
+    assert one(spark, T.normalize_string(F.lit("é x.. "))) == "é x"
 
 
 def test_binomial_does_not_underflow(spark):
