@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statweave.llm.common import sliced_batches, tokenizer_path
+from statweave.llm.common import bound_batches, sliced_batches, tokenizer_path
 
 #: How a byte-level tokenizer splits text before merging; a fixed value of the public vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -196,6 +196,7 @@ def bpe_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tok
             arrays = [batch.column("doc_id"), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array([own.decode(x) for x in ids], pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "ids", "decoded"])
 
+    bound_batches(docs.sparkSession)
     return _source(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
@@ -214,6 +215,7 @@ def bpe_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             arrays = [batch.column("doc_id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    bound_batches(docs.sparkSession)
     return _source(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Bytes and rows of text that a Python worker works on at once; a longer text is worked on alone, in blocks.
 SLICE_BYTES, SLICE_ROWS = 1 << 20, 1000
+#: Bytes of an Arrow batch, at most, or of one row; of a batch the JVM and a Python worker each hold a few copies.
+ARROW_BYTES = 8 << 20
 #: Bytes of a text that a pass over it holds its temporaries for.
 BLOCK = 1 << 18
 
@@ -73,6 +75,15 @@ def collect_garbage(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on the bytes of Arrow batches to ARROW_BYTES, if it is higher. Plans read it when they
+    run, so it stays; every operator here sets the same, and none raises it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([a-z]?)b?\s*", spark.conf.get(key).lower()).groups()
+    if int(number) << {"": 0, "b": 0, "k": 10, "m": 20}.get(unit, 30) > ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
 def free_name(taken: list[str], name: str) -> str:
     """name, with underscores before it until no column in taken is called so, whatever the case."""
     lower = {x.lower() for x in taken}

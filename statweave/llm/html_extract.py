@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statweave.llm.common import by_slices
+from statweave.llm.common import bound_batches, by_slices
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
@@ -417,5 +417,6 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     def column(html: pa.Array) -> pa.Array:
         return by_slices(run)(html)
 
+    bound_batches(pages.sparkSession)
     texts = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), column(F.col(f"`{html_col}`").cast("string")).alias("text"))
     return texts.withColumn("n_chars", F.length("text").cast("long"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from statweave.llm.common import BLOCK, by_slices, fold, text_buffers
+from statweave.llm.common import BLOCK, bound_batches, by_slices, fold, text_buffers
 
 #: Closely related languages, by ISO 639-1 code; any other language is a family of its own.
 FAMILIES = {
@@ -165,6 +165,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     id, text and row number hash least. A threshold for the language leaves about twice as many, so that the texts
     that are sorted to choose them are few; the driver holds them as one matrix of at most 210 MB."""
     spark = docs.sparkSession
+    bound_batches(spark)
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     source = source.where(fold(F.col("id"), folds) != held_out).where("lang is not null and text is not null and text <> ''")
     counts = spark.createDataFrame(source.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect(), "lang string, n long")

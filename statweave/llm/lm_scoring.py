@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statweave.llm.common import SLICE_BYTES, byte_pieces, fold, lower_ascii, materialise, mix64, span_hashes, text_buffers, text_slices, word_spans
+from statweave.llm.common import SLICE_BYTES, bound_batches, byte_pieces, fold, lower_ascii, materialise, mix64, span_hashes, text_buffers, text_slices, word_spans
 
 #: Hash of a text's end: no word's, as word hashes go through mix64 and this is held out of theirs.
 END = np.uint64(0)
@@ -349,6 +349,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     source = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), (fold(F.col(f"`{id_col}`"), folds) == held_out).alias("held_out"))
     counts = materialise(source.where("not held_out").select("text").mapInArrow(_counts, "h long, kind long, n long").groupBy("h").agg(F.max("kind").alias("kind"), F.sum("n").alias("n")), "word_counts")
     words = vocabulary(counts)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statweave.llm.bpe import encoder
-from statweave.llm.common import materialise, sliced_batches
+from statweave.llm.common import bound_batches, materialise, sliced_batches
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, nth long"
 
@@ -115,6 +115,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     windows and a rest; other columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.spark_partition_id().cast("long").alias("part"))
     pieces = materialise(source.mapInArrow(_pieces(window, end_id, tokenizer), PIECES), "pieces")
     per_part = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statweave.llm.common import BLOCK, by_slices, fold, grouped_sum, mix64, span_hashes, text_buffers, word_spans
+from statweave.llm.common import BLOCK, bound_batches, by_slices, fold, grouped_sum, mix64, span_hashes, text_buffers, word_spans
 
 #: Most labelled rows that are learned from.
 TRAIN_ROWS = 20_000
@@ -192,6 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     The sample's ids are chosen in the labels alone and broadcast, at most train_rows of them, so no text is
     moved; statistics are computed on the executors. Of an id labelled more than once the larger label counts.
     """
+    bound_batches(docs.sparkSession)
     named = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).where("id is not null and label is not null")
     chosen = named.where(fold(F.col("id"), folds) != held_out).groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(train_rows)
     chosen = docs.sparkSession.createDataFrame(chosen.toPandas(), "id long, label int")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statweave.llm.common import attach_group, by_slices, byte_pieces, lower_ascii, materialise, text_buffers
+from statweave.llm.common import attach_group, bound_batches, by_slices, byte_pieces, lower_ascii, materialise, text_buffers
 from statweave.llm.components import connected_components
 
 #: Start and width of the blocks; with a budget of k differing bits, k + 1 blocks suffice.
@@ -228,6 +228,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty table gives an empty result; other columns, whatever their names, are ignored. row_col: a column
     that already numbers the rows, returned as rid.
     """
+    bound_batches(docs.sparkSession)
     rid = F.col(f"`{row_col}`") if row_col else F.monotonically_increasing_id()
     rows = materialise(docs.select(rid.alias("rid"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), fingerprint_column()(F.col(f"`{text_col}`").cast("string")).alias("fp")), "fingerprints")
     prints = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size")), "prints")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statweave.llm.common import attach_group, materialise, sliced_batches
+from statweave.llm.common import attach_group, bound_batches, materialise, sliced_batches
 
 #: Payloads of fewer bytes are always written as responses.
 REVISIT_BYTES = 1000
@@ -69,6 +69,7 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     first) is a response and the others revisit it. Null html is an empty payload, a null id is less than any
     other, a null url is empty; an empty table makes an empty archive; other columns are ignored.
     """
+    bound_batches(pages.sparkSession)
     source = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
     source = source.withColumn("rid", F.monotonically_increasing_id())
     rows = source.mapInArrow(_digests, "rid long, page_id long, url string, size long, address binary, sha1 string")
@@ -199,6 +200,7 @@ def read_archive(archive: Archive, with_bytes: bool = True) -> DataFrame:
 
     Only payloads too short for revisits can serve many responses; the most used of those are broadcast, at
     most a thousand of under REVISIT_BYTES each, so no payload makes a hot key."""
+    bound_batches(archive.records.sparkSession)
     responses, revisits = (archive.records.where(F.col("kind") == k) for k in ("response", "revisit"))
     uses = responses.groupBy("address").agg(F.count(F.lit(1)).alias("uses"))
     often = materialise(uses.where(F.col("uses") > max(archive.total // 1000, 1000)).select("address"), "often")

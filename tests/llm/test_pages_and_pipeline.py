@@ -259,6 +259,19 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
         common.work_dir(Session)
 
 
+def test_arrow_batches_are_bounded_in_bytes(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for given, want in (("64m", common.ARROW_BYTES), ("1GB", common.ARROW_BYTES), ("2mb", 2 << 20), ("100k", 100 << 10), ("1000000", 1_000_000)):
+        spark.conf.set(key, given)
+        common.bound_batches(spark)
+        assert spark.conf.get(key) == (str(want) if want == common.ARROW_BYTES else given)
+    spark.conf.set(key, "100000")
+    rows = spark.range(40).select(F.repeat(F.lit("x"), 30_000).alias("text")).coalesce(1)
+    sizes = rows.mapInArrow(lambda it: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in it), "n long").collect()
+    assert len(sizes) > 5 and max(r.n for r in sizes) < 200_000
+    spark.conf.set(key, "64m")
+
+
 def test_slices_of_text():
     texts = ["a" * 10, None, "", "b" * 50, "c", "d" * 5] * 3
     for column in (pa.array(texts), pa.array(texts, pa.large_string()), pa.array(["x", *texts, "y"]).slice(1, len(texts))):
