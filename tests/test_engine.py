@@ -24,6 +24,7 @@ from statweave.plans import answering as A
 from statweave.plans import experiments as N
 from statweave.sources import files, remote, sparql, wiki
 from statweave.sources import services as V
+from statweave.streaming import resume
 
 
 def values(spark, rows, column):
@@ -410,6 +411,22 @@ def test_thresholds_are_sorted_with_none_last(spark):
     assert [r.threshold for r in N.by_threshold(rows).collect()][:2] == [0.2, 0.5]
 
 
+def test_a_checkpoint_is_taken_up_and_deleted(spark, tmp_path):
+    path, seen = f"{tmp_path}/cp", []
+
+    def step(rows):
+        seen.append(sorted(r.k for r in rows.collect()))
+        return rows.select("k", F.when((F.col("k") == 2) & F.lit(len(seen) == 1), "timeout").alias("error"))
+
+    work = spark.range(4).withColumnRenamed("id", "k")
+    assert sorted(r.k for r in resume.checkpointed(work, "k", path, step).collect()) == [0, 1, 3]
+    assert sorted(r.k for r in resume.checkpointed(work, "k", path, step).collect()) == [0, 1, 2, 3]
+    assert sorted(r.k for r in resume.checkpointed(work.where("k > 0"), "k", path, step).collect()) == [1, 2, 3] and seen == [[0, 1, 2, 3], [2]]
+    resume.finish(spark, path)
+    assert not os.path.exists(path)
+    resume.finish(spark, path)
+
+
 def test_work_list_and_numbers(spark):
     corpus = spark.createDataFrame([("a", 2), ("b", 0), ("c", 1)], "topic string, sentence_count int")
     assert [r.topic for r in K.work_list(corpus, spark.createDataFrame([("c",)], "topic string")).collect()] == ["a"]
