@@ -6,7 +6,7 @@ very many links doesn't overload a task. The steps' tables go to the shared fold
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from statweave.llm.common import attach_group, materialise
@@ -18,15 +18,22 @@ def _star(links: DataFrame, total: int) -> DataFrame:
     return attach_group(links, groups, "u", "size", total)
 
 
+def _written(edges: DataFrame) -> tuple[DataFrame, int, int]:
+    """edges, written, with how many there are and a sum of their hashes, both found while writing."""
+    seen = Observation()
+    counted = edges.distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("check"))
+    table = materialise(counted, "edges")
+    return table, seen.get["n"], int(seen.get["check"])
+
+
 def connected_components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     """links: a, b (long). Returns node, root for every linked node; root is the least node it reaches.
 
     Repeated links, self-links and an empty table are fine; null ends are ignored.
     """
-    edges = materialise(links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    edges, total, check = _written(links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     before = None
     for _ in range(max_rounds):
-        total, check = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if not total or (total, check) == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = total, check
@@ -35,5 +42,5 @@ def connected_components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
         large = materialise(large.where("u <> v").distinct(), "large")
         small = _star(large, total)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        edges = materialise(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        edges, total, check = _written(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
