@@ -17,6 +17,7 @@ from statweave.operators import retrieval as R
 from statweave.operators import statistics as S
 from statweave.operators import triples as K
 from statweave.plans import answering as A
+from statweave.plans import benchmark as B
 from statweave.plans import experiments as N
 from statweave.plans import fixtures as X
 from statweave.session import cut_lineage, shared_path
@@ -595,6 +596,15 @@ def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     return E.stratified_sample(X.benchmark(spark, d), "relation", "id", 100, 42).select("id", "relation")
 
 
+@query(with_(X.TRIPLES) + r""", Z AS (SELECT *, row_number() OVER (PARTITION BY relation ORDER BY md5('42:' || CAST(tid AS VARCHAR)), tid) AS rn FROM T WHERE regexp_matches(object, '[0-9]')),
+Y AS (SELECT * FROM Z ORDER BY CASE WHEN rn > 50 THEN 1 ELSE 0 END, md5('42:' || CAST(tid AS VARCHAR)), tid LIMIT 100)
+SELECT row_number() OVER (ORDER BY md5('order42:' || CAST(tid AS VARCHAR)), tid) - 1 AS id, 'What is the ' || relation || ' of ' || subject || '?' AS question, subject, relation, object, regexp_extract(object, '^[0-9]+') AS gold, source_topic FROM Y""")
+def generated_benchmark(spark: SparkSession, d: str) -> DataFrame:
+    """Sampled facts with figures, a question for each, in a seeded order."""
+    out = B.build(X.triples(spark, d), 100, 42, B.template_questions(), shared_path(spark, "benchmark-"))
+    return out.withColumn("gold", F.array_join("gold_numbers", ", ")).drop("gold_numbers")
+
+
 @query(with_(X.BENCHMARK) + "SELECT relation, count(*) AS n, count(DISTINCT source_topic) AS topics FROM B GROUP BY relation")
 def benchmark_stats(spark: SparkSession, d: str) -> DataFrame:
     return X.benchmark(spark, d).groupBy("relation").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source_topic").alias("topics"))

@@ -8,38 +8,19 @@ the error's text and stop no job.
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statweave.sources.services import retried
+from statweave.sources.services import Throttle, retried
 
 Page = Callable[[str, str | None], tuple[list[str], str | None]]
 Lookup = Callable[[list[str]], list[tuple[str, str]]]
 ROWS = "key string, item string, position long, error string"
 
 
-class Throttle:
-    """At most calls in each window of so many seconds, counted anew when a window is over; for one caller. A unit of
-    work that makes several calls waits for all of them at once."""
-
-    def __init__(self, calls: int = 30, seconds: float = 60.0, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> None:
-        self.calls, self.seconds, self.clock, self.sleep = calls, seconds, clock, sleep
-        self.began, self.used = clock(), 0
-
-    def wait(self, units: int = 1) -> None:
-        now = self.clock()
-        if now - self.began >= self.seconds:
-            self.began, self.used = now, 0
-        if self.used and self.used + units > self.calls:
-            self.sleep(self.seconds - (now - self.began))
-            self.began, self.used = self.clock(), 0
-        self.used += units
-
-
 def _table(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.string(), pa.string(), pa.int64(), pa.string())
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "item", "position", "error"])

@@ -97,6 +97,48 @@ def shortest_reranker() -> Reranker:
     return score
 
 
+class Throttle:
+    """At most calls in each window of so many seconds, counted anew when a window is over; for one caller. A unit of
+    work that makes several calls waits for all of them at once."""
+
+    def __init__(self, calls: int = 30, seconds: float = 60.0, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> None:
+        self.calls, self.seconds, self.clock, self.sleep = calls, seconds, clock, sleep
+        self.began, self.used = clock(), 0
+
+    def wait(self, units: int = 1) -> None:
+        now = self.clock()
+        if now - self.began >= self.seconds:
+            self.began, self.used = now, 0
+        if self.used and self.used + units > self.calls:
+            self.sleep(self.seconds - (now - self.began))
+            self.began, self.used = self.clock(), 0
+        self.used += units
+
+
+class Throttled:
+    """A service that keeps to a budget of calls: each item waits for as many calls as it stands for. The budget is a
+    worker's; with several workers at a time, give each its share."""
+
+    def __init__(self, call: Callable, calls: int = 30, seconds: float = 60.0, units: int = 1, **clock: Callable) -> None:
+        self.call, self.calls, self.seconds, self.units, self.clock = call, calls, seconds, units, clock
+        self.throttle: Throttle | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"throttle": None}  # each worker counts anew
+
+    def at(self, temperature: float) -> Throttled:
+        other = copy.copy(self)
+        other.call = tuned(self.call, temperature)
+        return other
+
+    def __call__(self, items: list) -> list:
+        if self.throttle is None:
+            self.throttle = Throttle(self.calls, self.seconds, **self.clock)
+        for _ in items:
+            self.throttle.wait(self.units)
+        return self.call(items)
+
+
 def hashed_embedder(dimensions: int = 64) -> Embedder:
     """Deterministic bag-of-words vectors of length one; an empty text is the zero vector."""
 

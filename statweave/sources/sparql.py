@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 
 from statweave.functions import text as T
 from statweave.sources.files import positions
-from statweave.sources.remote import Throttle
-from statweave.sources.services import retried
+from statweave.sources.services import Throttle, retried
 
 Endpoint = Callable[[str], list[dict]]
 BINDING = "batch long, item string, label string, property string, value string, unit string, sitelink string, error string"

@@ -21,6 +21,7 @@ from statweave.operators import retrieval as R
 from statweave.operators import statistics as S
 from statweave.operators import triples as K
 from statweave.plans import answering as A
+from statweave.plans import benchmark as B
 from statweave.plans import experiments as N
 from statweave.sources import files, remote, sparql, wiki
 from statweave.sources import services as V
@@ -183,6 +184,17 @@ def test_throttle_counts_units_and_callers():
     assert slept == [60.0] and throttle.used == 3
 
 
+def test_throttled_service():
+    import pickle
+
+    now, slept = [0.0], []
+    service = V.Throttled(V.echo_generator(), 30, 60.0, 3, clock=lambda: now[0], sleep=lambda s: (slept.append(s), now.__setitem__(0, now[0] + s)))
+    assert service(["[1] a"] * 8) == ["a"] * 8 and service(["x"] * 3) == ["Not known"] * 3 and slept == [60.0]
+    assert V.tuned(service, 0.5).calls == 30
+    chat = V.Throttled(V.ChatService(print, "m"))
+    assert V.tuned(chat, 0.5).call.temperature == 0.5 and pickle.loads(pickle.dumps(chat)).throttle is None
+
+
 def test_last_try_does_not_wait(monkeypatch):
     slept = []
     monkeypatch.setattr(V.time, "sleep", slept.append)
@@ -427,6 +439,31 @@ def test_a_checkpoint_is_taken_up_and_deleted(spark, tmp_path):
     resume.finish(spark, path)
 
 
+def test_benchmark_is_resumed(spark, tmp_path):
+    rows = [(i, f"s{i}", "ab"[i % 2], "no figure" if i > 30 else f"{i} km", "t") for i in range(40)]
+    triples = spark.createDataFrame(rows, "tid long, subject string, relation string, object string, source_topic string")
+    asked = spark.sparkContext.accumulator(0)
+    plain, path = B.template_questions(), f"{tmp_path}/cp"
+
+    def sometimes(prompts):
+        asked.add(len(prompts))
+        if any("Subject: s1" in p for p in prompts):
+            raise OSError
+        return plain(prompts)
+
+    def all_(prompts):
+        asked.add(len(prompts))
+        return plain(prompts)
+
+    some = B.build(triples, 20, 3, sometimes, path).collect()
+    assert 0 < len(some) < 20 and os.path.exists(path)
+    before = asked.value
+    whole = sorted(B.build(triples, 20, 3, all_, path).collect(), key=lambda r: r.id)
+    assert [r.id for r in whole] == list(range(20)) and asked.value - before == 20 - len(some) and not os.path.exists(path)
+    assert all(r.gold_numbers == [r.object.split()[0]] and r.question == f"What is the {r.relation} of {r.subject}?" for r in whole)
+    assert sorted(r.relation for r in whole) == ["a"] * 10 + ["b"] * 10 and {r.id: r.question for r in some}.items() <= {r.id: r.question for r in whole}.items()
+
+
 def test_work_list_and_numbers(spark):
     corpus = spark.createDataFrame([("a", 2), ("b", 0), ("c", 1)], "topic string, sentence_count int")
     assert [r.topic for r in K.work_list(corpus, spark.createDataFrame([("c",)], "topic string")).collect()] == ["a"]
