@@ -23,7 +23,8 @@ def _written(edges: DataFrame) -> tuple[DataFrame, int, int]:
     seen = Observation()
     counted = edges.distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("check"))
     table = materialise(counted, "edges")
-    return table, seen.get["n"], int(seen.get["check"])
+    found = seen.get  # nothing where the optimiser saw that there are no rows
+    return table, found.get("n") or 0, int(found.get("check") or 0)
 
 
 def connected_components(links: DataFrame, max_rounds: int = 100) -> DataFrame:

@@ -43,3 +43,9 @@ def test_components_of_hubs_and_chains(spark):
     got = connected_components(spark.createDataFrame(links, "a long, b long")).collect()
     assert len(got) == len({r["node"] for r in got})
     assert {r["node"]: r["root"] for r in got} == {x: find(x) for x in parent}
+
+
+@pytest.mark.parametrize("links", [[], [(None, 1)], [(4, 4)]])
+def test_components_without_links(spark, links):
+    frame = spark.createDataFrame(links, "a long, b long")
+    assert connected_components(frame).collect() == [] and connected_components(frame.where("false")).collect() == []
