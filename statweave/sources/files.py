@@ -76,6 +76,13 @@ def corpus(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("topic", "x.*")
 
 
+def write_corpus(corpus_: DataFrame, path: str, parts: int = 8) -> None:
+    """A corpus (topic, sentences, full_text, sentence_count, text_length) as JSON objects keyed by topic, one a file."""
+    entry = F.struct("topic", F.struct("sentences", "full_text", "sentence_count", "text_length"))
+    whole = corpus_.groupBy(F.pmod(F.xxhash64("topic"), F.lit(parts)).alias("part")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
+    replaced(corpus_.sparkSession, path, lambda p: whole.repartition("part").write.partitionBy("part").text(p))
+
+
 def flat_sentences(corpus_: DataFrame) -> DataFrame:
     return corpus_.select("topic", F.posexplode("sentences").alias("pos", "sentence"))
 
@@ -101,7 +108,9 @@ def held_out_topics(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_name() -> Column:
-    return F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1)
+    """The name of a row's file, or of the log's folder where a log is a folder of part files."""
+    path = F.col("_metadata.file_path")
+    return F.coalesce(F.nullif(F.regexp_extract(path, r"([^/]+\.jsonl)/[^/]*$", 1), F.lit("")), F.regexp_extract(path, "([^/]+)$", 1))
 
 
 def results(spark: SparkSession, directory: str, aliases: dict[str, str] | None = None) -> DataFrame:

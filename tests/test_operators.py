@@ -17,7 +17,7 @@ from statweave.operators import graph as G
 from statweave.operators import retrieval as R
 from statweave.operators import statistics as S
 from statweave.operators import triples as K
-from statweave.plans import answering, queries
+from statweave.plans import answering, queries, round_trips  # noqa: F401 - registers queries
 from statweave.sources import files, remote, services
 from statweave.streaming import resume
 
