@@ -6,6 +6,7 @@ import atexit
 import gc
 import os
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -60,7 +61,10 @@ def release(paths: list[str] | None = None) -> None:
     spark = SparkSession.getActiveSession()
     paths = list(_tables) if paths is None else paths
     _tables[:] = [p for p in _tables if p not in set(paths)]
-    if spark is None or spark.sparkContext._jsc is None:
+    if spark is None or spark.sparkContext._jsc is None:  # without a session only local folders can be reached
+        for p in paths:
+            if p.startswith("file:"):
+                shutil.rmtree(p.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
         return
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:

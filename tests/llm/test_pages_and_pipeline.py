@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import time
 from collections import Counter
 
@@ -166,6 +167,30 @@ def test_extraction_of_generated_pages():
         assert html_extract.extract(html) == "\n".join(x for _, texts in parts for x in texts), html
 
 
+def test_extraction_of_tag_soup():
+    """Whatever the tags, the text has no word that the page lacks, no empty block, and single spaces."""
+    rng = random.Random(7)
+    tags = [*sorted(html_extract.BLOCK), *sorted(html_extract.NEVER), *sorted(html_extract.INLINE), "br", "img", "script", "style", "title", "head"]
+    marks = ["", "", "", " class=ad", " id=comments", " class='post content'", " hidden", " role=navigation", " class=sidebar", " style='display:none'"]
+    for _ in range(1500):
+        n = [0]
+
+        def piece():
+            k, tag = rng.random(), rng.choice(tags)
+            if k < 0.4:
+                return f"<{tag}{rng.choice(marks)}>"
+            if k < 0.65:
+                return f"</{tag}>"
+            n[0] += 1
+            return rng.choice([f"w{n[0]}, here ", f"w{n[0]} ", f" w{n[0]} &amp; ", "<", "</", "<!-- c -->", "<!", " \n"])
+
+        html = "".join(piece() for _ in range(rng.randint(1, 60)))
+        blocks = html_extract.extract(html).split("\n")
+        words = [w for b in blocks for w in re.findall(r"w[0-9]+", b)]
+        assert words == sorted(set(words), key=lambda w: int(w[1:])), html  # in page order, none twice
+        assert blocks == [""] or all(b and b == " ".join(b.split()) for b in blocks), html
+
+
 @pytest.mark.parametrize("html", ["<b>" * 130_000 + "x" + "</i>" * 130_000, "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000, "<div>" * 90_000 + "<li></li>" * 60_000, "<article>" * 60_000 + "<p>x, y</p>" * 30_000, "<table><tr>" * 40_000 + "<td>x" * 80_000, "<a '>" * 200_000, "<div>" * 90_000 + "<h1>x</h1>" * 60_000])
 def test_extraction_takes_linear_time(html):
     began = time.process_time()
