@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -54,7 +55,10 @@ def release_tables() -> None:
     """Deletes what is at shared paths; frames that read it must be done with."""
     spark = SparkSession.getActiveSession()
     paths, _tables[:] = list(_tables), []
-    if spark is None or spark.sparkContext._jsc is None:
+    if spark is None or spark.sparkContext._jsc is None:  # without a session only local folders can be reached
+        for p in paths:
+            if p.startswith("file:"):
+                shutil.rmtree(p.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
         return
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:
