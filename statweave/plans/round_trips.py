@@ -50,9 +50,9 @@ def results_log(spark: SparkSession, d: str) -> DataFrame:
     for method in ("kg", "rag", "zero"):
         own = rows.where(F.col("method") == method).drop("method")
         for half in (own.where("error is null"), own.where("error is not null")):
-            files.append_results(half, f"{folder}/{'hpti' if method == 'kg' else method}_all.jsonl")
-        files.purge_errors(spark, f"{folder}/{'hpti' if method == 'kg' else method}_all.jsonl")
-    return files.results(spark, folder, {"hpti": "kg"}).groupBy("method", "model").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("query").alias("questions"))
+            files.append_results(half, f"{folder}/{'facts' if method == 'kg' else method}_all.jsonl")
+        files.purge_errors(spark, f"{folder}/{'facts' if method == 'kg' else method}_all.jsonl")
+    return files.results(spark, folder, {"facts": "kg"}).groupBy("method", "model").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("query").alias("questions"))
 
 
 @query(with_(X.ASKED) + "SELECT id, subject, fine AS document, 't' || label AS source_topic FROM FI WHERE label = 1 ORDER BY id LIMIT 20")

@@ -377,7 +377,7 @@ def test_filters_reach_every_method(spark, tmp_path):
     assert {r.answer for r in bare} == {"Not known"} and all(r.context is None for r in bare)
     both = A.compared_indexes(q, {"own": (i, where), "other": (i, None)}, None, echo).collect()
     assert {(r.method, r.qid): r.answer for r in both} == {("kg_retrieval_own", 100): "fact 1 is 10", ("kg_retrieval_own", 101): "fact 4 is 40", ("kg_retrieval_other", 100): "fact 0 is 0", ("kg_retrieval_other", 101): "fact 5 is 50"}
-    assert answer(A.run("hpti", q, i, None, echo)) == {100: "fact 0 is 0", 101: "fact 5 is 50"}
+    assert answer(A.run("kg_retrieval", q, i, None, echo)) == {100: "fact 0 is 0", 101: "fact 5 is 50"}
 
 
 def test_chunk_index_is_made_once(spark, tmp_path):
