@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statweave.llm import bpe, exact_dedup, html_extract, langid, lm_scoring, packing, quality_gbt, quality_rules, simhash, warc
+from statweave.llm import bpe, exact_dedup, html_extract, langid, lm_scoring, packing, periodic_runs, quality_gbt, quality_rules, simhash, url_filter, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scores, op2_simhash, op3_packing, op4_exact_dedup, op5_warc, op6_quality, op7_language, op8_main_text, op9_bpe, op10_quality_rules)}
-#: Without SQL: models, the trie join, tokenizers and page trees; their tests hold them against brute force.
-ORACLES = {"op4_exact_dedup": exact_dedup.ORACLE, "op5_warc": warc.ORACLE}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_verdicts(table(spark, sf_dir, "pages"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), arrange=periodic_runs.repeated_tail))
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scores, op2_simhash, op3_packing, op4_exact_dedup, op5_warc, op6_quality, op7_language, op8_main_text, op9_bpe, op10_quality_rules, op11_whitening, op12_url_filter, op13_periodic_runs)}
+#: Without SQL: models, eigenvectors, the trie join, tokenizers, page trees, runs; tests hold them against brute force.
+ORACLES = {"op4_exact_dedup": exact_dedup.ORACLE, "op5_warc": warc.ORACLE, "op12_url_filter": url_filter.ORACLE}
