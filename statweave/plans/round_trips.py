@@ -4,6 +4,7 @@ comes back as the SQL has it."""
 from __future__ import annotations
 
 import json
+import re
 import urllib.parse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,8 @@ from statweave.plans import answering as A
 from statweave.plans import fixtures as X
 from statweave.plans import queries as Q
 from statweave.plans.queries import query, with_
-from statweave.session import shared_path
-from statweave.sources import files, remote, wiki
+from statweave.session import cut_lineage, shared_path
+from statweave.sources import files, remote, sparql, wiki
 from statweave.sources import services as V
 from statweave.streaming import resume
 
@@ -224,6 +225,29 @@ def call_windows(spark: SparkSession, d: str) -> DataFrame:
     return X.table(spark, d, "events").groupBy(F.date_trunc("minute", "ts").alias("minute")).agg(F.count(F.lit(1)).alias("calls"), F.greatest(F.count(F.lit(1)) - 30, F.lit(0)).alias("over"))
 
 
+def offline_endpoint(request: str) -> list[dict]:
+    """Answers for the articles of a request: of all but every fourth, by the length of its name, a quantity for each
+    property that is asked for; every other amount has a sign, as endpoints write them."""
+    cell = lambda **kv: {k: {"value": v} for k, v in kv.items()}
+    out = []
+    for url in re.findall(r"<(http[^>]*/wiki/[^>]*)>", request):
+        name = url.rsplit("/", 1)[1]
+        key = int(name[-3:])
+        for code in re.findall(r"\(wd:(P\d+) ", request) if key % 4 else []:
+            out.append(cell(entity=f"http://w/Q{key}", name=name.lower(), property=f"http://w/{code}", amount=f"{'+' * (key % 2)}{key * len(code)}", unit_name="1" if code == "P1082" else "square kilometre", article=url))
+    return out
+
+
+@query("""WITH C AS (SELECT c_name AS topic, CAST(right(c_name, 3) AS BIGINT) AS key FROM customer)
+SELECT lower(topic) AS subject, relation, CAST(min(key) * len AS VARCHAR) || unit AS object, min(topic) AS source_topic
+FROM C, (VALUES ('HasPopulation', 5, ''), ('HasArea', 5, ' square kilometre'), ('P9', 2, ' square kilometre')) p(relation, len, unit) WHERE key % 4 <> 0 GROUP BY topic, relation, len, unit""")
+def sparql_bindings(spark: SparkSession, d: str) -> DataFrame:
+    """Requests for batches of topics, made on the executors, and the facts in the answers."""
+    batches = cut_lineage(sparql.batched(X.table(spark, d, "customer"), "c_name", "c_custkey"))
+    rows = cut_lineage(sparql.bindings(batches, offline_endpoint, ["P1082", "P2046", "P9"], calls=1_000_000, callers=8))
+    return sparql.facts(rows, batches, {"P1082": "HasPopulation", "P2046": "HasArea"}).select("subject", "relation", "object", "source_topic")
+
+
 # services
 def offline_chat(request: dict) -> dict:
     text = request["messages"][-1]["content"]

@@ -38,8 +38,7 @@ def paged(keys: DataFrame, column: str, call: Page, calls: int = 30, seconds: fl
             for key in batch.column(0).to_pylist():
                 token, position, more = None, 0, True
                 while more:
-                    throttle.wait()
-                    got, error = retried(lambda of, t=token: [call(of[0], t)], [key], tries, wait)
+                    got, error = retried(lambda of, t=token: (throttle.wait(), [call(of[0], t)])[1], [key], tries, wait)
                     if error:
                         yield _table([(key, None, None, error)])
                         break
@@ -62,8 +61,7 @@ def looked_up(keys: DataFrame, column: str, call: Lookup, batch: int = 50, calls
             names = part.column(0).to_pylist()
             for at in range(0, len(names), batch):
                 asked = names[at : at + batch]
-                throttle.wait()
-                got, error = retried(call, asked, tries, wait)
+                got, error = retried(lambda keys: (throttle.wait(), call(keys))[1], asked, tries, wait)
                 rows = [(k, x, i, None) for i, (k, x) in enumerate(got or [])] if not error else [(k, None, None, error) for k in asked]
                 if rows:
                     yield _table(rows)

@@ -18,23 +18,27 @@ from statweave.sources.services import Throttle, retried
 
 Endpoint = Callable[[str], list[dict]]
 BINDING = "batch long, item string, label string, property string, value string, unit string, sitelink string, error string"
-_FIELDS = {"item": "item", "label": "itemLabel", "property": "prop", "value": "value", "unit": "unitLabel", "sitelink": "sitelink"}
-
-
-def question(sitelinks: list[str], properties: list[str], most: int = 5000) -> str:
-    """Items by their articles, joined to their values of the wanted properties, with a unit where there is one."""
-    return "\n".join(
-        [
-            "SELECT ?item ?itemLabel ?prop ?value ?unitLabel ?sitelink WHERE {",
-            f"  VALUES ?sitelink {{ {' '.join(f'<{x}>' for x in sitelinks)} }}",
-            f"  VALUES ?prop {{ {' '.join(f'wdt:{p}' for p in properties)} }}",
-            "  ?sitelink schema:about ?item . ?item ?prop ?value .",
-            "  FILTER(isNumeric(?value))",
-            "  OPTIONAL { ?item ?prop ?statement . ?statement ?node/wikibase:quantityUnit ?unit . }",
-            '  SERVICE wikibase:label { bd:serviceParam wikibase:language "en". }',
-            f"}} LIMIT {most}",
-        ]
-    )
+#: Our column, and the variable of the request that fills it.
+_FIELDS = {"item": "entity", "label": "name", "property": "property", "value": "amount", "unit": "unit_name", "sitelink": "article"}
+
+
+def question(articles: list[str], properties: list[str], most: int = 5000, site: str = "https://en.wikipedia.org/", language: str = "en") -> str:
+    """A request for the quantities of the items that the articles are about. In the public data model an item leads by
+    p: to a statement, that by psv: to a quantity, and that to its amount and unit; all units are items, of which the
+    plain number is one."""
+    paths = " ".join(f"(wd:{p} p:{p} psv:{p})" for p in properties)
+    name = lambda of, to: f"OPTIONAL {{ ?{of} rdfs:label ?{to} . FILTER(LANG(?{to}) = '{language}') }}"
+    return f"""SELECT {" ".join(f"?{v}" for v in _FIELDS.values())} WHERE {{
+  VALUES ?article {{ {" ".join(f"<{a}>" for a in articles)} }}
+  VALUES (?property ?leads ?holds) {{ {paths} }}
+  ?article schema:about ?entity ; schema:isPartOf <{site}> .
+  ?entity ?leads ?statement .
+  ?statement ?holds ?quantity .
+  ?quantity wikibase:quantityAmount ?amount ; wikibase:quantityUnit ?unit .
+  {name("entity", "name")}
+  {name("unit", "unit_name")}
+}}
+LIMIT {most}"""
 
 
 def batched(topics: DataFrame, column: str, order: str, size: int = 25) -> DataFrame:
@@ -50,10 +54,14 @@ def bindings(batches: DataFrame, endpoint: Endpoint, properties: list[str], call
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         throttle = Throttle(calls // callers, seconds)
         names = [x.split()[0] for x in BINDING.split(", ")]
+
+        def counted(requests: list[str]) -> list[dict]:
+            throttle.wait()
+            return endpoint(requests[0])
+
         for part in parts:
             for batch, urls in zip(part.column("batch").to_pylist(), part.column("urls").to_pylist(), strict=True):
-                throttle.wait()
-                got, error = retried(lambda of: endpoint(of[0]), [question(urls, properties)], tries, wait)
+                got, error = retried(counted, [question(urls, properties)], tries, wait)
                 rows = [{"batch": batch, "error": error}] if error else [{"batch": batch} | {k: b.get(f, {}).get("value") for k, f in _FIELDS.items()} for b in got]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], pa.int64() if n == "batch" else pa.string()) for n in names], names=names)
@@ -62,7 +70,8 @@ def bindings(batches: DataFrame, endpoint: Endpoint, properties: list[str], call
 
 
 def quantity(value: Column, unit: Column) -> Column:
-    """A value with its unit; the unit one, and none, are left out."""
+    """A value with its unit, without a plus before it; the unit one, and none, are left out."""
+    value = F.regexp_replace(value, r"^\+", "")
     return F.when(F.coalesce(unit, F.lit("")).isin("", "1"), value).otherwise(T.strip(F.concat(value, F.lit(" "), unit)))
 
 

@@ -122,5 +122,6 @@ class ArticleText:
 
 
 def articles(topics: DataFrame, column: str, api: Api, **settings: object) -> DataFrame:
-    """key, item (the text), position, error for every topic that has an article."""
-    return remote.looked_up(topics, column, ArticleText(api), **settings)
+    """key, item (the text), position, error for every topic that has an article. Texts come one a request, so each title
+    is a batch of its own: it counts in the budget, and fails, by itself."""
+    return remote.looked_up(topics, column, ArticleText(api), **{"batch": 1} | settings)

@@ -6,6 +6,8 @@ import json
 import math
 import os
 import random
+import re
+import time
 import urllib.parse
 
 import numpy as np
@@ -205,7 +207,7 @@ def endpoint(query):
     if "Bad" in query:
         raise OSError("gone")
     cell = lambda **kv: {k: {"value": v} for k, v in kv.items()}
-    return [cell(item="q1", itemLabel="Sweden", prop="http://w/P2046", value="450", unitLabel="km2", sitelink="https://en.wikipedia.org/wiki/SWEDEN"), cell(item="q2", itemLabel="Norway north", prop="http://w/P9", value="7", unitLabel="1"), cell(item="q3", itemLabel="Else", prop="http://w/P9", value="8")]
+    return [cell(entity="q1", name="Sweden", property="http://w/P2046", amount="+450", unit_name="km2", article="https://en.wikipedia.org/wiki/SWEDEN"), cell(entity="q2", name="Norway north", property="http://w/P9", amount="7", unit_name="1"), cell(entity="q3", name="Else", property="http://w/P9", amount="8")]
 
 
 def test_sparql(spark):
@@ -217,10 +219,42 @@ def test_sparql(spark):
     got = {tuple(r)[:4] for r in sparql.facts(rows, batches, {"P2046": "HasArea"}).collect()}
     assert got == {("Sweden", "HasArea", "450 km2", "Sweden"), ("Norway north", "P9", "7", "Norway"), ("Else", "P9", "8", "Else")}
     query = sparql.question(["http://a/x"], ["P1", "P2"])
-    assert "<http://a/x>" in query and "wdt:P1 wdt:P2" in query and query.endswith("LIMIT 5000")
+    assert "<http://a/x>" in query and query.endswith("LIMIT 5000")
+    check_request(query, ["P1", "P2"])
     assert [r.u for r in topics.select(T.sitelink_url(F.col("t")).alias("u")).collect()][2].endswith("/North_x")
 
 
+def check_request(query, properties):
+    """The request in the grammar that endpoints accept: triples of terms, no variable inside a property path, every
+    selected variable bound, and every property's statement and quantity paths side by side."""
+    head, body = re.fullmatch(r"SELECT ((?:\?\w+ ?)+) WHERE \{\n(.*)\n\}\nLIMIT \d+", query, re.S).groups()
+    rows = re.search(r"VALUES \(\?property \?leads \?holds\) \{ (.*?) \}", body)[1]
+    assert rows == " ".join(f"(wd:{p} p:{p} psv:{p})" for p in properties)
+    body = re.sub(r"VALUES (\([^)]*\)|\?\w+) \{[^}]*\}", "", body)
+    body = re.sub(r"FILTER\(LANG\(\?\w+\) = '\w+'\)", "", body).replace("OPTIONAL {", "").replace("}", "")
+    term = r"(\?\w+|<[^>]*>|[a-z]\w*:\w+)"
+    triples = [t.strip() for t in re.split(r"\s\.(?:\s|$)", body) if t.strip()]
+    for triple in triples:
+        first, *more = triple.split(" ; ")
+        assert re.fullmatch(f"{term} {term} {term}", first) and all(re.fullmatch(f"{term} {term}", m) for m in more), triple
+    assert set(head.split()) <= set(re.findall(r"\?\w+", body)) | {"?property", "?article"}
+
+
+def test_requests_are_counted(spark, tmp_path):
+    """Every try and every text is a request; the stub counts them in a file, the throttle by the number of waits."""
+    log = str(tmp_path / "requests")
+
+    def fetch(url):
+        with open(log, "a") as f:
+            f.write(".")
+        return 200, json.dumps({"query": {"pages": {"1": {"extract": "text"}}}}).encode()
+
+    api = wiki.Api("http://wiki/api", fetch, sleep=lambda s: None)
+    began = time.monotonic()
+    assert wiki.articles(spark.range(25).selectExpr("cast(id as string) as k"), "k", api, calls=10, seconds=1.0).count() == 25
+    assert os.path.getsize(log) == 25 and time.monotonic() - began >= 1.9
+
+
 def test_chat_service():
     asked = []
 
