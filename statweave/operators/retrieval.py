@@ -16,6 +16,8 @@ from statweave.session import cut_lineage
 
 #: Bytes of query vectors that are broadcast at once; more queries are searched in blocks.
 QUERY_BYTES = 32 << 20
+#: Queries and rows whose distances a task holds at once: 16 MB of them.
+TILE = 1448
 
 
 def metadata_condition(where: dict) -> Column:
@@ -52,9 +54,11 @@ def cosine_topk(queries: DataFrame, index: DataFrame, k: int, query_bytes: int =
 
     One block of queries goes to every task, which multiplies it with batches of the index and keeps k rows a
     query; only those rows shuffle for the final ranking. Queries beyond query_bytes make further blocks.
-    Ties go to the smaller id, or with later_first to the larger; a zero vector is at distance 1.
+    Ties go to the smaller id, or with later_first to the larger; a zero vector is at distance 1. A vector that is null
+    or holds a null, as a failed embedding leaves it, is found by no query and finds nothing; all others have one length.
     """
     spark = queries.sparkSession
+    queries, index = (df.where(usable(F.col("vector"))) for df in (queries, index))
     n = queries.count()
     width = queries.select(F.max(F.size("vector"))).first()[0] or 1
     block = max(1, query_bytes // (8 * width))
@@ -75,32 +79,54 @@ def cosine_topk(queries: DataFrame, index: DataFrame, k: int, query_bytes: int =
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def usable(vector: Column) -> Column:
+    return vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull())
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     length = np.linalg.norm(x, axis=1, keepdims=True)
     return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
 
 
 def _nearest(held, k: int, later_first: bool):
+    """Each task's k nearest of every query, found a tile of queries and rows at a time: of a tile what is no farther
+    than its k-th nearest, and no farther than the k-th so far, is merged with what was found before."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qid, queries = held.value
-        ids = np.zeros((len(qid), 0), np.int64)
-        distance = np.zeros((len(qid), 0))
+        near, ids, rows = np.full((len(qid), k), np.inf), np.zeros((len(qid), k), np.int64), 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
+            names = batch.column("id").to_numpy()
             column = batch.column("vector")
-            x = _unit(column.values.to_numpy().reshape(batch.num_rows, -1) if not column.null_count else np.array(column.to_pylist(), np.float64))
-            ids = np.concatenate([ids, np.broadcast_to(batch.column("id").to_numpy(), (len(qid), batch.num_rows))], axis=1)
-            distance = np.concatenate([distance, 1 - queries @ x.T], axis=1)
-            if ids.shape[1] > k:
-                keep = np.lexsort((-ids if later_first else ids, distance), axis=1)[:, :k]
-                ids, distance = np.take_along_axis(ids, keep, 1), np.take_along_axis(distance, keep, 1)
-        if ids.size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, ids.shape[1])), pa.array(ids.ravel()), pa.array(distance.ravel())], names=["qid", "id", "distance"])
+            x = _unit(column.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, queries.shape[1])))
+            rows += len(x)
+            for i in range(0, len(x), TILE):
+                for j in range(0, len(qid), TILE):
+                    _merge(near[j : j + TILE], ids[j : j + TILE], 1 - queries[j : j + TILE] @ x[i : i + TILE].T, names[i : i + TILE], k, later_first)
+        if rows:
+            found = near < np.inf
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, found.sum(axis=1))), pa.array(ids[found]), pa.array(near[found])], names=["qid", "id", "distance"])
 
     return run
 
 
+def _merge(near: np.ndarray, ids: np.ndarray, distance: np.ndarray, names: np.ndarray, k: int, later_first: bool) -> None:
+    most = near[:, -1]
+    if distance.shape[1] > k:
+        most = np.minimum(most, np.partition(distance, k - 1, axis=1)[:, k - 1])
+    row, column = np.nonzero(distance <= most[:, None])
+    touched = np.unique(row)
+    old = near[touched] < np.inf
+    row = np.concatenate([np.repeat(touched, old.sum(axis=1)), row])
+    d = np.concatenate([near[touched][old], distance[row[old.sum() :], column]])
+    name = np.concatenate([ids[touched][old], names[column]])
+    order = np.lexsort((-name if later_first else name, d, row))
+    row, d, name = row[order], d[order], name[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    row, d, name, place = (v[place < k] for v in (row, d, name, place))
+    near[row, place], ids[row, place] = d, name
+
+
 def gate(hits: DataFrame, queries: DataFrame, most: float | None) -> DataFrame:
     """All queries with how many hits are near enough; none left means the query falls back to no context."""
     kept = hits if most is None else hits.where(F.col("distance") <= most)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from statweave.operators import evaluation as E
 from statweave.operators import graph as G
+from statweave.operators import nearest, retrieval
 from statweave.operators import statistics as S
 from statweave.operators import triples as K
 from statweave.plans import answering as A
@@ -19,7 +20,7 @@ from statweave.plans import fixtures as X
 from statweave.plans import queries as Q
 from statweave.plans.queries import query, with_
 from statweave.session import cut_lineage, shared_path
-from statweave.sources import files, remote, sparql, wiki
+from statweave.sources import files, json_entries, remote, sparql, wiki
 from statweave.sources import services as V
 from statweave.streaming import resume
 
@@ -34,6 +35,39 @@ def corpus_file(spark: SparkSession, d: str) -> DataFrame:
     return files.flat_sentences(files.corpus(spark, path)).select("topic", F.col("pos").cast("long").alias("pos"), "sentence")
 
 
+@query(with_(X.TRIPLES) + "SELECT CAST(tid AS VARCHAR) AS tid, subject, object FROM T")
+def json_object(spark: SparkSession, d: str) -> DataFrame:
+    """Rows as one JSON object, written by many tasks and read in blocks of a few kilobytes, with entries over their ends."""
+    path, key = shared_path(spark, "object-"), "spark.sql.files.maxPartitionBytes"
+    json_entries.write_object(X.triples(spark, d), F.col("tid"), F.struct("subject", "object"), path)
+    kept = spark.conf.get(key)
+    spark.conf.set(key, "16k")
+    try:
+        return cut_lineage(json_entries.object_of(spark, path, "struct<subject: string, object: string>")).select(F.col("key").alias("tid"), "value.subject", "value.object")
+    finally:
+        spark.conf.set(key, kept)
+
+
+@query("SELECT qid, id, rank FROM (SELECT q.vec_id AS qid, x.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[])) DESC, x.vec_id) AS rank FROM embeddings q, embeddings x WHERE q.vec_id % 50 = 0) z WHERE rank <= 5")
+def nearest_index(spark: SparkSession, d: str) -> DataFrame:
+    """An index of all vectors, of which every list is asked and ranked again: exact, and in order."""
+    path, index = shared_path(spark, "nearest-"), X.vectors(spark, d).select("id", "vector")
+    nearest.build(index, path)
+    return nearest.search(index.where("id % 50 = 0").select(F.col("id").alias("qid"), "vector"), path, 5, probes=nearest.LISTS, shortlist=index.count()).select("qid", "id", "rank")
+
+
+@query("SELECT count(*) AS asked, true AS nine_of_ten, true AS in_order FROM embeddings WHERE vec_id % 50 = 0")
+def nearest_index_recall(spark: SparkSession, d: str) -> DataFrame:
+    """With production parameters the index finds at least nine of ten of the exact nearest, in order."""
+    path, index = shared_path(spark, "nearest-"), X.vectors(spark, d).select("id", "vector")
+    nearest.build(index, path)
+    asked = cut_lineage(index.where("id % 50 = 0").select(F.col("id").alias("qid"), "vector"))
+    found, exact = cut_lineage(nearest.search(asked, path, 5)), cut_lineage(retrieval.cosine_topk(asked, index, 5))
+    right = exact.join(found.select("qid", "id", F.lit(1).alias("hit")), ["qid", "id"], "left").agg((F.sum(F.coalesce("hit", F.lit(0))) >= 0.9 * F.count(F.lit(1))).alias("nine_of_ten"))
+    order = found.alias("a").join(found.alias("b"), F.expr("a.qid = b.qid and a.rank + 1 = b.rank")).agg(F.coalesce(F.bool_and(F.expr("a.distance <= b.distance")), F.lit(True)).alias("in_order"))
+    return asked.agg(F.count(F.lit(1)).alias("asked")).join(F.broadcast(right)).join(F.broadcast(order))  # one row each
+
+
 @query(with_(X.TRIPLES) + "SELECT subject, relation, object, source_topic, 'llm' AS source FROM T")
 def triples_file(spark: SparkSession, d: str) -> DataFrame:
     """JSON lines, among them blank ones and some that don't parse."""

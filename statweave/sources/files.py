@@ -13,8 +13,9 @@ from pyspark.sql.types import NumericType
 
 from statweave.functions import text as T
 from statweave.session import cut_lineage
+from statweave.sources.json_entries import array_of, object_of, write_object
 
-CORPUS = "map<string, struct<sentences: array<string>, full_text: string, sentence_count: bigint, text_length: bigint>>"
+CORPUS = "struct<sentences: array<string>, full_text: string, sentence_count: bigint, text_length: bigint>"
 TRIPLE = "subject string, relation string, object string, source_topic string, source_sentences string, extraction_method string"
 RESULT = (
     "query string, model string, method string, answer string, retrieved_triples array<struct<document: string, subject: string, relation: string, object: string, source_topic: string, source: string>>, "
@@ -71,16 +72,14 @@ def domain(spark: SparkSession, path: str, default: Domain) -> Domain:
 
 
 def corpus(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON object keyed by topic, one file a row."""
-    whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", CORPUS)).alias("topic", "x"))
-    return whole.select("topic", "x.*")
+    """JSON objects keyed by topic, a file of any size read by many tasks."""
+    return object_of(spark, path, CORPUS).select(F.col("key").alias("topic"), "value.*")
 
 
-def write_corpus(corpus_: DataFrame, path: str, parts: int = 8) -> None:
-    """A corpus (topic, sentences, full_text, sentence_count, text_length) as JSON objects keyed by topic, one a file."""
-    entry = F.struct("topic", F.struct("sentences", "full_text", "sentence_count", "text_length"))
-    whole = corpus_.groupBy(F.pmod(F.xxhash64("topic"), F.lit(parts)).alias("part")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
-    replaced(corpus_.sparkSession, path, lambda p: whole.repartition("part").write.partitionBy("part").text(p))
+def write_corpus(corpus_: DataFrame, path: str) -> None:
+    """A corpus (topic, sentences, full_text, sentence_count, text_length) as JSON objects keyed by topic, one a task."""
+    entry = F.struct("sentences", "full_text", "sentence_count", "text_length")
+    replaced(corpus_.sparkSession, path, lambda p: write_object(corpus_, F.col("topic"), entry, p))
 
 
 def flat_sentences(corpus_: DataFrame) -> DataFrame:
@@ -103,8 +102,7 @@ def table_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def held_out_topics(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of titles."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.explode(F.from_json("value", "array<string>")).alias("topic")).distinct()
+    return array_of(spark, path, "string").select(F.col("value").alias("topic")).distinct()
 
 
 def file_name() -> Column:
