@@ -11,10 +11,11 @@ whatever surrounds them. A chunk without such a place is encoded again whole, wi
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import re
 from collections import OrderedDict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,23 @@ MEAN = 1024
 LEAST, MOST = 256, 8192
 #: Characters of chunks that a worker's cache keeps.
 CACHE_CHARS = 16_000_000
+#: Characters, and ids, that are worked on at once.
+PIECE = 1 << 17
+
+
+def _hits(text: str) -> np.ndarray:
+    """Places after which the rolling hash hits, found by blocks, each with the characters before it that its first
+    windows cover."""
+    factor, found = 0x9E3779B97F4A7C15, []
+    for begin in range(0, len(text), PIECE):
+        before = min(begin, ROLL - 1)
+        value = np.frombuffer(text[begin - before : begin + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32) * np.uint64(0xD6E8FEB86659FD93)
+        span = 1
+        while span < ROLL:  # a window of twice the span is the older half, shifted, plus the newer one
+            value[span:] += value[:-span] * np.uint64(pow(factor, span, 1 << 64))
+            span *= 2
+        found.append(np.flatnonzero((value[before:] >> np.uint64(40)) & np.uint64(MEAN - 1) == 0) + (begin + 1))
+    return np.concatenate(found)
 
 
 def cuts(text: str) -> list[int]:
@@ -39,13 +57,7 @@ def cuts(text: str) -> list[int]:
     n = len(text)
     if n <= LEAST:
         return [n] if n else []
-    factor = 0x9E3779B97F4A7C15
-    value = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) * np.uint64(0xD6E8FEB86659FD93)
-    span = 1
-    while span < ROLL:  # a window of twice the span is the older half, shifted, plus the newer one
-        value[span:] += value[:-span] * np.uint64(pow(factor, span, 1 << 64))
-        span *= 2
-    hits = np.flatnonzero((value >> np.uint64(40)) & np.uint64(MEAN - 1) == 0) + 1
+    hits = _hits(text)
     out, last = [], 0
     while n - last > MOST or (hits.size and hits[-1] >= last + LEAST):
         k = int(np.searchsorted(hits, last + LEAST))
@@ -128,41 +140,81 @@ class Encoder:
         return found
 
     def encode(self, text: str) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.uint32), *self.parts(text)])
+
+    def parts(self, text: str) -> Iterator[np.ndarray]:
+        """The text's ids in order, a few thousand at a time."""
         return self._around_special(text, self._joined)
 
     def whole(self, text: str) -> np.ndarray:
         """The same ids without reuse of chunks; less work where little repeats."""
-        return self._around_special(text, self.plain)
+        return np.concatenate([np.zeros(0, np.uint32), *self._around_special(text, self._in_pieces)])
 
-    def _around_special(self, text: str, encode: Callable[[str], np.ndarray]) -> np.ndarray:
+    def _around_special(self, text: str, encode: Callable[[str], Iterator[np.ndarray]]) -> Iterator[np.ndarray]:
         """Added tokens' strings split the text before anything else, as in the tokenizer."""
         for content, number in self.special:
             if content in text:
-                parts = [self._around_special(x, encode) for x in text.split(content)]
-                mark = np.array([number], np.uint32)
-                return np.concatenate([y for x in parts for y in (mark, x)][1:])
-        return encode(text)
-
-    def _joined(self, text: str) -> np.ndarray:
+                for i, x in enumerate(text.split(content)):
+                    if i:
+                        yield np.array([number], np.uint32)
+                    yield from self._around_special(x, encode)
+                return
+        yield from encode(text)
+
+    def _in_pieces(self, text: str) -> Iterator[np.ndarray]:
+        """Each piece ends at the first agreed place after PIECE characters."""
+        at = 0
+        while at < len(text):
+            found = _AGREED.search(text, at + PIECE)
+            stop = found.start() + 1 if found else len(text)
+            yield self.plain(text[at:stop])
+            at = stop
+
+    def _joined(self, text: str) -> Iterator[np.ndarray]:
         ends = cuts(text)
         if len(ends) < 2:
-            return self.plain(text)
-        out, start, at = [], 0, 0  # at: a pre-token of the whole text begins there, and all before it is in out
+            yield self.plain(text)
+            return
+        start, at = 0, 0  # at: a pre-token of the whole text begins there, and all before it has been given
         for end in ends:
             chunk = self.chunk(text[start:end])
             whole_head, whole_tail = start == 0, end == len(text)
             if chunk.first >= 0 or (whole_head and whole_tail):
                 if not whole_head:
-                    out.append(self.plain(text[at : start + chunk.first]))
-                out.append(chunk.ids[0 if whole_head else chunk.head : chunk.ids.size if whole_tail else chunk.ids.size - chunk.tail])
+                    yield self.plain(text[at : start + chunk.first])
+                yield chunk.ids[0 if whole_head else chunk.head : chunk.ids.size if whole_tail else chunk.ids.size - chunk.tail]
                 at = end if whole_tail else start + chunk.last
             start = end
-        out.append(self.plain(text[at:]))
-        return np.concatenate(out)
+        yield self.plain(text[at:])
 
     def decode(self, ids: np.ndarray) -> str:
-        table = self.bytes
-        return b"".join([table[i] for i in ids.tolist()]).decode("utf-8", "replace")
+        return "".join(self.decoded([ids]))
+
+    def decoded(self, parts: Iterable[np.ndarray]) -> Iterator[str]:
+        """The text of the ids, a part at a time; a character may go over the end of a part."""
+        table, decoder = self.bytes, codecs.getincrementaldecoder("utf-8")("replace")
+        for part in parts:
+            for i in range(0, part.size, PIECE):
+                yield decoder.decode(b"".join([table[k] for k in part[i : i + PIECE].tolist()]))
+        yield decoder.decode(b"", True)
+
+    def digests(self, text: str) -> tuple[int, str, str]:
+        """How many ids a text has, and the SHA-256 of them, joined by commas, and of the text that they stand for."""
+        names, n = hashlib.sha256(), 0
+        back = hashlib.sha256()
+
+        def counted() -> Iterator[np.ndarray]:
+            nonlocal n
+            for part in self.parts(text):
+                for i in range(0, part.size, PIECE):
+                    some = part[i : i + PIECE]
+                    names.update(("," * bool(n) + ",".join(map(str, some.tolist()))).encode())
+                    n += some.size
+                    yield some
+
+        for piece in self.decoded(counted()):
+            back.update(piece.encode("utf-8"))
+        return n, names.hexdigest(), back.hexdigest()
 
 
 def byte_characters() -> dict[int, str]:
@@ -205,12 +257,8 @@ def bpe_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
-        names = np.array([str(i) for i in range(len(own.bytes))], object)
         for batch in sliced_batches(batches):
-            rows = []
-            for text in batch.column("text").to_pylist():
-                ids = own.encode(text or "")
-                rows.append((ids.size, hashlib.sha256(",".join(names[ids].tolist()).encode()).hexdigest(), hashlib.sha256(own.decode(ids).encode("utf-8")).hexdigest()))
+            rows = [own.digests(text or "") for text in batch.column("text").to_pylist()]
             columns = list(zip(*rows, strict=True)) if rows else [(), (), ()]
             arrays = [batch.column("doc_id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

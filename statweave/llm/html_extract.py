@@ -5,8 +5,9 @@ that is in links; an article or main element gets the points of all paragraphs i
 container is kept, whole, with the siblings of it and of its ancestors that belong to it: paragraphs, headings
 and lists beside it, elements of the same kind, others that score well, and what lies between two that are kept.
 
-Menus, forms, notices, adverts, comments and the like are left out, by tag, role, class and id. A name alone
-never takes the article away: an element so marked stays if it is the page's largest article or main element, or
+Menus, forms, notices, adverts, comments and the like are left out, by tag, role, class and id; a name says so only
+if all its words do, and weak ones only of what has links, form controls or few words. Comments are also told without
+names, as repeated elements with an author and a date after the text. A name alone never takes the article away: an element so marked stays if it is the page's largest article or main element, or
 if it holds most of the page's points and nothing comparable stands outside. What is left out ends where its
 parent ends, so a forgotten end tag costs no more than that.
 """
@@ -47,8 +48,8 @@ IMPLIED = {
     "thead": ("thead tbody tfoot tr td th", "table"), "tbody": ("thead tbody tfoot tr td th", "table"), "tfoot": ("thead tbody tfoot tr td th", "table"), "option": ("option", "select"),
 }
 IMPLIED = {k: (a.split(), b.split()) for k, (a, b) in IMPLIED.items()}
-#: Words of a class or id that mark readers' comments; others that mark what isn't the article wherever they
-#: stand; and others that do so only if all the name's words are marks or neutral.
+#: Words of a class or id that mark readers' comments; others that mark what isn't the article if all the name's words
+#: are marks or neutral; and others that do so only where links, form controls or a few words bear them out.
 COMMENTS = frozenset("comment comments commentlist disqus".split())
 MARKS = COMMENTS | frozenset(
     "ad ads adbox advert adverts advertisement advertising banner sponsored promo promotion cookie cookies consent gdpr popup modal newsletter subscribe "
@@ -65,8 +66,16 @@ PROSE = HEADINGS | frozenset("p pre blockquote ul ol dl table figure address det
 PARTS = TABLE - {"table"} | frozenset("li dt dd section".split())
 #: Share of the best container's score that other siblings need, and the share of links that none may reach.
 SIBLING_SHARE, LINK_SHARE = 0.2, 0.3
-
-TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z", re.DOTALL)
+#: Characters of text below which a weak mark needs no more to bear it out.
+FEW = 80
+CONTROLS = frozenset("input button select textarea".split())
+#: What says who wrote an entry of a thread, and when: words of a class, itemprop or rel, and dates in the text.
+SIGNED = frozenset("author user username byline vcard commenter nickname poster".split())
+DATED = frozenset("date time timestamp datetime ago posted published".split())
+DATE = re.compile(r"\b\d{4}-\d\d-\d\d\b|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b|\b\d{1,2}:\d\d\b|\b\d+ (?:second|minute|hour|day|week|month|year)s? ago\b|\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* \d{1,2}\b", re.IGNORECASE)
+
+#: Names are possessive: what follows a name can't be part of it, so no start is tried twice.
+TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z", re.DOTALL)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 WORDS = re.compile(r"[a-z0-9]+")
 ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.IGNORECASE | re.ASCII) for tag in RAW}
@@ -76,13 +85,16 @@ class Node:
     """mark: why the element may not belong to the article ("" if nothing says so); gone: it or an ancestor is
     left out; kind: its tag and class, by which siblings are told alike."""
 
-    __slots__ = ("block", "bonus", "children", "closed", "gone", "kind", "link", "linked", "mark", "parent", "points", "score", "semantic", "size", "tag", "titled", "total")
+    __slots__ = ("block", "bonus", "children", "closed", "controls", "dated", "gone", "headed", "kind", "link", "linked", "mark", "parent", "points", "score", "semantic", "signed", "size", "tag", "titled", "total")
 
     def __init__(self, tag: str, parent: Node | None, mark: str = "", bonus: float = 0.0, kind: str = "") -> None:
         self.tag, self.parent, self.mark, self.bonus, self.kind = tag, parent, mark, bonus, kind
         self.children: list = []
         self.score = self.points = self.total = 0.0
-        self.size = self.linked = 0
+        self.size = self.linked = self.controls = 0
+        self.dated = tag == "time"
+        self.signed = False
+        self.headed = tag in HEADINGS
         self.closed = tag in OPEN_ENDED
         self.gone = self.titled = False
         self.link = tag == "a" or (parent is not None and parent.link)
@@ -91,16 +103,14 @@ class Node:
 
 
 def _named(name: str, tag: str) -> str:
-    """What one class or id says: comments, beside, or nothing."""
+    """What one class or id says: comments, beside, perhaps beside (weak), or nothing."""
     words = WORDS.findall(name.lower())
     if tag in PROSE and len(words) > 1:  # of paragraphs and headings only plain marks count
         return ""
     if COMMENTS.intersection(words):
         return "comments"
-    if MARKS.intersection(words):
-        return "beside"
-    if WEAK.intersection(words) and all(w in WEAK or w in NEUTRAL or w.isdigit() for w in words):
-        return "beside"
+    if all(w in MARKS or w in WEAK or w in NEUTRAL or w.isdigit() for w in words):
+        return "beside" if MARKS.intersection(words) else "weak" if WEAK.intersection(words) else ""
     return ""
 
 
@@ -122,8 +132,8 @@ def judge(tag: str, attributes: str) -> tuple[str, float, str]:
         said.add(_named(found.get("id", ""), tag))
     if "comments" in said:
         mark = mark or "comments"
-    elif "beside" in said:
-        mark = mark or "beside"
+    elif "beside" in said or "weak" in said:
+        mark = mark or ("beside" if "beside" in said else "weak")
     return mark, bonus, f"{tag} {' '.join(sorted(names))}" if names else ""
 
 
@@ -157,6 +167,8 @@ def parse(html: str) -> list[Node]:
         tag = (m[2] or m[5] or "").lower()
         if not tag or tag == "head":
             continue
+        if tag in CONTROLS and not (m[1] or m[4]):
+            stack[-1].controls += 1
         if (m[1] or m[4]) == "/":
             of = tuple(HEADINGS) if tag in HEADINGS else (tag,)
             i = nearest(of)
@@ -188,7 +200,11 @@ def parse(html: str) -> list[Node]:
             elif tag in ("br", "img", "input"):
                 stack[-1].children.append(" ")
             continue
-        node = Node(tag, stack[-1], *judge(tag, m[3] or m[6] or ""))
+        attributes = m[3] or m[6] or ""
+        node = Node(tag, stack[-1], *judge(tag, attributes))
+        if attributes:
+            said = {w for a in ATTRIBUTE.finditer(attributes) if a[1].lower() in ("class", "itemprop", "rel") for w in WORDS.findall((a[2] or a[3] or a[4] or "").lower())}
+            node.signed, node.dated = not SIGNED.isdisjoint(said), node.dated or not DATED.isdisjoint(said)
         stack[-1].children.append(node)
         nodes.append(node)
         open_at.setdefault(tag, []).append(len(stack))
@@ -223,11 +239,40 @@ def paragraphs(nodes: list[Node]) -> None:
             node.parent.total += node.total
 
 
+def threads(nodes: list[Node]) -> None:
+    """Marks comments that no name tells: two or more elements of one kind side by side, each signed and dated and none
+    with a heading, after paragraphs that are none of theirs."""
+    for node in reversed(nodes):
+        up = node.parent
+        node.dated = node.dated or any(isinstance(c, str) and len(c) < FEW and DATE.search(c) is not None for c in node.children)
+        if up is not None:
+            up.controls += node.controls
+            up.dated, up.signed, up.headed = up.dated or node.dated, up.signed or node.signed, up.headed or node.headed
+    prose = 0  # characters of paragraphs so far
+    for node in nodes:
+        inside = [c for c in node.children if isinstance(c, Node)]
+        kinds: dict[str, int] = {}
+        for c in inside:
+            if c.signed and c.dated and not c.headed and c.tag in BLOCK:
+                kinds[c.kind or c.tag] = kinds.get(c.kind or c.tag, 0) + 1
+        for kind, n in kinds.items():
+            if n > 1 and prose >= FEW and n == sum((c.kind or c.tag) == kind for c in inside):
+                for c in inside:
+                    if (c.kind or c.tag) == kind:
+                        c.mark = c.mark or "comments"
+        if node.block.tag in PROSE:
+            prose += sum(len(c.strip()) for c in node.children if isinstance(c, str))
+
+
 def leave_out(nodes: list[Node]) -> None:
     """Decides for every marked element whether it is left out, from the points that all elements hold."""
+    threads(nodes)
     for node in nodes[1:]:
         node.gone = node.parent.gone or (node.mark == "never" and node.closed)
     paragraphs(nodes)
+    for node in nodes:
+        if node.mark == "weak":  # whole paragraphs with few links and no controls are text, whatever their name
+            node.mark = "beside" if node.controls or node.size < FEW or node.linked >= LINK_SHARE * node.size else ""
     page = nodes[0].total
     inside: dict[int, bool] = {}  # whether an element or an ancestor is marked
     clean = largest = 0.0

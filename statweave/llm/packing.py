@@ -96,10 +96,9 @@ def _pieces(window: int, end_id: int, path: str | None):
             rows = []
             for doc_id, text, part in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "part")), strict=True):
                 ids = np.append(encode(text or ""), np.uint32(end_id)).astype("<u4")
-                data = ids.tobytes()
                 for at in range(0, ids.size, window):
                     size = min(window, ids.size - at)
-                    rows.append((doc_id, at, size, zlib.crc32(data[4 * at : 4 * (at + size)]), ids.size, part, ranks[size]))
+                    rows.append((doc_id, at, size, zlib.crc32(ids[at : at + size]), ids.size, part, ranks[size]))
                     ranks[size] += 1
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=list(names))

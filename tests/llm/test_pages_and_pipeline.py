@@ -314,3 +314,36 @@ def test_near_dedup_keeps_unrelated_texts_that_share_an_id(spark):
     given = frame(spark, [(i, t, "en", "s", 1, True, "r", 1, "s", "w", 2) for i, t in texts]).select("doc_id", "text", "lang", "source", "n_chars")
     stage = dict(pipeline.STAGES)["near_dedup"]
     assert Counter((r.doc_id, r.text) for r in stage(spark, given, "").collect()) == Counter(texts[:4])
+
+
+@pytest.mark.parametrize("page", ["<p>text" + "a<b," * 250_000, "<p" * 500_000, "<aaa" * 250_000, "<aaa" * 250_000 + ">", "<p>t" + "a<b 'x\" " * 100_000])
+def test_broken_tags_take_linear_time(page):
+    began = time.perf_counter()
+    html_extract.extract(page)
+    assert time.perf_counter() - began < 5
+
+
+TEXT = "<p>A paragraph of the article, with words, and commas, that is long enough to be text by itself.</p>"
+WHOLE = "<p>Another whole paragraph of it, which no name may take away, with commas, and with enough words.</p>"
+
+
+@pytest.mark.parametrize("start", ['<div class="ad-hoc-analysis">', '<div class="navigation-history">', '<section id="promotion-and-relegation">', '<div class="login">', '<div class="search">', '<section id="sponsor">', '<div class="notice-period">'])
+def test_sections_are_not_lost_by_their_names(start):
+    end = f"</{start[1:].split()[0]}>"
+    for page in (f"<div>{TEXT}{start}{WHOLE}{end}{TEXT}</div>", f"<body><article>{TEXT}{start}{WHOLE}{end}</article>"):
+        assert html_extract.extract(page).count("Another whole paragraph") == 1
+
+
+@pytest.mark.parametrize("part", ['<div class="login"><input name=user> <button>Sign in</button> with your account, please, to go on reading all of this text today</div>', '<div class="related"><a href=x>Something else, that you may like, and that is much longer than a few words, all of it linked</a></div>', '<div class="share">Tell a friend</div>', '<div class="ad">Buy this, now, at once, as many of them as you can, before they are all gone, my friends.</div>'])
+def test_what_bears_its_name_out_goes(part):
+    assert html_extract.extract(f"<div>{TEXT}{part}{TEXT}</div>").count("\n") == 1
+
+
+@pytest.mark.parametrize("entry", ["<div class=item><span class=author>Ann {0}</span> <time>May {0}</time><p>{1}</div>", "<li class=x><b class=username>Bo</b> {0} days ago<p>{1}</li>", "<div class=post-7><a rel=author href=u>Cy</a> <i>2021-03-0{0}</i><p>{1}</div>"])
+def test_threads_without_names_are_comments(entry):
+    says = "I think, that this is, in every way, a wrong view of it, and I have always thought so, really."
+    thread = "<div class=discussion>" + "".join(entry.format(i, says) for i in (1, 2, 3)) + "</div>"
+    for page in (f"<div>{TEXT * 3}{thread}</div>", f"<body><article>{TEXT}{TEXT}{thread}</article>"):
+        assert "wrong view" not in html_extract.extract(page) and html_extract.extract(page).count("A paragraph") >= 2
+    dated = "<ul>" + "".join(f"<li>{i} May 2020: something, of note, took place, as the article tells here</li>" for i in range(4)) + "</ul>"
+    assert html_extract.extract(f"<article>{TEXT}{dated}</article>").count("took place") == 4

@@ -526,7 +526,7 @@ def test_hot_subtries_are_marked_by_broadcast_and_by_shuffle(spark, most):
 MEMORY = """
 import resource, sys
 import numpy as np, pyarrow as pa
-from statweave.llm import langid, lm_scoring, quality_gbt, simhash
+from statweave.llm import bpe, langid, lm_scoring, packing, periodic_runs, quality_gbt, simhash
 from statweave.llm.common import by_slices, lower_ascii, text_buffers
 line = " ".join("w%x" % (i * 2654435761 % 2**32) for i in range(100_000)) + " "
 text = pa.array([line * ((64 << 20) // len(line) + 1), "x" * (16 << 20)])
@@ -538,6 +538,15 @@ if sys.argv[1] == "op1":
 elif sys.argv[1] == "op2":
     data, offsets = text_buffers(text)
     simhash.fingerprint(lower_ascii(data).tobytes())
+elif sys.argv[1] in ("op3", "op9", "op13"):
+    one = pa.RecordBatch.from_arrays([pa.array([1]), text.slice(0, 1), pa.array([0])], ["doc_id", "text", "part"])
+    if sys.argv[1] == "op3":
+        assert sum(b.num_rows for b in packing._pieces(1024, 0, None)(iter([one]))) > 10_000
+    elif sys.argv[1] == "op9":
+        assert bpe.encoder().digests(one.column("text")[0].as_py())[0] > 10_000_000
+    else:
+        word = next(periodic_runs._words(one, None))
+        assert periodic_runs._result([periodic_runs._collapsed(word, periodic_runs.runs_of(word[5]))]).num_rows == 1
 elif sys.argv[1] == "op6":
     [quality_gbt.statistics(text.slice(i, 1)) for i in range(2)]
 else:
@@ -546,7 +555,7 @@ print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
 """
 
 
-@pytest.mark.parametrize("name", ["op1", "op2", "op6", "op7"])
+@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op6", "op7", "op9", "op13"])
 def test_memory_of_very_long_texts(name):
     import subprocess
     import sys
