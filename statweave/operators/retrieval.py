@@ -180,43 +180,6 @@ def centroid_scores(candidates: DataFrame, anchors: DataFrame) -> DataFrame:
     return candidates.join(F.broadcast(middle)).select("id", F.round(cosine(F.col("vector"), F.col("middle")), 4).alias("score"))
 
 
-def containment(items: DataFrame, docs: DataFrame, item: str, needle: str, doc: str, text: str, most_items: int = 20_000) -> DataFrame:
-    """item, doc for every text that contains an item's needle (null and empty needles match nothing).
-
-    Up to most_items needles are broadcast and each text is searched for all of them in one pass; more are
-    taken in blocks of that many, each a pass of its own, so what is broadcast stays bounded."""
-    spark = items.sparkSession
-    needles = items.select(item, needle).where(F.col(needle) != "")
-    blocks = max(1, -(-needles.count() // most_items))
-    out = None
-    for b in range(blocks):
-        part = needles if blocks == 1 else needles.where(F.pmod(F.xxhash64(item), F.lit(blocks)) == b)
-        rows = part.toArrow()
-        held = spark.sparkContext.broadcast((rows.column(item).to_pylist(), rows.column(needle).to_pylist()))
-
-        ids = spark.createDataFrame([(i, x) for i, x in enumerate(held.value[0])], f"__at int, {item} {dict(items.dtypes)[item]}")
-        hits = docs.select(doc, F.explode(_finder(held)(F.col(text))).alias("__at"))
-        part = hits.join(F.broadcast(ids), "__at").select(item, doc)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _finder(held):
-    @F.arrow_udf("array<int>")
-    def find(column: pa.Array) -> pa.Array:
-        import ahocorasick
-
-        found = ahocorasick.Automaton()
-        for i, word in enumerate(held.value[1]):
-            found.add_word(word, [*found.get(word, []), i])
-        if not held.value[1]:
-            return pa.array([[] for _ in column], pa.list_(pa.int32()))
-        found.make_automaton()
-        return pa.array([sorted({i for _, hits in found.iter(x or "") for i in hits}) for x in column.to_pylist()], pa.list_(pa.int32()))
-
-    return find
-
-
 def first_hits(hits: DataFrame, n: int) -> DataFrame:
     """The n best of each query by rank, ranked anew."""
     order = Window.partitionBy("qid").orderBy("rank", *[c for c in hits.columns if c not in ("qid", "rank")])

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,25 +65,47 @@ def bonferroni(tests: DataFrame, *ps: str, alpha: float = 0.05) -> DataFrame:
     return out.withColumn("alpha", F.round(F.lit(alpha) / F.col("__m"), 6)).drop("__m")
 
 
+#: Groups whose sums a task holds at once.
+HELD_GROUPS = 50
+
+
 def paired_bootstrap(pairs: DataFrame, keys: list[str], rounds: int = 10_000, seed: int = 42) -> DataFrame:
-    """keys, n, delta, low, high, p, significant: resampling of pairs by their four kinds.
-
-    A replicate's mean difference depends only on how many pairs of each kind it draws, so a group is its four
-    counts whatever its size, and replicates are multinomial draws."""
-    counts = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x") > F.col("y")).alias("up"), F.count_if(F.col("x") < F.col("y")).alias("down"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.schema if f.name in keys)
-
-    def draw(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r in rows.itertuples(index=False):
-            rng = np.random.default_rng(seed)
-            drawn = rng.multinomial(r.n, [r.up / r.n, r.down / r.n, max(0.0, 1 - (r.up + r.down) / r.n)], rounds)
-            d = np.sort((drawn[:, 0] - drawn[:, 1]) / r.n)
-            low, high = d[int(0.025 * rounds)], d[int(0.975 * rounds)]
-            out.append([getattr(r, k) for k in keys] + [r.n, (r.up - r.down) / r.n, low, high, min(1.0, 2 * min((d <= 0).mean(), (d >= 0).mean())), bool(low > 0 or high < 0)])
-        return pd.DataFrame(out, columns=[*keys, "n", "delta", "low", "high", "p", "significant"])
-
-    return counts.mapInPandas(lambda it: map(draw, it), f"{schema}, n long, delta double, low double, high double, p double, significant boolean")
+    """keys, n, delta, low, high, p, significant: Poisson bootstrap of the mean difference of scores x and y, of any kind.
+
+    In a replicate each pair counts a Poisson(1) number of times, so pairs of equal difference count a Poisson(their
+    number) of times together; what is drawn is that, from a generator seeded by the key and the difference, whatever
+    the partitions. A task's sums are a fixed vector of replicates for each key, which Spark adds up. Pairs with a null
+    score are left out; a replicate that draws nothing counts as no difference."""
+    rows = pairs.where("x is not null and y is not null").select(*keys, (F.col("x").cast("double") - F.col("y").cast("double")).alias("d"))
+    counts = rows.groupBy(*keys, "d").agg(F.count(F.lit(1)).alias("n"))
+    numbered = counts.withColumn("seed", F.xxhash64(F.lit(seed), *keys, "d")).withColumn("group", F.xxhash64(*keys))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for group, d, n, own in zip(*(batch.column(c).to_pylist() for c in ("group", "d", "n", "seed")), strict=True):
+                if group not in held and len(held) == HELD_GROUPS:
+                    yield from map(_replicates, held.items())
+                    held = {}
+                times = np.random.default_rng(own & (1 << 64) - 1).poisson(n, rounds)
+                sums = held.setdefault(group, np.zeros((2, rounds)))
+                sums += [times * d, times]
+        yield from map(_replicates, held.items())
+
+    drawn = numbered.select("group", "d", "n", "seed").mapInArrow(draw, "group long, replicate int, total double, times double")
+    means = drawn.groupBy("group", "replicate").agg(F.coalesce(F.try_divide(F.sum("total"), F.sum("times")), F.lit(0.0)).alias("mean"))
+    at = lambda share: F.get("means", F.lit(int(share * rounds)))
+    share = lambda test: F.size(F.filter("means", test)) / rounds
+    ends = means.groupBy("group").agg(F.sort_array(F.collect_list("mean")).alias("means")).select(
+        "group", at(0.025).alias("low"), at(0.975).alias("high"), F.least(F.lit(1.0), 2 * F.least(share(lambda m: m <= 0), share(lambda m: m >= 0))).alias("p")
+    )
+    whole = numbered.groupBy("group", *keys).agg(F.sum("n").alias("n"), (F.sum(F.col("d") * F.col("n")) / F.sum("n")).alias("delta"))
+    return whole.join(ends, "group").select(*keys, "n", "delta", "low", "high", "p", ((F.col("low") > 0) | (F.col("high") < 0)).alias("significant"))
+
+
+def _replicates(held: tuple[int, np.ndarray]) -> pa.RecordBatch:
+    group, (total, times) = held
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(total), group)), pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total), pa.array(times)], ["group", "replicate", "total", "times"])
 
 
 def kappa(ratings: DataFrame, a: str, b: str) -> DataFrame:

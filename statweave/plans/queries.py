@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from statweave.functions import metrics as M
 from statweave.functions import text as T
 from statweave.functions.vectors import cosine
+from statweave.operators import containing as I
 from statweave.operators import crawl as C
 from statweave.operators import evaluation as E
 from statweave.operators import graph as G
@@ -634,11 +635,21 @@ def results_filename_parse(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT item_id, min(doc_id) AS doc_id, count(*) AS n FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> '' GROUP BY item_id")
 def containment_match(spark: SparkSession, d: str) -> DataFrame:
-    """Items that stand whole in a document. The item list is a benchmark, small by its nature; where it is
-    under the stated bound it is broadcast against one scan of the documents, else matched through word grams."""
+    """Items that stand whole in a document."""
     items = X.table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
     docs = X.table(spark, d, "documents").select("doc_id", "text")
-    return R.containment(items, docs, "item_id", "passage", "doc_id", "text").groupBy("item_id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+    return I.containment(items, docs, "item_id", "passage", "doc_id", "text").groupBy("item_id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH N AS (SELECT item_id, n, array_to_string(string_split(text, ' ')[2:1 + n], ' ') AS needle FROM benchmark, (VALUES (1), (2), (3), (4)) v(n))
+SELECT item_id, n, count(*) AS texts FROM N JOIN documents d ON contains(d.text, needle) WHERE needle <> '' GROUP BY item_id, n""")
+def short_containment(spark: SparkSession, d: str) -> DataFrame:
+    """Needles of one to four words, which may begin and end inside words of a document."""
+    words = F.split("text", " ")
+    items = X.table(spark, d, "benchmark").select("item_id", F.explode(F.array(*map(F.lit, range(1, 5)))).alias("n"), words.alias("w"))
+    items = items.select(F.struct("item_id", "n").alias("item"), F.array_join(F.slice("w", F.lit(2), F.col("n")), " ").alias("needle"))
+    found = I.containment(items, X.table(spark, d, "documents"), "item", "needle", "doc_id", "text")
+    return found.groupBy("item").agg(F.count(F.lit(1)).alias("texts")).select("item.item_id", "item.n", "texts")
 
 
 @query("SELECT page_id, replace(regexp_extract(url, '([^/]*)$', 1), '_', ' ') AS title FROM pages")
