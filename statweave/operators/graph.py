@@ -68,34 +68,77 @@ def _moved(both: DataFrame, labels: DataFrame, weight: float, turn: int, resolut
     return best.select(F.col("src").alias("node"), F.when(moves, F.col("best.community")).otherwise(F.col("own")).alias("community"), "degree", moves.alias("moved"))
 
 
-def modularity_communities(edges: DataFrame, levels: int = 10, rounds: int = 12, resolution: float = 1.0) -> DataFrame:
-    """Communities by greedy modularity in levels: nodes move to the neighbouring community of most gain, about
-    half of them at a time so that neighbours don't swap for ever, then communities become the nodes of the next
-    level. A level that doesn't raise modularity is undone and ends the search. Deterministic; node, community.
-
-    Loops and parallel edges are dropped; an empty table gives an empty result. Every step is a join or a
-    grouped sum; the driver sees a few numbers for each round."""
-    both = cut_lineage(weighted(edges))
-    members = cut_lineage(both.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node")))
-    score = modularity(both, members, resolution).first().modularity
+def connected_parts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """edges (src, dst) in both directions, nodes (node): node, part, the least node that it reaches. Each round takes the
+    least part of the neighbours and then that part's own part, so long chains take few rounds."""
+    parts = cut_lineage(nodes.select("node", F.col("node").alias("part")))
+    while True:
+        near = edges.join(parts.select(F.col("node").alias("dst"), F.col("part").alias("near")), "dst").groupBy(F.col("src").alias("node")).agg(F.min("near").alias("near"))
+        least = parts.join(near, "node", "left").select("node", "part", F.least("part", F.coalesce("near", "part")).alias("least"))
+        jumped = least.join(parts.select(F.col("node").alias("least"), F.col("part").alias("beyond")), "least").select("node", F.least("least", "beyond").alias("part"), (F.least("least", "beyond") < F.col("part")).alias("moved"))
+        parts = cut_lineage(jumped)
+        if parts.where("moved").isEmpty():
+            return parts.select("node", "part")
+
+
+def _within(both: DataFrame, labels: DataFrame) -> DataFrame:
+    """The edges between different nodes of one community."""
+    of = lambda end: labels.select(F.col("node").alias(end), F.col("community").alias(f"c_{end}"))
+    return both.where("src <> dst").join(of("src"), "src").join(of("dst"), "dst").where("c_src = c_dst").select("src", "dst", "w")
+
+
+def _settled(both: DataFrame, labels: DataFrame, weight: float, rounds: int, resolution: float) -> DataFrame:
+    """labels (node, community, degree) after rounds of moves, or fewer if two in a row move nothing."""
+    still = 0
+    for turn in range(rounds):
+        labels = cut_lineage(_moved(both, labels.select("node", "community", "degree"), weight, turn, resolution))
+        still = 0 if not labels.where("moved").isEmpty() else still + 1
+        if still == 2:
+            break
+    return labels.select("node", "community", "degree")
+
+
+def modularity_communities(edges: DataFrame, levels: int = 10, rounds: int = 12, refined: int = 1, resolution: float = 1.0) -> DataFrame:
+    """Communities by modularity in levels, each community connected. Nodes move to the neighbouring community of most
+    gain, about half of them at a time so that neighbours don't swap for ever. In the first levels, so many as refined,
+    each community is then refined: its nodes begin alone again and merge with neighbours inside it only. The refined
+    parts, not the communities, are the nodes of the next level, where they begin in their communities; so what was
+    merged too early can still move. In later levels communities are the nodes. A level that doesn't raise modularity is
+    undone and ends the search, and communities that aren't connected are split at last, which can only raise it.
+    Deterministic; node, community.
+
+    Loops and parallel edges are dropped; an empty table gives an empty result. Every step is a join or a grouped sum;
+    the driver sees a few numbers for each round."""
+    edges = cut_lineage(weighted(edges))
+    # written, as columns known to be equal keep the optimiser busy
+    both, nodes = edges, cut_lineage(edges.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node")))
     weight = both.agg(F.sum("w")).first()[0]
-    for _ in range(levels if weight else 0):
-        labels = both.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("degree")).withColumn("community", F.col("node"))
-        still = 0
-        for turn in range(rounds):
-            labels = cut_lineage(_moved(both, labels.select("node", "community", "degree"), weight, turn, resolution))
-            still = 0 if labels.where("moved").limit(1).count() else still + 1
-            if still == 2:
-                break
-        labels = labels.select("node", "community")
+    found = members = begun = nodes
+    score = modularity(both, found, resolution).first().modularity
+    for level in range(levels if weight else 0):
+        degrees = cut_lineage(both.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("degree")))
+        labels = _settled(both, begun.join(degrees, "node"), weight, rounds, resolution)
         new = modularity(both, labels, resolution).first().modularity
         if new <= score + 1e-9:
-            break
-        score = new
-        members = cut_lineage(members.join(labels.select(F.col("node").alias("community"), F.col("community").alias("into")), "community").select("node", F.col("into").alias("community")))
-        of = lambda end: labels.select(F.col("node").alias(end), F.col("community").alias(f"c_{end}"))  # noqa: E731, B023
+            if level == 0 or level > refined:
+                break
+            labels = begun.join(degrees, "node")  # refined nodes stay where they are, and whole communities move next
+        score = max(score, new)
+        into = labels.select(F.col("node").alias("community"), F.col("community").alias("into"))
+        found = cut_lineage(members.join(into, "community").select("node", F.col("into").alias("community")))
+        if level < refined:
+            inner = cut_lineage(_within(both, labels))
+            alone = cut_lineage(degrees.select("node", F.col("node").alias("community"), "degree"))
+            parts = _settled(inner, alone, weight, rounds, resolution).select("node", F.col("community").alias("part"))
+            begun = cut_lineage(parts.join(labels, "node").groupBy(F.col("part").alias("node")).agg(F.min("community").alias("community")))
+        else:
+            parts = labels.select("node", F.col("community").alias("part"))
+            begun = cut_lineage(parts.select(F.col("part").alias("node")).distinct().withColumn("community", F.col("node")))
+        members = cut_lineage(members.join(parts.select(F.col("node").alias("community"), "part"), "community").select("node", F.col("part").alias("community")))
+        of = lambda end: parts.select(F.col("node").alias(end), F.col("part").alias(f"c_{end}"))  # noqa: E731, B023
         both = cut_lineage(both.join(of("src"), "src").join(of("dst"), "dst").groupBy(F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).agg(F.sum("w").alias("w")))
-    return members
+    # a community that isn't connected is worth less than its parts
+    return connected_parts(_within(edges, found), nodes).withColumnRenamed("part", "community")
 
 
 def community_table(members: DataFrame, most: int = 20) -> DataFrame:
