@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from statweave.functions.text import extract_numbers, numbers, rounded
+from statweave.functions.text import extract_numbers, half_even, numbers, rounded
 
 
 def close(pred: Column, gold: Column, tolerance: Column | float) -> Column:
@@ -34,6 +34,6 @@ def nf1(answer: Column, gold: Column) -> Column:
 
 def fp(answer: Column, gold: Column) -> Column:
     """Share of the answer's numbers, repeats included, in the gold set; 1.0 for an answer without numbers."""
-    pred, real = F.transform(numbers(extract_numbers(answer)), lambda x: F.round(x, 4)), rounded(numbers(gold))
+    pred, real = F.transform(numbers(extract_numbers(answer)), lambda x: half_even(x)), rounded(numbers(gold))
     hit = F.size(F.filter(pred, lambda p: F.array_contains(real, p)))
     return F.when(F.size(pred) == 0, 1.0).otherwise(hit / F.size(pred))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import unicodedata
 
 import pyarrow as pa
@@ -56,9 +57,30 @@ def numbers(tokens: Column) -> Column:
     return F.filter(F.transform(tokens, to_number), lambda x: x.isNotNull())
 
 
+def half_even(x: Column, places: int = 4) -> Column:
+    """The double nearest to x's exact binary value rounded to so many places (0 to 15), ties to even.
+
+    Rounding x's shortest decimals differs from that only where they end in a tie, so the exact way is for those: the whole part is set aside, which is exact; what is left times 10^places is a product and its error, both exact,
+    so that the sum of error and distance from the tie has the right sign.
+    """
+    scale, size = 10.0**places, F.abs(x)
+    whole = F.floor(size).cast("double")
+    part = size - whole
+    product = part * scale
+    high = part * 134217729.0 - (part * 134217729.0 - part)  # the upper half of the digits; scale has few enough itself
+    error = (high * scale - product) + (part - high) * scale
+    down = F.floor(product).cast("double")
+    over = (product - down - 0.5) + error
+    last = whole * scale + down
+    up = (over > 0) | ((over == 0) & (last % 2 == 1))
+    near = (last + F.when(up, 1.0).otherwise(0.0)) / scale
+    tie = (F.round(x, places + 1) == x) & (F.round(x, places) != x) & (size < 2.0 ** math.ceil(52 - places * math.log2(10)))
+    return F.when(tie, F.when(x < 0, -near).otherwise(near)).otherwise(F.round(x, places))
+
+
 def rounded(values: Column) -> Column:
     """The distinct values to four places."""
-    return F.array_distinct(F.transform(values, lambda x: F.round(x, 4)))
+    return F.array_distinct(F.transform(values, lambda x: half_even(x)))
 
 
 @F.arrow_udf(StringType())

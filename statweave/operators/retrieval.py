@@ -155,13 +155,26 @@ def retrieved(hits: DataFrame, document: str, *keys: str) -> DataFrame:
     return hits.groupBy(*keys).agg(F.transform(lines, lambda x: x["line"]).alias("retrieved"))
 
 
-def two_hop(hits: DataFrame, triples: DataFrame, k: int) -> DataFrame:
+def adjacency(triples: DataFrame, most: int) -> DataFrame:
+    """Each subject's first triples (id, subject, document) by id, with their place (at) from 1: what an index keeps beside
+    it, so that a subject with very many never meets every query with all of them."""
+    at = F.row_number().over(Window.partitionBy("subject").orderBy("id"))
+    return triples.select("id", "subject", "document").withColumn("at", at).where(F.col("at") <= most)
+
+
+def two_hop(hits: DataFrame, triples: DataFrame, k: int, adjacent: DataFrame | None = None) -> DataFrame:
     """hits (qid, id, rank) and further triples (id, subject, document) with a hit's subject, at most 3k by id;
-    hop one first, documents once, the first k: qid, document, rank."""
+    hop one first, documents once, the first k: qid, document, rank.
+
+    Of a subject, a query can use its first 3k triples and as many more as it has hits, which are left out. adjacent, if
+    given, is an adjacency of that many at least; without it, that of the hits' subjects is worked out."""
     # a few rows for each query, looked at three times: the search behind them runs once
     first = cut_lineage(hits.join(triples, "id").select("qid", "id", "rank", "subject", "document"))
     subjects = first.select("qid", "subject").distinct()
-    more = subjects.join(triples, "subject").join(first.select("qid", "id"), ["qid", "id"], "left_anti")
+    most = 3 * k + (first.groupBy("qid", "subject").count().agg(F.max("count")).first()[0] or 0)
+    if adjacent is None:
+        adjacent = adjacency(triples.join(first.select("subject").distinct(), "subject", "left_semi"), most)
+    more = subjects.join(adjacent.where(F.col("at") <= most).drop("at"), "subject").join(first.select("qid", "id"), ["qid", "id"], "left_anti")
     more = more.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy("id"))).where(F.col("pos") <= 3 * k)
     both = first.select("qid", "document", F.lit(1).alias("hop"), F.col("rank").cast("int").alias("pos")).unionByName(more.select("qid", "document", F.lit(2).alias("hop"), "pos"))
     once = both.groupBy("qid", "document").agg(F.min(F.struct("hop", "pos")).alias("at"))

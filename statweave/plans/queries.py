@@ -15,6 +15,7 @@ from statweave.operators import crawl as C
 from statweave.operators import evaluation as E
 from statweave.operators import graph as G
 from statweave.operators import retrieval as R
+from statweave.operators import skyline as Y
 from statweave.operators import statistics as S
 from statweave.operators import triples as K
 from statweave.plans import answering as A
@@ -136,6 +137,7 @@ def centroid_score(spark: SparkSession, d: str) -> DataFrame:
 L AS (SELECT list(m ORDER BY i) AS v FROM C), Z AS (SELECT round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), v), 4) AS s FROM embeddings, L)
 SELECT count(*) AS n, count(*) FILTER (s >= 0.1) AS passed, round(min(s), 4) AS low, round(max(s), 4) AS high, round(avg(s), 4) AS mean, round(quantile_cont(s, 0.25), 4) AS p25, round(quantile_cont(s, 0.5), 4) AS p50, round(quantile_cont(s, 0.75), 4) AS p75 FROM Z""")
 def score_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Exact percentiles: they count equal scores together, and scores of four places have at most 20,001 values."""
     s = centroid_score(spark, d)
     p = lambda x: F.round(F.percentile("score", F.lit(x)), 4)
     return s.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") >= 0.1).alias("passed"), F.round(F.min("score"), 4).alias("low"), F.round(F.max("score"), 4).alias("high"), F.round(F.avg("score"), 4).alias("mean"), p(0.25).alias("p25"), p(0.5).alias("p50"), p(0.75).alias("p75"))
@@ -592,6 +594,18 @@ def pareto_table(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("method", "passes").agg(F.round(F.avg("nem"), 6).alias("nem"), F.round(F.avg("latency_ms"), 4).alias("latency"), F.round(F.avg(F.nullif("tokens", F.lit(0))), 4).alias("tokens")).orderBy(F.desc("nem"))
 
 
+SOLD = """P AS (SELECT l_partkey AS part, count(*) AS n, CAST(round(sum(l_extendedprice) / sum(l_quantity) * 100) AS BIGINT) AS unit_cents, CAST(sum(l_quantity) AS BIGINT) AS quantity, CAST(round(sum(l_discount) * 100) AS BIGINT) AS discounts FROM lineitem GROUP BY ALL)"""
+
+
+@query(with_(SOLD) + """SELECT * FROM P WHERE NOT EXISTS (SELECT 1 FROM P q WHERE q.unit_cents <= P.unit_cents AND q.quantity >= P.quantity AND q.discounts <= P.discounts AND
+ (q.unit_cents < P.unit_cents OR q.quantity > P.quantity OR q.discounts < P.discounts))""")
+def pareto_front(spark: SparkSession, d: str) -> DataFrame:
+    """Parts that no other part beats in price, quantity sold and discounts given, over all items."""
+    cents = lambda x: F.round(x * 100).cast("long")
+    sold = X.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("part")).agg(F.count(F.lit(1)).alias("n"), cents(F.sum("l_extendedprice") / F.sum("l_quantity")).alias("unit_cents"), F.sum("l_quantity").cast("long").alias("quantity"), cents(F.sum("l_discount")).alias("discounts"))
+    return Y.pareto_front(sold, ["unit_cents", "discounts"], ["quantity"])
+
+
 @query(with_(X.BENCHMARK) + ", Z AS (SELECT *, row_number() OVER (PARTITION BY relation ORDER BY md5('42:' || CAST(id AS VARCHAR)), id) AS rn FROM B) SELECT id, relation FROM (SELECT * FROM Z ORDER BY CASE WHEN rn > 33 THEN 1 ELSE 0 END, md5('42:' || CAST(id AS VARCHAR)), id LIMIT 100) y")
 def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     return E.stratified_sample(X.benchmark(spark, d), "relation", "id", 100, 42).select("id", "relation")

@@ -10,6 +10,7 @@ import urllib.parse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statweave.functions import table_functions
 from statweave.operators import evaluation as E
 from statweave.operators import graph as G
 from statweave.operators import nearest, retrieval
@@ -22,7 +23,7 @@ from statweave.plans.queries import query, with_
 from statweave.session import cut_lineage, shared_path
 from statweave.sources import files, json_entries, remote, sparql, wiki
 from statweave.sources import services as V
-from statweave.streaming import resume
+from statweave.streaming import once, resume
 
 
 # files
@@ -356,3 +357,49 @@ def bootstrap_bounds(spark: SparkSession, d: str) -> DataFrame:
     rows = S.paired_bootstrap(pairs, ["model"]).join(near, "model")
     close = lambda end, sign: (F.abs(F.col(end) - F.col("delta") - sign * 1.96 * F.col("error")) < 0.25 * F.col("error")).alias(f"{end}_is_near")
     return rows.select("model", "n", F.round("delta", 6).alias("delta"), close("low", -1), close("high", 1))
+
+
+# table functions
+@query(Q.ORACLES["extract_numbers_docs"])
+def numbers_lateral(spark: SparkSession, d: str) -> DataFrame:
+    table_functions.register(spark)
+    return spark.sql("SELECT doc_id, token, round(value, 6) AS value FROM {docs}, LATERAL numbers_in(text)", docs=X.table(spark, d, "documents"))
+
+
+@query(Q.ORACLES["stat_sentence_filter"])
+def sentences_lateral(spark: SparkSession, d: str) -> DataFrame:
+    table_functions.register(spark)
+    return spark.sql("SELECT id, sentence FROM {prose}, LATERAL statistical_sentences(text)", prose=X.prose(spark, d))
+
+
+# streams
+LATE, WAIT, REMEMBER = 6 * 3_600_000, 45_000_500, 90 * 86_400_000
+ATTEMPTS = f"""
+P AS (SELECT CAST(event_id // 3 AS VARCHAR) AS key, date_trunc('second', ts) AS ts, event_type = 'error' AS error, CAST(event_id AS VARCHAR) AS body, event_id,
+ CASE WHEN event_id % 10 <> 0 AND event_id * 2 < (SELECT max(event_id) FROM events) THEN 1 ELSE 2 END AS run FROM events),
+A AS (SELECT key, ts, error, body FROM P WHERE run = 1), W1 AS (SELECT max(ts) - INTERVAL {LATE} MILLISECOND AS w FROM A),
+B0 AS (SELECT key, ts, error, body FROM P WHERE run = 2 OR event_id % 7 = 0), B AS (SELECT B0.* FROM B0, W1 WHERE ts > w),
+W2 AS (SELECT max(ts) - INTERVAL {LATE} MILLISECOND AS w FROM B0),
+T1 AS (SELECT key, min((ts, body)) AS x FROM A WHERE NOT error GROUP BY key), E1 AS (SELECT key, max((ts, body)) AS x FROM A WHERE key NOT IN (SELECT key FROM T1) GROUP BY key),
+R1 AS (SELECT key, x FROM E1, W1 WHERE x[1] + INTERVAL {WAIT} MILLISECOND <= w),
+T2 AS (SELECT key, min((ts, body)) AS x FROM B WHERE NOT error AND key NOT IN (SELECT key FROM T1) GROUP BY key),
+E2 AS (SELECT key, max(x) AS x FROM (SELECT key, x FROM E1 UNION ALL SELECT key, (ts, body) FROM B WHERE error AND key NOT IN (SELECT key FROM T1)) z WHERE key NOT IN (SELECT key FROM T2) GROUP BY key),
+R2 AS (SELECT E2.key, E2.x, R1.key IS NOT NULL AS again FROM E2 LEFT JOIN R1 USING (key), W2 WHERE E2.x[1] + INTERVAL {WAIT} MILLISECOND <= w AND (R1.key IS NULL OR E2.x[1] > R1.x[1]))"""
+
+
+@query(with_(ATTEMPTS) + """SELECT key, x[1] AS ts, x[2] AS body, 'taken' AS status, 0 AS tries FROM T1
+UNION ALL SELECT key, x[1], x[2], 'taken', CASE WHEN key IN (SELECT key FROM R1) THEN 1 ELSE 0 END FROM T2
+UNION ALL SELECT key, x[1], x[2], 'retry', 1 FROM R1 UNION ALL SELECT key, x[1], x[2], 'retry', CASE WHEN again THEN 2 ELSE 1 END FROM R2""")
+def taken_once(spark: SparkSession, d: str) -> DataFrame:
+    """Events as attempts, three to a key, streamed in two runs, the second with late and repeated rows."""
+    source, out, checkpoint = (shared_path(spark, f"{name}-") for name in ("attempts", "taken", "progress"))
+    events = X.table(spark, d, "events")
+    rows = events.crossJoin(events.agg(F.max("event_id").alias("last"))).select(
+        F.floor(F.col("event_id") / 3).cast("string").alias("key"), F.date_trunc("second", "ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("error"), F.col("event_id").cast("string").alias("body"), "event_id",
+        ((F.col("event_id") % 10 != 0) & (F.col("event_id") * 2 < F.col("last"))).alias("early"),
+    )
+    for run in ("early", "not early or event_id % 7 = 0"):
+        rows.where(run).select("key", "ts", "error", "body").write.mode("append").parquet(source)
+        stream = spark.readStream.schema("key string, ts timestamp, error boolean, body string").parquet(source)
+        once.run_available(once.take_once(stream, f"{LATE} milliseconds", WAIT, REMEMBER), out, checkpoint)
+    return spark.read.schema("key string, ts timestamp, body string, status string, tries int").parquet(out)

@@ -9,8 +9,12 @@ from __future__ import annotations
 
 import copy
 import hashlib
+import math
+import threading
 import time
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -139,6 +143,53 @@ class Throttled:
         return self.call(items)
 
 
+class Budget:
+    """At most so many calls in any stretch of so many seconds, for the threads of one worker."""
+
+    def __init__(self, calls: int, seconds: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> None:
+        self.seconds, self.clock, self.sleep = seconds, clock, sleep
+        self.made: deque[float] = deque([-math.inf] * calls, maxlen=calls)
+        self.turn = threading.Lock()
+
+    def wait(self) -> None:
+        with self.turn:  # those that come later wait behind this one
+            left = self.made[0] + self.seconds - self.clock()
+            if left > 0:
+                self.sleep(left)
+            self.made.append(self.clock())
+
+
+def asked_at_once(df: DataFrame, prompt: str, call: Generator, tasks: int, flight: int = 8, calls: int = 240, seconds: float = 60.0, tries: int = 3, wait: float = 0.0) -> DataFrame:
+    """df with answer, error and latency_ms, from calls of one prompt each, of which every task has up to flight under way.
+
+    All tasks together make at most so many calls in so many seconds, failed and repeated ones included: there are tasks
+    of them, or fewer where the budget is smaller, each with an equal share. Prompts are taken and answers given in the
+    rows' order, of which a task holds flight and one batch; null prompts are asked as empty ones. A task that is run again after a
+    loss starts with a full share.
+    """
+    tasks = max(1, min(tasks, calls))
+    share = calls // tasks
+
+    @F.arrow_udf("struct<answer: string, error: string, latency_ms: double>")
+    def run(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        budget = Budget(share, seconds)
+
+        def counted(items: list[str]) -> list[str]:
+            budget.wait()
+            return call(items)
+
+        def one(text: str | None) -> dict:
+            began = time.perf_counter()
+            got, error = retried(counted, [text or ""], tries, wait)
+            return {"answer": got[0] if got else "", "error": error, "latency_ms": (time.perf_counter() - began) * 1000}
+
+        with ThreadPoolExecutor(flight) as pool:
+            for part in column:
+                yield pa.array(list(pool.map(one, part.to_pylist())), pa.struct([("answer", pa.string()), ("error", pa.string()), ("latency_ms", pa.float64())]))
+
+    return df.repartition(tasks).withColumn("__g", run(F.col(prompt))).select(*df.columns, "__g.*")
+
+
 def hashed_embedder(dimensions: int = 64) -> Embedder:
     """Deterministic bag-of-words vectors of length one; an empty text is the zero vector."""
 
