@@ -9,6 +9,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Callable
 from dataclasses import dataclass, fields
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ RECORD = "query string, method string, answer string, retrieved array<string>, l
 
 @dataclass(frozen=True)
 class Cell:
-    """The settings of one run over all questions. A seed only tells runs apart."""
+    """The settings of one run over all questions. A seed tells runs apart; only services that heed one are given it."""
 
     method: str
     model: str = "offline"
@@ -127,9 +128,13 @@ def answer_cells(need: DataFrame, cells: list[Cell], s: Services) -> DataFrame:
     grounded = F.col("context").isNotNull() & ~F.col("method").isin("conli", "cove")
     prompt = F.when(grounded, F.concat(F.lit("Context:\n"), "context", F.lit("\n\nQuestion: "), "question")).otherwise(F.concat(F.lit("Question: "), "question"))
     rows = rows.withColumn("prompt", prompt)
-    warm = sorted({c.temperature for c in cells}, key=lambda t: (t is not None, t or 0.0))
-    tuned = warm if hasattr(s.generate, "at") else [None]
-    parts = [V.generate(rows if len(tuned) == 1 else rows.where(F.col("temperature").eqNullSafe(F.lit(t).cast("double"))), "prompt", V.tuned(s.generate, t)) for t in tuned]
+    heeded = [n for n, by in (("temperature", "at"), ("seed", "seeded")) if hasattr(s.generate, by)]
+    kinds = sorted({tuple(getattr(c, n) for n in heeded) for c in cells}, key=lambda k: [(x is not None, x or 0) for x in k])
+    parts = []
+    for kind in kinds:  # a service is asked once for each of its settings
+        chosen = dict(zip(heeded, kind, strict=True))
+        own = [F.col(n).eqNullSafe(F.lit(x).cast(SETTINGS[n])) for n, x in chosen.items()] if len(kinds) > 1 else []
+        parts.append(V.generate(reduce(DataFrame.where, own, rows), "prompt", V.tuned(s.generate, chosen.get("temperature"), chosen.get("seed"))))
     drafts = parts[0]
     for part in parts[1:]:
         drafts = drafts.unionByName(part)

@@ -154,9 +154,10 @@ ASKED = (
     TRIPLES
     + """,
 FI AS (SELECT CAST(vec_id AS BIGINT) AS id, CAST(label AS BIGINT) AS label, CAST(embedding AS DOUBLE[]) AS v, subject,
-              'The ' || relation || ' of ' || subject || ' is ' || object || '.' AS fine, subject || ' - ' || relation || ': ' || object AS medium, subject || ': ' || relation || '=' || object AS coarse, CAST(regexp_extract(object, '^[0-9]+') AS DOUBLE) AS figure
+              'The ' || relation || ' of ' || subject || ' is ' || object || '.' AS fine, subject || ' - ' || relation || ': ' || object AS medium, subject || ': ' || relation || '=' || object AS coarse, CAST(regexp_extract(object, '^[0-9]+') AS DOUBLE) AS figure,
+              'What is the ' || relation || ' of ' || subject || ' (' || vec_id || ')?' AS question
        FROM embeddings JOIN T ON tid = vec_id),
-FD AS (SELECT mode, q.id AS qid, q.figure AS gold, x.id, x.subject, x.fine, x.medium, x.coarse, 1 - list_cosine_similarity(q.v, x.v) AS distance
+FD AS (SELECT mode, q.id AS qid, q.figure AS gold, q.question, x.id, x.subject, x.fine, x.medium, x.coarse, 1 - list_cosine_similarity(q.v, x.v) AS distance
        FROM (VALUES ('held_out'), ('full_index')) m(mode), FI q, FI x WHERE q.id % 50 = 0 AND (mode = 'full_index' OR x.label NOT IN (0, 3))),
 FN AS (SELECT *, row_number() OVER (PARTITION BY mode, qid ORDER BY distance, id) AS rank FROM FD)"""
 )

@@ -3,6 +3,7 @@ comes back as the SQL has it."""
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import urllib.parse
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statweave.functions import table_functions
+from statweave.functions.vectors import cosine
 from statweave.operators import evaluation as E
 from statweave.operators import graph as G
 from statweave.operators import nearest, retrieval
@@ -349,14 +351,61 @@ def modularity_bounds(spark: SparkSession, d: str) -> DataFrame:
     return found.agg(F.count(F.lit(1)).alias("nodes"), F.lit(bool(own > max(other, 0.5))).alias("better_than_labels"), (F.count(F.lit(1)) == F.count_distinct("node")).alias("whole"))
 
 
-@query(with_(Q.PAIRS) + "SELECT model, count(*) AS n, round(avg(x - y), 6) AS delta, true AS low_is_near, true AS high_is_near FROM W GROUP BY model")
+@query(with_(Q.PAIRS) + "SELECT model, count(*) AS n, round(avg(x - y), 6) AS delta, true AS low_is_near, true AS high_is_near, abs(avg(x - y)) > 1.96 * stddev_samp(x - y) / sqrt(count(*)) AS significant FROM W GROUP BY model")
 def bootstrap_bounds(spark: SparkSession, d: str) -> DataFrame:
-    """The bootstrap's interval against that of the normal distribution."""
+    """The bootstrap's interval and its verdict, whether that leaves zero out, against those of the normal distribution."""
     pairs = Q.pairs(spark, d)
     near = pairs.groupBy("model").agg((F.stddev_samp(F.col("x") - F.col("y")) / F.sqrt(F.count(F.lit(1)))).alias("error"))
     rows = S.paired_bootstrap(pairs, ["model"]).join(near, "model")
     close = lambda end, sign: (F.abs(F.col(end) - F.col("delta") - sign * 1.96 * F.col("error")) < 0.25 * F.col("error")).alias(f"{end}_is_near")
-    return rows.select("model", "n", F.round("delta", 6).alias("delta"), close("low", -1), close("high", 1))
+    return rows.select("model", "n", F.round("delta", 6).alias("delta"), close("low", -1), close("high", 1), "significant")
+
+
+# rows of parts that no other row reaches
+@query(with_(X.ASKED) + f""", CX AS (SELECT 'own' AS name, qid, question, fine, rank FROM FN WHERE mode = 'held_out' UNION ALL
+ SELECT 'other', qid, question, fine, row_number() OVER (PARTITION BY qid ORDER BY distance, id) FROM FD WHERE mode = 'full_index' AND id % 2 = 1)
+SELECT 'kg_retrieval_' || name AS method, qid, 'Context:' || chr(10) || string_agg('[' || rank || '] ' || fine, chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Question: ' || any_value(question) AS answer FROM CX WHERE rank <= 5 GROUP BY name, qid""")
+def two_collections(spark: SparkSession, d: str) -> DataFrame:
+    """The same questions to the own index, without what is held out, and to another collection, half of the facts: whole
+    prompts."""
+    questions, _, services = Q.offline(spark, d)
+    index = services.indexes["fine"]
+    return A.compared_indexes(questions, {"own": (index, Q.HELD_TOPICS), "other": (index.where("id % 2 = 1"), None)}, None, list).select("method", "qid", "answer")
+
+
+@query(with_(X.ASKED) + f"""SELECT 'graph_rag' AS method, count(DISTINCT qid) AS n, true AS same FROM FN
+UNION ALL SELECT 'kg_retrieval', count(DISTINCT qid), true FROM FN UNION ALL SELECT 'standard_rag', count(DISTINCT qid), true FROM FN UNION ALL SELECT 'zero_shot', count(DISTINCT qid), true FROM FN""")
+def methods_by_name(spark: SparkSession, d: str) -> DataFrame:
+    """Methods run by their names, one by one, give the prompts that a grid of them gives."""
+    questions, _, s = Q.offline(spark, d, list)
+    questions = cut_lineage(questions)
+    index, chunks = s.indexes["fine"], s.chunks
+    settings = {"zero_shot": (), "kg_retrieval": (index, None), "standard_rag": (chunks, None), "graph_rag": (index, None)}
+    some = {"graph_rag": {"k": 5}}
+    alone = [A.run(m, questions, *of, list, **some.get(m, {})).select("method", "qid", "answer") for m, of in settings.items()]
+    cells = Q.N.grid(method=tuple(settings), mode=("full_index",), rerank=(False,))
+    grid = Q.N.answer_cells(Q.N.with_cells(questions, cells), cells, s).select("method", "qid", F.col("answer").alias("other"))
+    both = functools.reduce(DataFrame.unionByName, alone).join(grid, ["method", "qid"], "full")
+    return both.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.every(F.col("answer").eqNullSafe(F.col("other"))).alias("same"))
+
+
+@query("""WITH V AS (SELECT CAST(vec_id AS BIGINT) AS id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CASE WHEN vec_id % 10 = 1 THEN 0.0 ELSE x END) AS v FROM embeddings), O AS (SELECT v AS w FROM V WHERE id = 0)
+SELECT id, round(list_inner_product(v, w) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(w, w)) + 1e-10), 6) AS cosine FROM V, O""")
+def cosine_with_epsilon(spark: SparkSession, d: str) -> DataFrame:
+    """Similarities whose norms are kept from zero, some of the vectors being zero."""
+    zero = F.transform("vector", lambda x: F.when(F.col("id") % 10 == 1, 0.0).otherwise(x.cast("double")))
+    rows = X.vectors(spark, d).select("id", zero.alias("vector"))
+    one = rows.where("id = 0").select(F.col("vector").alias("w"))
+    return rows.join(F.broadcast(one)).select("id", F.round(cosine(F.col("vector"), F.col("w"), "eps"), 6).alias("cosine"))
+
+
+@query(with_(X.TRIPLES) + "SELECT subject || ' é' AS subject, relation, object, 'second' AS source FROM T")
+def jsonl_file(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of triples, written twice in place of one another and read back."""
+    path, rows = shared_path(spark, "lines-"), X.triples(spark, d).select(F.concat("subject", F.lit(" é")).alias("subject"), "relation", "object")
+    files.write_jsonl(rows.limit(0), path)
+    files.write_jsonl(rows, path)
+    return files.triples(spark, path, "second").select("subject", "relation", "object", "source")
 
 
 # table functions

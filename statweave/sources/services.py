@@ -10,6 +10,7 @@ from __future__ import annotations
 import copy
 import hashlib
 import math
+import re
 import threading
 import time
 from collections import deque
@@ -74,9 +75,32 @@ class ChatService:
         return text if text is not None else said.get("reasoning_content") or said.get("reasoning") or ""
 
 
-def tuned(call: Generator, temperature: float | None) -> Generator:
-    """call at a temperature, where it has one."""
-    return call.at(temperature) if temperature is not None and hasattr(call, "at") else call
+def tuned(call: Generator, temperature: float | None, seed: int | None = None) -> Generator:
+    """call at a temperature and with a seed, where it heeds them."""
+    call = call.at(temperature) if temperature is not None and hasattr(call, "at") else call
+    return call.seeded(seed) if seed is not None and hasattr(call, "seeded") else call
+
+
+class WanderingGenerator:
+    """Offline: answers with the context's first fact; in a share of the prompts that grows with the temperature from none
+    to all, drawn by the seed and the question, with its last. Without facts, that there is none."""
+
+    def __init__(self, temperature: float = 0.5, seed: int = 0) -> None:
+        self.temperature, self.seed = temperature, seed
+
+    def at(self, temperature: float) -> WanderingGenerator:
+        return WanderingGenerator(temperature, self.seed)
+
+    def seeded(self, seed: int) -> WanderingGenerator:
+        return WanderingGenerator(self.temperature, seed)
+
+    def __call__(self, prompts: list[str]) -> list[str]:
+        return [self._answer(p or "") for p in prompts]
+
+    def _answer(self, prompt: str) -> str:
+        facts = [line.split("] ", 1)[1] for line in prompt.splitlines() if re.match(r"\[\d+\] ", line)]
+        drawn = int(hashlib.md5(f"{self.seed}:{prompt.rpartition('Question: ')[2]}".encode()).hexdigest()[:7], 16)
+        return facts[-1 if drawn < self.temperature * 2**28 else 0] if facts else "Not known"
 
 
 def supporting_verifier(word: str = "CONTRADICTED") -> Generator:
@@ -135,6 +159,11 @@ class Throttled:
         other.call = tuned(self.call, temperature)
         return other
 
+    def seeded(self, seed: int) -> Throttled:
+        other = copy.copy(self)
+        other.call = tuned(self.call, None, seed)
+        return other
+
     def __call__(self, items: list) -> list:
         if self.throttle is None:
             self.throttle = Throttle(self.calls, self.seconds, **self.clock)
