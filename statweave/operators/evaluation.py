@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from statweave.functions import metrics as M
 from statweave.functions import text as T
@@ -55,9 +56,22 @@ def relation_examples(scored: DataFrame, order: str, n: int = 3) -> DataFrame:
     return rows.select("relation", "nth", F.substring("question", 1, 100).alias("question"), F.array_join("gold_numbers", ", ").alias("gold"), F.substring("answer", 1, 150).alias("answer"), M.nem(F.col("answer"), F.col("gold_numbers")).alias("nem"))
 
 
-def error_class() -> Column:
-    """correct, else by whether a gold token was retrieved and whether the answer has numbers at all."""
-    found = F.arrays_overlap(F.col("gold_numbers"), T.extract_numbers(F.array_join("retrieved", " ")))
+def whole_text(column: Column, kind: DataType) -> Column:
+    """All text in a value of that type, fields of structs and elements of arrays and maps in order; nulls left out."""
+    if isinstance(kind, StructType):
+        return F.concat_ws(" ", *[whole_text(column[f.name], f.dataType) for f in kind])
+    if isinstance(kind, ArrayType):
+        return F.array_join(F.transform(column, lambda x: whole_text(x, kind.elementType)), " ")
+    if isinstance(kind, MapType):
+        return F.array_join(F.transform(F.map_values(column), lambda x: whole_text(x, kind.valueType)), " ")
+    return column.cast("string")
+
+
+def error_class(retrieved: Column | None = None) -> Column:
+    """correct, else by whether a gold token was retrieved and whether the answer has numbers at all. retrieved: the text
+    of what was retrieved."""
+    retrieved = F.array_join("retrieved", " ") if retrieved is None else retrieved
+    found = F.coalesce(F.arrays_overlap(F.col("gold_numbers"), T.extract_numbers(retrieved)), F.lit(False))
     return (
         F.when(M.nem(F.col("answer"), F.col("gold_numbers")) >= 1, "correct")
         .when(~found, "retrieval_failure")
@@ -67,9 +81,11 @@ def error_class() -> Column:
 
 
 def error_taxonomy(results: DataFrame, gold: DataFrame) -> DataFrame:
-    """Counts, and shares of all results, matched or not."""
+    """Counts, and shares of all results, matched or not. What was retrieved may be texts, or facts with all their metadata:
+    a gold number in any field counts as retrieved."""
     total = results.agg(F.count(F.lit(1)).alias("total"))
-    counted = with_gold(results, gold).groupBy(error_class().alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    kind = error_class(whole_text(F.col("retrieved"), results.schema["retrieved"].dataType))
+    counted = with_gold(results, gold).groupBy(kind.alias("category")).agg(F.count(F.lit(1)).alias("n"))
     return counted.join(F.broadcast(total)).select("category", "n", F.round(F.col("n") / F.col("total"), 6).alias("fraction"))
 
 

@@ -23,11 +23,21 @@ from statweave.sources import services as V
 NO_FACTS = "(No reference facts available)"
 
 
+#: The methods that check their drafts: the word of a check that rejects, and what is checked.
+CHECKS = {"conli": ("CONTRADICTED", "draft"), "cove": ("INCORRECT", "claims")}
+
+
+def prompt(grounded: Column | None = None) -> Column:
+    """What a question (question, context) is asked as; without a context, or where it isn't to be grounded, alone."""
+    alone = F.concat(F.lit("Question: "), "question")
+    if grounded is None:
+        return alone
+    return F.when(grounded & F.col("context").isNotNull(), F.concat(F.lit("Context:\n"), "context", F.lit("\n\n"), alone)).otherwise(alone)
+
+
 def _ask(questions: DataFrame, context: DataFrame | None, call: V.Generator, method: str, temperature: float | None = None) -> DataFrame:
     q = questions if context is None else questions.join(context, "qid", "left")
-    text = F.concat(F.lit("Question: "), "question")
-    if context is not None:  # without anything retrieved the question stands alone
-        text = F.when(F.col("context").isNull(), text).otherwise(F.concat(F.lit("Context:\n"), "context", F.lit("\n\n"), text))
+    text = prompt() if context is None else prompt(F.lit(True))
     return V.generate(q.withColumn("prompt", text), "prompt", V.tuned(call, temperature)).withColumn("method", F.lit(method))
 
 
@@ -125,16 +135,14 @@ def verified(questions: DataFrame, index: DataFrame | None, embed: V.Embedder |
         context = first.select("qid", F.lit(None).cast("string").alias("context"), F.lit(None).cast("array<string>").alias("retrieved"))
     else:
         context = _context(_hits(questions, index, embed, k, None, where))
-    return _revised(first.join(context, "qid", "left"), verify, revise, "CONTRADICTED", "conli")
+    return checked(first.join(context, "qid", "left"), "conli", verify, revise)
 
 
 def self_verified(questions: DataFrame, draft: V.Generator, verify: V.Generator, revise: V.Generator, extract: V.Generator | None = None) -> DataFrame:
     """Draft, extract its claims (by draft's generator where no other is given), check them alone, refine only
     what the check calls INCORRECT."""
     first = zero_shot(questions, draft).select("qid", "question", F.col("answer").alias("draft"), F.lit(None).cast("string").alias("context"), F.lit(None).cast("array<string>").alias("retrieved"))
-    first = V.generate(first.withColumn("prompt", F.concat(F.lit("List the factual claims of this answer, one a line.\nAnswer: "), "draft")), "prompt", extract or draft)
-    first = first.select("qid", "question", "draft", "context", "retrieved", F.col("answer").alias("claims"))
-    return _revised(first, verify, revise, "INCORRECT", "cove", "claims").drop("claims")
+    return checked(first, "cove", verify, revise, extract or draft)
 
 
 def rejected(verdict: Column, word: str) -> Column:
@@ -142,16 +150,24 @@ def rejected(verdict: Column, word: str) -> Column:
     return F.contains(verdict, F.lit(word))
 
 
-def _revised(drafts: DataFrame, verify: V.Generator, revise: V.Generator, word: str, method: str, subject: str = "draft") -> DataFrame:
+def checked(drafts: DataFrame, method: str, verify: V.Generator, revise: V.Generator, extract: V.Generator | None = None) -> DataFrame:
+    """drafts (question, draft, context, and other columns, which stay) with method, answer, error and latency_ms: a
+    checking method's second half. Its drafts, or the claims that extract lists of them, are checked against the context
+    or what stands for it, and only rejected drafts go to revise."""
+    word, subject = CHECKS[method]
+    columns = drafts.columns
+    if subject == "claims":
+        listed = F.concat(F.lit("List the factual claims of this answer, one a line.\nAnswer: "), "draft")
+        drafts = V.generate(drafts.withColumn("prompt", listed), "prompt", extract or revise).select(*columns, F.col("answer").alias("claims"))
     facts = F.coalesce("context", F.lit(NO_FACTS))
-    checked = V.generate(drafts.withColumn("prompt", F.concat(F.lit("Facts:\n"), facts, F.lit("\nAnswer: " if subject == "draft" else "\nClaims: "), subject)), "prompt", verify)
-    checked = cut_lineage(checked.withColumnRenamed("answer", "verdict").drop("error", "latency_ms"))
+    asked = V.generate(drafts.withColumn("prompt", F.concat(F.lit("Facts:\n"), facts, F.lit("\nAnswer: " if subject == "draft" else "\nClaims: "), subject)), "prompt", verify)
+    asked = cut_lineage(asked.withColumnRenamed("answer", "verdict").drop("error", "latency_ms"))
     wrong = F.coalesce(rejected(F.col("verdict"), word), F.lit(False))
-    # only the rejected drafts go to the generator again
     again = F.concat(F.lit("Context:\n"), facts, F.lit("\n\nQuestion: "), "question", F.lit("\nFirst answer: "), "draft", F.lit("\nTo be corrected: "), "verdict")
-    again = V.generate(checked.where(wrong).withColumn("prompt", again), "prompt", revise)
-    kept = checked.where(~wrong).withColumns({"answer": F.col("draft"), "error": F.lit(None).cast("string"), "latency_ms": F.lit(0.0)})
-    return again.unionByName(kept).withColumn("method", F.lit(method))
+    again = V.generate(asked.where(wrong).withColumn("prompt", again), "prompt", revise)
+    kept = asked.where(~wrong).withColumns({"answer": F.col("draft"), "error": F.lit(None).cast("string"), "latency_ms": F.lit(0.0)})
+    out = again.unionByName(kept).withColumn("method", F.lit(method))
+    return out.drop(*{"claims"} - set(columns))
 
 
 def compared_indexes(questions: DataFrame, indexes: dict[str, tuple[DataFrame, dict | None]], embed: V.Embedder | None, call: V.Generator, k: int = 5) -> DataFrame:
@@ -161,7 +177,7 @@ def compared_indexes(questions: DataFrame, indexes: dict[str, tuple[DataFrame, d
     return reduce(DataFrame.unionByName, parts)
 
 
-METHODS: dict[str, Callable[..., DataFrame]] = {"zero_shot": zero_shot, "kg_retrieval": kg_retrieval, "hpti": kg_retrieval, "standard_rag": standard_rag, "graph_rag": graph_retrieval, "community": community_retrieval, "hybrid": hybrid_retrieval, "conli": verified, "cove": self_verified}
+METHODS: dict[str, Callable[..., DataFrame]] = {"zero_shot": zero_shot, "kg_retrieval": kg_retrieval, "standard_rag": standard_rag, "graph_rag": graph_retrieval, "community": community_retrieval, "hybrid": hybrid_retrieval, "conli": verified, "cove": self_verified}
 
 
 def run(method: str, *args: object, **settings: object) -> DataFrame:

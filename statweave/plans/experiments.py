@@ -125,9 +125,8 @@ def answer_cells(need: DataFrame, cells: list[Cell], s: Services) -> DataFrame:
         rows = rows.join(context, ["label", "qid"], "left")
     else:
         rows = rows.withColumns({"context": F.lit(None).cast("string"), "retrieved": F.lit(None).cast("array<string>")})
-    grounded = F.col("context").isNotNull() & ~F.col("method").isin("conli", "cove")
-    prompt = F.when(grounded, F.concat(F.lit("Context:\n"), "context", F.lit("\n\nQuestion: "), "question")).otherwise(F.concat(F.lit("Question: "), "question"))
-    rows = rows.withColumn("prompt", prompt)
+    checking = F.col("method").isin(*A.CHECKS)
+    rows = rows.withColumn("prompt", A.prompt(~checking))
     heeded = [n for n, by in (("temperature", "at"), ("seed", "seeded")) if hasattr(s.generate, by)]
     kinds = sorted({tuple(getattr(c, n) for n in heeded) for c in cells}, key=lambda k: [(x is not None, x or 0) for x in k])
     parts = []
@@ -139,20 +138,14 @@ def answer_cells(need: DataFrame, cells: list[Cell], s: Services) -> DataFrame:
     for part in parts[1:]:
         drafts = drafts.unionByName(part)
     columns = ["label", "qid", F.col("question").alias("query"), "method", "answer", "retrieved", "latency_ms", "error"]
-    methods = {c.method for c in cells}
-    if not methods & {"conli", "cove"}:
+    methods = {c.method for c in cells} & set(A.CHECKS)
+    if not methods:
         return drafts.select(*columns)
     drafts = A.cut_lineage(drafts)
-    out = drafts.where(~F.col("method").isin("conli", "cove")).select(*columns)
-    keep = ["label", "qid", "question", "context", "retrieved"]
-    for method, verify, word in (("conli", s.verify, "CONTRADICTED"), ("cove", s.self_verify, "INCORRECT")):
-        if method in methods:
-            own = drafts.where(F.col("method") == method).select(*keep, F.col("answer").alias("draft"))
-            subject = "draft"
-            if method == "cove":
-                listed = F.concat(F.lit("List the factual claims of this answer, one a line.\nAnswer: "), "draft")
-                own, subject = V.generate(own.withColumn("prompt", listed), "prompt", s.generate).select(*keep, "draft", F.col("answer").alias("claims")), "claims"
-            out = out.unionByName(A._revised(own, verify, s.generate, word, method, subject).select(*columns))
+    out = drafts.where(~checking).select(*columns)
+    for method in sorted(methods):
+        own = drafts.where(F.col("method") == method).select("label", "qid", "question", "context", "retrieved", F.col("answer").alias("draft"))
+        out = out.unionByName(A.checked(own, method, s.verify if method == "conli" else s.self_verify, s.generate).select(*columns))
     return out
 
 

@@ -341,6 +341,87 @@ def community_reports(spark: SparkSession, d: str) -> DataFrame:
     return G.community_reports(members, X.triples(spark, d), broken).drop("error")
 
 
+def topped(number: str, of: str) -> str:
+    """SQL for a numbered line of a context."""
+    return f"'[' || {number} || '] ' || {of}"
+
+
+#: Two entities of each fact lie at one place, so every search has ties; e-entities come before x-entities.
+COMMUNITY = X.ASKED + f""",
+EN AS (SELECT id AS eid, v, 'e' || id AS entity, 'c' || label AS community, id AS part FROM FI UNION ALL SELECT id + 1000000000, v, 'x' || id, 'd' || id % 7, id FROM FI),
+ED AS (SELECT q.id AS qid, q.question, e.eid, e.entity, e.community, e.part, 1 - list_cosine_similarity(q.v, e.v) AS distance FROM FI q, EN e WHERE q.id % 50 = 0),
+NE AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, eid DESC) AS rank FROM ED) z WHERE rank <= 10),
+BC AS (SELECT qid, community, row_number() OVER (PARTITION BY qid ORDER BY min(rank), community) AS n FROM NE GROUP BY qid, community),
+CS AS (SELECT qid, string_agg({topped("n", "'About ' || community")}, chr(10) ORDER BY n) AS summaries FROM BC WHERE n <= 5 GROUP BY qid),
+UN AS (SELECT DISTINCT l_orderkey AS unit, l_partkey AS part FROM lineitem),
+MF AS (SELECT * FROM (SELECT entity, unit, row_number() OVER (PARTITION BY entity ORDER BY unit) AS nth FROM EN JOIN UN USING (part) WHERE entity LIKE 'e%') z WHERE nth <= 3),
+QF AS (SELECT qid, unit, row_number() OVER (PARTITION BY qid ORDER BY rank, entity, nth) AS n FROM NE JOIN MF USING (entity)),
+CF AS (SELECT qid, string_agg({topped("n", "'order ' || unit")}, chr(10) ORDER BY n) AS facts FROM QF WHERE n <= 10 GROUP BY qid)"""
+
+
+@query(with_(COMMUNITY) + """SELECT qid, 'Context:' || chr(10) || 'Community Summaries:' || chr(10) || summaries || coalesce(chr(10) || chr(10) || 'Relevant Facts:' || chr(10) || facts, '') || chr(10) || chr(10) || 'Question: ' || question AS prompt
+FROM CS LEFT JOIN CF USING (qid) JOIN FI ON qid = id""")
+def community_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Whole prompts of the community method: summaries by their best entity, of equally near entities the later first,
+    then the first text units of each entity."""
+    index = X.facts(spark, d)
+    name = lambda kind: F.concat(F.lit(kind), F.col("id").cast("string")).alias("entity")
+    entities = index.select("id", "vector", name("e"), F.concat(F.lit("c"), F.substring("source_topic", 2, 9)).alias("community"))
+    entities = entities.unionByName(index.select((F.col("id") + 1_000_000_000).alias("id"), "vector", name("x"), F.concat(F.lit("d"), (F.col("id") % 7).cast("string")).alias("community")))
+    reports = entities.select("community").distinct().withColumn("summary", F.concat(F.lit("About "), "community"))
+    named = F.array_sort(F.collect_set(F.concat(F.lit("e"), F.col("l_partkey").cast("string"))))
+    units = X.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("unit")).agg(named.alias("entity_ids")).withColumn("text", F.concat(F.lit("order "), F.col("unit").cast("string")))
+    asked = A.community_retrieval(X.asked(spark, d).select("qid", "question", "vector"), entities, reports, None, list, units=units)
+    return asked.select("qid", F.col("answer").alias("prompt"))
+
+
+HYBRID = X.ASKED + f""",
+HN AS (SELECT qid, id, fine, rank FROM FN WHERE mode = 'full_index' AND rank <= 10),
+RL AS (SELECT id, 'e' || (id - 1) AS src, 'e' || id AS dst, medium, v FROM FI WHERE id % 2 = 1),
+HD AS (SELECT q.id AS qid, r.id, r.src, r.dst, r.medium, 1 - list_cosine_similarity(q.v, r.v) AS distance FROM FI q, RL r WHERE q.id % 50 = 0),
+HR AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank FROM HD) z WHERE rank <= 10),
+HE AS (SELECT qid, 'e' || id AS entity, rank FROM HN UNION ALL SELECT qid, src, rank + 10 FROM HR UNION ALL SELECT qid, dst, rank + 10 FROM HR),
+CH AS (SELECT 'e' || id AS entity, 'text ' || id // 3 AS document FROM FI),
+HT AS (SELECT qid, document, min(rank) AS rank FROM HE JOIN CH USING (entity) GROUP BY qid, document),
+HC AS (SELECT * FROM (SELECT qid, document, row_number() OVER (PARTITION BY qid ORDER BY rank, document) AS rank FROM HT) z WHERE rank <= 10),
+HA AS (SELECT qid, fine AS document, 0 AS part, rank FROM HN UNION ALL SELECT qid, medium, 1, rank FROM HR UNION ALL SELECT qid, document, 2, rank FROM HC),
+HO AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY part, rank, document) AS n FROM HA)"""
+
+
+@query(with_(HYBRID) + f"""SELECT qid, 'Context:' || chr(10) || string_agg({topped("n", "document")}, chr(10) ORDER BY n) || chr(10) || chr(10) || 'Question: ' || any_value(question) AS prompt FROM HO JOIN FI ON qid = id GROUP BY qid""")
+def hybrid_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Whole prompts of the hybrid method: ten entities, ten relations of other facts, and the texts of all of them, of
+    which three entities share one."""
+    index, near = X.facts(spark, d), lambda back: F.concat(F.lit("e"), (F.col("id") - back).cast("string"))
+    entities = index.select("id", "vector", near(0).alias("entity"), F.col("fine").alias("document"))
+    relations = index.where("id % 2 = 1").select("id", "vector", near(1).alias("src"), near(0).alias("dst"), F.col("medium").alias("document"))
+    chunks = index.select(near(0).alias("entity"), F.concat(F.lit("text "), F.floor(F.col("id") / 3).cast("string")).alias("document"))
+    asked = A.hybrid_retrieval(X.asked(spark, d).select("qid", "question", "vector"), entities, relations, chunks, None, list)
+    return asked.select("qid", F.col("answer").alias("prompt"))
+
+
+@query(with_(X.TRIPLES) + """, M AS (SELECT DISTINCT p_type AS community, p_brand AS node FROM part), O AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY node) AS m FROM M),
+W AS (SELECT *, row_number() OVER (PARTITION BY source_topic ORDER BY tid) AS t FROM T),
+FA AS (SELECT community, row_number() OVER (PARTITION BY community ORDER BY m, t) AS n, '- ' || subject || ' ' || relation || ' ' || object AS fact FROM O JOIN W ON node = source_topic WHERE m <= 10 AND t <= 3),
+FS AS (SELECT community, string_agg(fact, chr(10) ORDER BY n) AS facts FROM FA WHERE n <= 15 GROUP BY community)
+SELECT community, 'Summarise in two or three sentences what these topics have in common, with their key figures.' || chr(10) || 'Topics: ' || string_agg(node, ', ' ORDER BY node) FILTER (m <= 10) || chr(10) || 'Facts:' || chr(10) || coalesce(any_value(facts), '') AS summary, count(*) AS rank, CAST(NULL AS VARCHAR) AS error
+FROM O LEFT JOIN FS USING (community) GROUP BY community""")
+def written_reports(spark: SparkSession, d: str) -> DataFrame:
+    """Reports by a service that works, and gives back what it was asked."""
+    members = X.table(spark, d, "part").select(F.col("p_type").alias("community"), F.col("p_brand").alias("node")).distinct()
+    return G.community_reports(members, X.triples(spark, d), list).select("community", "summary", "rank", "error")
+
+
+@query("""WITH V AS (SELECT CAST(vec_id AS BIGINT) AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), B AS (SELECT id, v FROM V UNION ALL SELECT id + 1000000000, v FROM V UNION ALL SELECT id + 2000000000, v FROM V),
+D AS (SELECT q.id AS qid, b.id, 1 - list_cosine_similarity(q.v, b.v) AS distance FROM V q, B b WHERE q.id % 50 = 0)
+SELECT qid, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id DESC) AS rank FROM D) z WHERE rank <= 4""")
+def later_first(spark: SparkSession, d: str) -> DataFrame:
+    """An index that holds every vector three times: of equally near rows the later come first."""
+    rows = X.vectors(spark, d)
+    index = rows.select(F.explode(F.array(*[F.col("id") + n * 1_000_000_000 for n in range(3)])).alias("id"), "vector")
+    return retrieval.cosine_topk(rows.where("id % 50 = 0").select(F.col("id").alias("qid"), "vector"), index, 4, later_first=True).select("qid", "id", "rank")
+
+
 # bounds for what has no one right answer
 @query(with_(Q.ALL_EDGES) + ", X AS (SELECT src AS node FROM G UNION SELECT dst FROM G) SELECT count(*) AS nodes, true AS better_than_labels, true AS whole FROM X")
 def modularity_bounds(spark: SparkSession, d: str) -> DataFrame:
