@@ -198,61 +198,70 @@ def report_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 # connectors
-class Answers:
-    """An offline wiki from a few lists: three titles a page of a listing."""
-
-    def __init__(self, members: dict[str, list[str]], texts: dict[str, str]) -> None:
-        self.members, self.texts = members, texts
-
-    def __call__(self, url: str) -> tuple[int, bytes]:
-        given = dict(urllib.parse.parse_qsl(urllib.parse.urlparse(url).query))
-        title = given.get("titles", "")
-        if "cmtitle" in given:
-            rows, at = self.members.get(given["cmtitle"].removeprefix("Category:"), []), int(given.get("cmcontinue", 0))
-            answer = {"query": {"categorymembers": [{"title": f"Category:{x}" if given["cmtype"] == "subcat" else x} for x in rows[at : at + 3]]}}
-            answer |= {"continue": {"cmcontinue": str(at + 3)}} if at + 3 < len(rows) else {}
-        elif given.get("prop") == "categories":
-            answer = {"query": {"pages": {"1": {"categories": [{"title": f"Category:{k}"} for k, v in sorted(self.members.items()) if title in v] + [{"title": "Category:Articles with Dead Links"}]}}}}
-        elif given.get("prop") == "extracts":
-            answer = {"query": {"pages": {"1": {"extract": self.texts[title]} if title in self.texts else {"missing": ""}}}}
-        else:
-            answer = {"query": {"redirects": [{"from": x, "to": x.replace("_", " ")} for x in title.split("|")], "normalized": [{"from": x, "to": x.lower()} for x in title.split("|")]}}
-        return 200, json.dumps(answer).encode()
-
-
-def offline_wiki(spark: SparkSession, d: str) -> wiki.Api:
-    """Regions as categories of nations, both tables of fixed size."""
-    rows = X.table(spark, d, "nation").join(X.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).orderBy("n_nationkey").collect()
-    members: dict[str, list[str]] = {}
-    for r in rows:
-        members.setdefault(r.r_name, []).append(r.n_name)
-    return wiki.Api("http://wiki.invalid/api", Answers(members, {r.n_name: f"{r.n_name} lies in {r.r_name}." for r in rows if r.n_nationkey % 4}))
-
-
-@query("SELECT r_name AS key, n_name AS item, row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) - 1 AS position, CAST(NULL AS VARCHAR) AS error FROM nation JOIN region ON n_regionkey = r_regionkey")
+def offline_wiki(url: str) -> tuple[int, bytes]:
+    """Answers of a wiki, all from the number in the title that is asked for: members and links come in pages of three,
+    every fourth article is missing, every third title is a redirect, every second is written in small letters."""
+    given = dict(urllib.parse.parse_qsl(urllib.parse.urlparse(url).query))
+    title = given.get("cmtitle", given.get("titles", ""))
+    number = lambda name: int(re.sub("[^0-9]", "", name))
+
+    def page(rows: list[str], marker: str) -> tuple[list[dict], dict]:
+        at = int(given.get(marker, 0))
+        return [{"title": x} for x in rows[at : at + 3]], {"continue": {marker: str(at + 3)}} if at + 3 < len(rows) else {}
+
+    if "cmtitle" in given:
+        name, kind = title.removeprefix("Category:"), "Category:" if given["cmtype"] == "subcat" else ""
+        rows, more = page([f"{kind}{name} part {i}" for i in range(number(name) % 8)], "cmcontinue")
+        answer = {"query": {"categorymembers": rows}} | more
+    elif given.get("prop") == "categories":
+        answer = {"query": {"pages": {"1": {"categories": [{"title": f"Category:Group {number(title) % 7}"}, {"title": "Category:Articles with Dead Links"}]}}}}
+    elif given.get("prop") in ("links", "redirects"):
+        rows, more = page([f"{given['prop']} {i} of {title}" for i in range(number(title) % 5)], "plcontinue" if given["prop"] == "links" else "rdcontinue")
+        answer = {"query": {"pages": {"1": {given["prop"]: rows}}}} | more
+    elif given.get("prop") == "extracts":
+        answer = {"query": {"pages": {"1": {"extract": f"{title} is in group {number(title) % 7}."} if number(title) % 4 else {"missing": ""}}}}
+    else:
+        moved = lambda every, to: [{"from": x, "to": to(x)} for x in title.split("|") if number(x) % every == 0]
+        answer = {"query": {"redirects": moved(3, lambda x: f"Target {number(x) % 10}"), "normalized": moved(2, str.lower)}}
+    return 200, json.dumps(answer).encode()
+
+
+WIKI = wiki.Api("http://wiki.invalid/api", offline_wiki)
+MANY = {"calls": 1_000_000, "callers": 8}
+NUMBERED = "C AS (SELECT DISTINCT c_name AS key, CAST(regexp_replace(c_name, '[^0-9]', '', 'g') AS BIGINT) AS n FROM customer)"
+
+
+@query(with_(NUMBERED) + "SELECT key, key || ' part ' || i AS item, i AS position, CAST(NULL AS VARCHAR) AS error FROM C, (SELECT unnest(range(8)) AS i) r WHERE i < n % 8")
 def wiki_subcategories(spark: SparkSession, d: str) -> DataFrame:
     """Listings that go on over several pages."""
-    return remote.paged(X.table(spark, d, "region"), "r_name", wiki.CategoryMembers(offline_wiki(spark, d), "subcat"), calls=1000)
+    return remote.paged(X.table(spark, d, "customer"), "c_name", wiki.CategoryMembers(WIKI, "subcat"), **MANY)
 
 
-@query("SELECT n_name AS key, r_name AS item, CAST(0 AS BIGINT) AS position FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query(with_(NUMBERED) + "SELECT kind, key, kind || ' ' || i || ' of ' || key AS item, i AS position FROM C, (SELECT unnest(range(5)) AS i) r, (VALUES ('links'), ('redirects')) k(kind) WHERE i < n % 5")
+def wiki_links(spark: SparkSession, d: str) -> DataFrame:
+    """What articles link to, and what is redirected to them, page by page."""
+    kinds = [remote.paged(X.table(spark, d, "customer"), "c_name", wiki.ArticleProperty(WIKI, kind), **MANY).where("error is null").select(F.lit(kind).alias("kind"), "key", "item", "position") for kind in ("links", "redirects")]
+    return functools.reduce(DataFrame.unionByName, kinds)
+
+
+@query(with_(NUMBERED) + "SELECT key, 'Group ' || n % 7 AS item, CAST(0 AS BIGINT) AS position FROM C")
 def wiki_categories(spark: SparkSession, d: str) -> DataFrame:
     """Categories of articles, those of maintenance left out."""
-    listed = remote.paged(X.table(spark, d, "nation"), "n_name", wiki.ArticleProperty(offline_wiki(spark, d), "categories"), calls=1000)
+    listed = remote.paged(X.table(spark, d, "customer"), "c_name", wiki.ArticleProperty(WIKI, "categories"), **MANY)
     return remote.visible_categories(listed, ("dead links",))
 
 
-@query("SELECT n_name AS key, n_name || ' lies in ' || r_name || '.' AS item FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 4 <> 0")
+@query(with_(NUMBERED) + "SELECT key, key || ' is in group ' || n % 7 || '.' AS item FROM C WHERE n % 4 <> 0")
 def wiki_articles(spark: SparkSession, d: str) -> DataFrame:
     """Texts of the articles that there are."""
-    return wiki.articles(X.table(spark, d, "nation"), "n_name", offline_wiki(spark, d), calls=1000).where("error is null").select("key", "item")
+    return wiki.articles(X.table(spark, d, "customer"), "c_name", WIKI, **MANY).where("error is null").select("key", "item")
 
 
-@query("SELECT n_name AS alias, replace(n_name, '_', ' ') AS target FROM nation WHERE n_name <> replace(n_name, '_', ' ')")
+@query(with_(NUMBERED) + "SELECT key AS alias, CASE WHEN n % 3 = 0 THEN 'Target ' || n % 10 ELSE lower(key) END AS target FROM C WHERE n % 3 = 0 OR n % 2 = 0")
 def wiki_aliases(spark: SparkSession, d: str) -> DataFrame:
     """Redirects, asked for in batches, which beat spellings."""
-    api, nation = offline_wiki(spark, d), X.table(spark, d, "nation")
-    redirects, spellings = (remote.looked_up(nation, "n_name", wiki.Resolved(api, kind), batch=10, calls=1000) for kind in ("redirects", "normalized"))
+    customer = X.table(spark, d, "customer")
+    redirects, spellings = (remote.looked_up(customer, "c_name", wiki.Resolved(WIKI, kind), **MANY) for kind in ("redirects", "normalized"))
     return remote.aliases(redirects, spellings)
 
 
@@ -262,6 +271,35 @@ def call_windows(spark: SparkSession, d: str) -> DataFrame:
     return X.table(spark, d, "events").groupBy(F.date_trunc("minute", "ts").alias("minute")).agg(F.count(F.lit(1)).alias("calls"), F.greatest(F.count(F.lit(1)) - 30, F.lit(0)).alias("over"))
 
 
+class Clock:
+    """A clock that only sleeping moves; a copy's time is its own."""
+
+    def __init__(self) -> None:
+        self.now = 0.0
+
+    def __call__(self) -> float:
+        return self.now
+
+    def sleep(self, seconds: float) -> None:
+        self.now += seconds
+
+    def minutes(self, items: list) -> list[str]:
+        """A service that answers with the minute it is called in."""
+        return [str(int(self.now // 60))] * len(items)
+
+
+@query("SELECT count(*) AS n, 10 AS most, true AS full FROM part")
+def throttled_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Questions of three calls each to a service with thirty a minute in every task: ten questions a minute, and a
+    task's last minute alone has fewer."""
+    clock = Clock()
+    service = V.Throttled(clock.minutes, 30, 60.0, 3, clock=clock, sleep=clock.sleep)
+    asked = X.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("prompt")).repartition(4, "prompt")
+    minutes = V.generate(asked, "prompt", service).groupBy(F.spark_partition_id().alias("task"), F.col("answer").cast("int").alias("minute")).agg(F.count(F.lit(1)).alias("calls"))
+    tasks = minutes.groupBy("task").agg(F.sum("calls").alias("n"), F.max("calls").alias("most"), F.max("minute").alias("last"), F.sum(F.when(F.col("calls") == 10, 1).otherwise(0)).alias("whole"))
+    return tasks.agg(F.sum("n").alias("n"), F.max("most").cast("int").alias("most"), F.every(F.col("whole") >= F.col("last")).alias("full"))
+
+
 def offline_endpoint(request: str) -> list[dict]:
     """Answers for the articles of a request: of all but every fourth, by the length of its name, a quantity for each
     property that is asked for; every other amount has a sign, as endpoints write them."""

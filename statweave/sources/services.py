@@ -144,8 +144,8 @@ class Throttle:
 
 
 class Throttled:
-    """A service that keeps to a budget of calls: each item waits for as many calls as it stands for. The budget is a
-    worker's; with several workers at a time, give each its share."""
+    """A service that keeps to a budget of calls: each item is asked for by itself, after it has waited for as many calls
+    as it stands for. The budget is a worker's; with several workers at a time, give each its share."""
 
     def __init__(self, call: Callable, calls: int = 30, seconds: float = 60.0, units: int = 1, **clock: Callable) -> None:
         self.call, self.calls, self.seconds, self.units, self.clock = call, calls, seconds, units, clock
@@ -167,9 +167,11 @@ class Throttled:
     def __call__(self, items: list) -> list:
         if self.throttle is None:
             self.throttle = Throttle(self.calls, self.seconds, **self.clock)
-        for _ in items:
+        out = []
+        for item in items:
             self.throttle.wait(self.units)
-        return self.call(items)
+            out += self.call([item])
+        return out
 
 
 class Budget:

@@ -33,9 +33,14 @@ class Refused(RuntimeError):
     """The service answered with something else than what was asked for."""
 
 
+class Busy(Refused):
+    """The service asked to be called later."""
+
+
 @dataclass(frozen=True)
 class Api:
-    """Queries of a wiki. A call that is told to slow down waits twice as long each time, then gives up."""
+    """Queries of a wiki. query, when told to slow down, waits twice as long each time, then gives up; once leaves that to
+    its caller, so that a job's lookups repeat their requests within the job's budget."""
 
     url: str
     fetch: Fetch = web
@@ -43,17 +48,21 @@ class Api:
     wait: float = 2.0
     sleep: Callable[[float], None] = time.sleep
 
+    def once(self, **given: str) -> dict:
+        status, body = self.fetch(f"{self.url}?{urllib.parse.urlencode({'action': 'query', 'format': 'json'} | given)}")
+        if status == 429:
+            raise Busy("status 429")
+        if status != 200:
+            raise Refused(f"status {status}")
+        return json.loads(body)
+
     def query(self, **given: str) -> dict:
-        address = f"{self.url}?{urllib.parse.urlencode({'action': 'query', 'format': 'json'} | given)}"
         for attempt in range(self.tries):
-            status, body = self.fetch(address)
-            if status == 429:
+            try:
+                return self.once(**given)
+            except Busy:
                 self.sleep(self.wait * 2**attempt)
-                continue
-            if status != 200:
-                raise Refused(f"status {status}")
-            return json.loads(body)
-        raise Refused("status 429")
+        raise Busy("status 429")
 
     def _page(self, answer: dict, marker: str) -> str | None:
         return answer.get("continue", {}).get(marker)
@@ -68,7 +77,7 @@ class CategoryMembers:
 
     def __call__(self, category: str, token: str | None) -> tuple[list[str], str | None]:
         more = {"cmcontinue": token} if token else {}
-        answer = self.api.query(list="categorymembers", cmtitle=f"Category:{category}", cmtype=self.kind, cmlimit="500", **more)
+        answer = self.api.once(list="categorymembers", cmtitle=f"Category:{category}", cmtype=self.kind, cmlimit="500", **more)
         titles = [m["title"] for m in answer.get("query", {}).get("categorymembers", [])]
         return [t.replace("Category:", "") if self.kind == "subcat" else t for t in titles], self.api._page(answer, "cmcontinue")
 
@@ -90,7 +99,7 @@ class ArticleProperty:
 
     def __call__(self, title: str, token: str | None) -> tuple[list[str], str | None]:
         given, marker = PROPERTIES[self.name]
-        answer = self.api.query(titles=title, prop=self.name, **given, **({marker: token} if token else {}))
+        answer = self.api.once(titles=title, prop=self.name, **given, **({marker: token} if token else {}))
         pages = answer.get("query", {}).get("pages", {})
         return [x["title"] for page in pages.values() for x in page.get(self.name, [])], self.api._page(answer, marker)
 
@@ -103,7 +112,7 @@ class Resolved:
     kind: str = "redirects"
 
     def __call__(self, titles: list[str]) -> list[tuple[str, str]]:
-        answer = self.api.query(titles="|".join(titles), redirects="1")
+        answer = self.api.once(titles="|".join(titles), redirects="1")
         return [(x["from"], x["to"]) for x in answer.get("query", {}).get(self.kind, [])]
 
 
@@ -116,7 +125,7 @@ class ArticleText:
     def __call__(self, titles: list[str]) -> list[tuple[str, str]]:
         out = []
         for title in titles:
-            answer = self.api.query(titles=title, prop="extracts", explaintext="1")
+            answer = self.api.once(titles=title, prop="extracts", explaintext="1")
             out += [(title, page["extract"]) for page in answer.get("query", {}).get("pages", {}).values() if "missing" not in page and page.get("extract")]
         return out
 
