@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 
 import pyarrow as pa
@@ -38,9 +39,13 @@ def spaced(pattern: str) -> str:
     return pattern.replace(r"\s", SPACE)
 
 
+#: The same characters one by one.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if re.match(re.sub(r"x\{(\w+)\}", lambda m: f"u{m[1]:>04}", SPACE), c))
+
+
 def strip(text: Column) -> Column:
     """text without white space at both ends; in linear time, however long a run of it is."""
-    return F.regexp_replace(text, f"^{SPACE}+|(?<!{SPACE}){SPACE}+$", "")
+    return F.trim(text, F.lit(SPACES))
 
 
 def extract_numbers(text: Column) -> Column:
@@ -96,7 +101,7 @@ def nfc(text: Column) -> Column:
 
 def normalize_string(text: Column) -> Column:
     """Composed, trimmed, white space collapsed, all trailing dots off."""
-    return F.regexp_replace(F.regexp_replace(strip(nfc(text)), f"{SPACE}+", " "), r"(?<!\.)\.+$", "")
+    return F.rtrim(F.regexp_replace(strip(nfc(text)), f"{SPACE}+", " "), F.lit("."))
 
 
 def canonical_key(text: Column) -> Column:
@@ -105,7 +110,7 @@ def canonical_key(text: Column) -> Column:
     for _ in range(2):  # neighbouring articles share a separator
         key = F.regexp_replace(key, r"(^|[^\p{L}\p{M}\p{N}_])(the|a|an)($|[^\p{L}\p{M}\p{N}_])", "$1$3")
     key = F.regexp_replace(F.replace(key, F.lit("'s"), F.lit("")), r"[^a-z0-9 ]", "")
-    return F.trim(F.regexp_replace(key, r" +", " "))
+    return F.trim(F.regexp_replace(key, r" {2,}", " "))
 
 
 def sentences(text: Column) -> Column:

@@ -157,8 +157,10 @@ def vocabulary_file(spark: SparkSession, d: str) -> DataFrame:
 @query(with_(X.TRIPLES, X.STRUCTURAL) + """SELECT 'chunks' AS name, count(*) AS n FROM part UNION ALL SELECT 'entities', count(DISTINCT subject) FROM T UNION ALL SELECT 'relationships', (SELECT count(*) FROM T) + (SELECT count(*) FROM S)""")
 def graph_tables(spark: SparkSession, d: str) -> DataFrame:
     t = X.triples(spark, d)
-    counts = files.write_graph(X.prose(spark, d), G.entity_descriptions(t), G.relationships(t, X.structural(spark, d)), shared_path(spark, "graph-"))
-    return spark.createDataFrame(list(counts.items()), "name string, n long")
+    path = shared_path(spark, "graph-")
+    names = files.write_graph(X.prose(spark, d), G.entity_descriptions(t), G.relationships(t, X.structural(spark, d)), path)
+    counts = [spark.read.parquet(f"{path}/{name}").agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n")) for name in names]
+    return functools.reduce(DataFrame.unionByName, counts)
 
 
 @query("SELECT DISTINCT p_brand AS name, 64 AS dimensions, CAST(1 AS DOUBLE) AS length FROM part")
@@ -193,8 +195,10 @@ def checkpointed_work(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_(X.SCORED) + """SELECT 'method      n       nem' AS line UNION ALL SELECT '-----------------------' UNION ALL SELECT format('{:<6} {:>6} {:>9.4f}', method, count(*), round(avg(nem), 6)) FROM F GROUP BY method""")
 def report_table(spark: SparkSession, d: str) -> DataFrame:
-    rows = E.summary(Q.scored(spark, d), "method").select("method", F.col("n_evaluated").alias("n"), "nem").orderBy("method")
-    return spark.createDataFrame([(x,) for x in files.report_lines(rows, {"method": 6, "n": 6, "nem": 9})], "line string")
+    """A report of fixed width under its heading."""
+    rows, widths = E.summary(Q.scored(spark, d), "method").select("method", F.col("n_evaluated").alias("n"), "nem"), {"method": 6, "n": 6, "nem": 9}
+    head = spark.range(1).select(F.explode(F.array(*map(F.lit, files.report_head(rows, widths)))).alias("line"))
+    return head.unionByName(files.report_rows(rows, widths).select("line"))
 
 
 # connectors

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import DecimalType, FractionalType, NumericType
 
 from statweave.functions import text as T
 from statweave.session import cut_lineage
@@ -222,18 +222,37 @@ def write_graph(chunks: DataFrame, entities: DataFrame, relationships: DataFrame
     return counts
 
 
-def report_lines(df: DataFrame, widths: dict[str, int], decimals: int = 4) -> list[str]:
-    """A table of fixed width, for aggregates: a heading, a rule, and a line for each row in df's order. Numbers stand
-    to the right."""
-    names = list(widths)
+def _columns(df: DataFrame, widths: dict[str, int]) -> dict[str, str]:
+    """Each column's conversion: numbers stand to the right."""
     number = {f.name for f in df.schema if isinstance(f.dataType, NumericType)}
+    return {n: f"%{w}s" if n in number else f"%-{w}s" for n, w in widths.items()}
+
+
+def report_head(df: DataFrame, widths: dict[str, int]) -> list[str]:
+    """A report's heading and the rule below it."""
+    head = " ".join(form % n for n, form in _columns(df, widths).items())
+    return [head, "-" * len(head)]
+
 
-    def cell(name: str, value: object) -> str:
-        text = "-" if value is None else f"{value:.{decimals}f}" if isinstance(value, float) else str(value)
-        return f"{text:>{widths[name]}}" if name in number else f"{text[: widths[name]]:<{widths[name]}}"
+def report_rows(df: DataFrame, widths: dict[str, int], decimals: int = 4) -> DataFrame:
+    """df with line: the row in columns of fixed width. Nulls are a dash, fractions have so many decimals, longer texts
+    are cut, longer numbers aren't."""
+    kinds = {f.name: f.dataType for f in df.schema}
 
-    head = " ".join(f"{n:>{widths[n]}}" if n in number else f"{n:<{widths[n]}}" for n in names)
-    return [head, "-" * len(head), *(" ".join(cell(n, r[n]) for n in names) for r in df.select(*names).collect())]
+    def cell(name: str) -> Column:
+        value = F.col(f"`{name}`")
+        if isinstance(kinds[name], FractionalType) and not isinstance(kinds[name], DecimalType):
+            value = F.format_string(f"%.{decimals}f", T.half_even(value.cast("double"), decimals))
+        elif not isinstance(kinds[name], NumericType):
+            value = F.substring(value.cast("string"), 1, widths[name])
+        return F.when(F.col(f"`{name}`").isNull(), "-").otherwise(value.cast("string"))
+
+    return df.withColumn("line", F.format_string(" ".join(_columns(df, widths).values()), *map(cell, widths)))
+
+
+def report_lines(df: DataFrame, widths: dict[str, int], decimals: int = 4) -> list[str]:
+    """A whole report, for aggregates: heading, rule, and df's rows in their order."""
+    return report_head(df, widths) + [r.line for r in report_rows(df, widths, decimals).select("line").collect()]
 
 
 def index_where(spark: SparkSession, path: str, condition: str | Column, limit: int | None = None, order: str = "id") -> DataFrame:
