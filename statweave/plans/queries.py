@@ -203,9 +203,10 @@ C AS (SELECT doc_id, entity, norm, trim(regexp_replace(regexp_replace(replace(k,
 
 @query(with_(KEYS) + "SELECT key, count(*) AS n, count(DISTINCT entity) AS variants FROM C GROUP BY key")
 def canonical_key_groups(spark: SparkSession, d: str) -> DataFrame:
-    """How many texts have each key, and in how many variants, which are told apart by a digest."""
-    rows = X.table(spark, d, "documents").select(T.canonical_key(F.col("text")).alias("key"), F.sha2("text", 256).alias("variant"))
-    return rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("variant").alias("variants"))
+    """How many texts have each key, and in how many variants. Equal texts are counted together first, so each is
+    normalised once, by the tasks of a shuffle, however few row groups there are."""
+    texts = X.table(spark, d, "documents").groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+    return texts.groupBy(T.canonical_key(F.col("text")).alias("key")).agg(F.sum("n").alias("n"), F.count("text").alias("variants"))
 
 
 VARIANTS = """
