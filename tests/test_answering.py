@@ -75,3 +75,17 @@ def test_error_classes_of_texts_and_answers(spark):
     gold = spark.createDataFrame([(1, "q", ["42"])], "id long, question string, gold_numbers array<string>")
     got = {r.category: (r.n, r.fraction) for r in E.error_taxonomy(rows, gold).collect()}
     assert got == {"correct": (1, 0.2), "hallucination_despite_injection": (1, 0.2), "injection_failure": (1, 0.2), "retrieval_failure": (1, 0.2)}
+
+
+def test_gold_is_never_broadcast(spark):
+    """Gold that looks small by its files is joined by a shuffle, in parts that are not joined up again."""
+    gold = spark.range(50).selectExpr("id", "concat('q', id) as question", "array(cast(id as string)) as gold_numbers")
+    rows = spark.range(150).selectExpr("concat('q', id % 50) as question", "cast(id % 50 as string) as answer", "'m' as method", "cast(id as double) as latency_ms", "id as tokens")
+    joined = E.with_gold(rows, gold)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 150 and joined.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert "Broadcast" not in plan(joined)
+    # of the rows' side and the groups' side only the groups may be
+    assert "BuildLeft" not in plan(E.percentile_index(rows.limit(5), ["method"], "latency_ms", 0.95, "p"))
+    got = E.summary(joined, "method").first()
+    assert (got.n_evaluated, got.nem, got.latency_p95_ms) == (150, 1.0, 142.0)
