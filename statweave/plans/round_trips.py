@@ -38,13 +38,19 @@ def corpus_file(spark: SparkSession, d: str) -> DataFrame:
     return files.flat_sentences(files.corpus(spark, path)).select("topic", F.col("pos").cast("long").alias("pos"), "sentence")
 
 
+def block_bytes(size: int, least: int = 16 << 10, most: int = 256) -> int:
+    """Bytes of a block where a file of that size is cut into as many as most, or into blocks of at least so many bytes."""
+    return max(least, -(-size // most))
+
+
 @query(with_(X.TRIPLES) + "SELECT CAST(tid AS VARCHAR) AS tid, subject, object FROM T")
 def json_object(spark: SparkSession, d: str) -> DataFrame:
-    """Rows as one JSON object, written by many tasks and read in blocks of a few kilobytes, with entries over their ends."""
+    """Rows as one JSON object, written by many tasks and read in blocks of a few kilobytes, with entries over their ends.
+    Of large objects the blocks are larger instead of more."""
     path, key = shared_path(spark, "object-"), "spark.sql.files.maxPartitionBytes"
     json_entries.write_object(X.triples(spark, d), F.col("tid"), F.struct("subject", "object"), path)
     kept = spark.conf.get(key)
-    spark.conf.set(key, "16k")
+    spark.conf.set(key, str(block_bytes(files.size(spark, path))))
     try:
         return cut_lineage(json_entries.object_of(spark, path, "struct<subject: string, object: string>")).select(F.col("key").alias("tid"), "value.subject", "value.object")
     finally:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from statweave.operators import nearest as N
 from statweave.operators import retrieval as R
+from statweave.plans import round_trips
+from statweave.sources import files
 from statweave.sources import json_entries as J
 
 
@@ -155,3 +157,9 @@ def test_one_large_file_is_read_by_many_tasks(spark, tmp_path):
         assert J.object_of(spark, str(path), "struct<sentences: array<string>>").agg(F.count_distinct("key"), F.sum(F.size("value.sentences"))).first()[:] == (n, 2 * n)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
+def test_large_objects_are_read_in_larger_blocks(spark, tmp_path):
+    assert [round_trips.block_bytes(n) for n in (0, 1, 1 << 22, 1 << 30)] == [16 << 10, 16 << 10, 16 << 10, 4 << 20]
+    spark.range(100).selectExpr("repeat('x', 99) as value").write.text(str(tmp_path / "a"))
+    assert files.size(spark, str(tmp_path / "a")) == 10_000
