@@ -18,6 +18,8 @@ from statweave.sources.services import Throttle, retried
 
 Page = Callable[[str, str | None], tuple[list[str], str | None]]
 Lookup = Callable[[list[str]], list[tuple[str, str]]]
+#: Rows that are handed on together, at least, except the last.
+ROWS_OUT = 1000
 ROWS = "key string, item string, position long, error string"
 
 
@@ -26,13 +28,25 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "item", "position", "error"])
 
 
+def _tables(answers: Iterator[list[tuple]]) -> Iterator[pa.RecordBatch]:
+    """The rows of many answers together: a batch for each would cost more than the answer."""
+    rows: list[tuple] = []
+    for some in answers:
+        rows += some
+        if len(rows) >= ROWS_OUT:
+            yield _table(rows)
+            rows = []
+    if rows:
+        yield _table(rows)
+
+
 def paged(keys: DataFrame, column: str, call: Page, calls: int = 30, seconds: float = 60.0, tries: int = 4, wait: float = 1.0, callers: int = 1) -> DataFrame:
     """Every item of each distinct key's listing, followed over all pages: key, item, position, error. A key that
     fails keeps the items of its earlier pages and has one more row with the error. The budget of calls is the whole
     job's: it is shared out among so many callers, each a task."""
     callers = max(1, min(callers, calls))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         throttle = Throttle(calls // callers, seconds)
         for batch in batches:
             for key in batch.column(0).to_pylist():
@@ -40,13 +54,15 @@ def paged(keys: DataFrame, column: str, call: Page, calls: int = 30, seconds: fl
                 while more:
                     got, error = retried(lambda of, t=token: (throttle.wait(), [call(of[0], t)])[1], [key], tries, wait)
                     if error:
-                        yield _table([(key, None, None, error)])
+                        yield [(key, None, None, error)]
                         break
                     items, token = got[0]
-                    if items:
-                        yield _table([(key, x, position + i, None) for i, x in enumerate(items)])
+                    yield [(key, x, position + i, None) for i, x in enumerate(items)]
                     position, more = position + len(items), token is not None
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _tables(pages(batches))
+
     return _distinct(keys, column, callers).mapInArrow(run, ROWS)
 
 
@@ -55,16 +71,17 @@ def looked_up(keys: DataFrame, column: str, call: Lookup, batch: int = 50, calls
     one row with the error; a key without items has none. The budget is shared out as in paged."""
     callers = max(1, min(callers, calls))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         throttle = Throttle(calls // callers, seconds)
         for part in batches:
             names = part.column(0).to_pylist()
             for at in range(0, len(names), batch):
                 asked = names[at : at + batch]
                 got, error = retried(lambda keys: (throttle.wait(), call(keys))[1], asked, tries, wait)
-                rows = [(k, x, i, None) for i, (k, x) in enumerate(got or [])] if not error else [(k, None, None, error) for k in asked]
-                if rows:
-                    yield _table(rows)
+                yield [(k, x, i, None) for i, (k, x) in enumerate(got or [])] if not error else [(k, None, None, error) for k in asked]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _tables(answers(batches))
 
     return _distinct(keys, column, callers).mapInArrow(run, ROWS)
 

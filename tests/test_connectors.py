@@ -56,3 +56,8 @@ def test_throttled_items_go_out_one_by_one():
 def test_listings_without_keys(spark):
     none = spark.createDataFrame([], "k string")
     assert remote.paged(none, "k", wiki.CategoryMembers(wiki.Api("http://wiki/api", lambda url: (500, b"")))).count() == 0
+
+
+def test_rows_of_many_answers_go_on_together():
+    got = [b.num_rows for b in remote._tables(iter([[("k", str(i), i, None)] for i in range(2500)] + [[]]))]
+    assert got == [1000, 1000, 500] and not list(remote._tables(iter([[], []])))
