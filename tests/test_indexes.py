@@ -86,6 +86,27 @@ def test_index_finds_the_nearest(spark, tmp_path):
     assert N.search(asked, path, 5).count() == len(found)  # the old index stays
 
 
+def test_tasks_hand_on_only_the_nearest(spark, tmp_path, monkeypatch):
+    """However many lists and blocks a task reads, by codes or by vectors, and in blocks of queries too."""
+    rng = np.random.default_rng(3)
+    index = [(i, rng.normal(size=8).tolist()) for i in range(600)] + [(1000 + i, [1.0] + [0.0] * 7) for i in range(300)]
+    queries = [(i, index[i][1]) for i in range(0, 900, 45)]
+    df, asked, path = frame(spark, index, "id"), frame(spark, queries, "qid"), str(tmp_path / "index")
+    model = N.build(df, path)
+
+    class Held:
+        value = (np.arange(20), R._unit(np.array([v for _, v in queries])), np.ones((20, len(model.centroids)), bool))
+
+    for cells, by in (("codes", model), ("vectors", None)):
+        batches = spark.read.parquet(f"{path}/postings").select("list", "ids", F.col(cells).alias("cells")).toArrow().to_batches(4)
+        assert sum(b.num_rows for b in N._meet(Held, by, 7)(iter(batches))) == 20 * 7
+    for most in (8192, 6):
+        monkeypatch.setattr(N, "QUERIES", most)
+        got = {(r.qid, r.id, r["rank"]) for r in N.search(asked, path, 5, shortlist=None).collect()}
+        assert got == plain(queries, index, 5)
+    assert N.search(asked.limit(0), path, 5).count() == 0
+
+
 def test_index_is_the_same_for_any_split(spark):
     rows = frame(spark, [(i, np.random.default_rng(i).normal(size=8).tolist()) for i in range(300)], "id")
     a, b = N.train(rows.repartition(1)), N.train(rows.repartition(7))
