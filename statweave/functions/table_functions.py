@@ -69,6 +69,7 @@ class StatisticalSentences:
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the functions known to the session's SQL; their rows are those of the columns' functions."""
+    """Makes the functions known to the session's SQL; their rows are those of the columns' functions. They go to Python
+    pickled: with Arrow each input row's few output rows would be a table of their own, which costs more than they do."""
     for name, f in (("numbers_in", NumbersIn), ("statistical_sentences", StatisticalSentences)):
-        spark.udtf.register(name, udtf(f, returnType=None, useArrow=True))
+        spark.udtf.register(name, udtf(f, returnType=None, useArrow=False))

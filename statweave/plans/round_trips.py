@@ -538,6 +538,11 @@ def jsonl_file(spark: SparkSession, d: str) -> DataFrame:
 
 
 # table functions
+def spread(rows: DataFrame) -> DataFrame:
+    """rows in as many parts as the session's shuffles have: a small file of many rows is one task's otherwise."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 @query(Q.ORACLES["extract_numbers_docs"])
 def numbers_lateral(spark: SparkSession, d: str) -> DataFrame:
     table_functions.register(spark)
@@ -547,7 +552,7 @@ def numbers_lateral(spark: SparkSession, d: str) -> DataFrame:
 @query(Q.ORACLES["stat_sentence_filter"])
 def sentences_lateral(spark: SparkSession, d: str) -> DataFrame:
     table_functions.register(spark)
-    return spark.sql("SELECT id, sentence FROM {prose}, LATERAL statistical_sentences(text)", prose=X.prose(spark, d))
+    return spark.sql("SELECT id, sentence FROM {prose}, LATERAL statistical_sentences(text)", prose=X.prose(spark, d).transform(spread))
 
 
 # streams

@@ -16,6 +16,7 @@ from statweave.functions import text as T
 from statweave.operators import retrieval as R
 from statweave.operators import skyline as Y
 from statweave.operators import triples as K
+from statweave.plans import round_trips
 from statweave.sources import services as V
 from statweave.streaming import once
 
@@ -150,3 +151,10 @@ def test_rounding_is_that_of_exact_binary_values(spark, places):
     rows = spark.createDataFrame([(float(v),) for v in values], "x double")
     for r in rows.select("x", T.half_even(F.col("x"), places).alias("y")).toLocalIterator():
         assert r.y == (round(r.x, places) if np.isfinite(r.x) else r.x), r.x
+
+
+def test_lateral_rows_are_spread_over_tasks(spark):
+    one = spark.range(100).coalesce(1).selectExpr("id", "'The unit weighs about 12 kg in all, as its makers say, or more.' as text")
+    table_functions.register(spark)
+    many = spark.sql("SELECT id, spark_partition_id() AS part FROM {rows}, LATERAL statistical_sentences(text)", rows=round_trips.spread(one)).collect()
+    assert len(many) == 100 and len({r.part for r in many}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
