@@ -87,6 +87,22 @@ def _within(both: DataFrame, labels: DataFrame) -> DataFrame:
     return both.where("src <> dst").join(of("src"), "src").join(of("dst"), "dst").where("c_src = c_dst").select("src", "dst", "w")
 
 
+def _followed(both: DataFrame, resolution: float) -> DataFrame:
+    """node, community: of a node with one neighbour that neighbour, of two that have only each other the lesser, else the
+    node itself. At resolutions over 1 it may be better alone, and nobody follows."""
+    near = both.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("near"))
+    if resolution > 1:
+        return near.select("node", F.col("node").alias("community"))
+    pairs = both.groupBy(F.col("dst").alias("near")).agg((F.count(F.lit(1)) == 1).alias("alone"))
+    return near.join(pairs, "near").select("node", F.when(F.col("n") > 1, F.col("node")).when(F.col("alone"), F.least("node", "near")).otherwise(F.col("near")).alias("community"))
+
+
+def _merged(both: DataFrame, labels: DataFrame) -> DataFrame:
+    """The weighted edges between communities; those inside one are its loop."""
+    of = lambda end: labels.select(F.col("node").alias(end), F.col("community").alias(f"c_{end}"))
+    return both.join(of("src"), "src").join(of("dst"), "dst").groupBy(F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).agg(F.sum("w").alias("w"))
+
+
 def _settled(both: DataFrame, labels: DataFrame, weight: float, rounds: int, resolution: float) -> DataFrame:
     """labels (node, community, degree) after rounds of moves, or fewer if two in a row move nothing."""
     still = 0
@@ -107,11 +123,16 @@ def modularity_communities(edges: DataFrame, levels: int = 10, rounds: int = 12,
     undone and ends the search, and communities that aren't connected are split at last, which can only raise it.
     Deterministic; node, community.
 
-    Loops and parallel edges are dropped; an empty table gives an empty result. Every step is a join or a grouped sum;
-    the driver sees a few numbers for each round."""
+    Where most nodes have one neighbour, those go with it from the start, as they do in a best partition (up to resolution
+    1), and the search is among the others. Where few do, that would save little, and they move like all. Loops and parallel edges are dropped; an empty table gives an empty result. Every
+    step is a join or a grouped sum; the driver sees a few numbers for each round."""
     edges = cut_lineage(weighted(edges))
     # written, as columns known to be equal keep the optimiser busy
-    both, nodes = edges, cut_lineage(edges.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node")))
+    follows = cut_lineage(_followed(edges, resolution))
+    if 2 * follows.where("node <> community").count() < follows.count():
+        follows = follows.select("node", F.col("node").alias("community"))
+    both = edges_between = cut_lineage(_merged(edges, follows))
+    nodes = cut_lineage(follows.select(F.col("community").alias("node")).distinct().withColumn("community", F.col("node")))
     weight = both.agg(F.sum("w")).first()[0]
     found = members = begun = nodes
     score = modularity(both, found, resolution).first().modularity
@@ -135,10 +156,11 @@ def modularity_communities(edges: DataFrame, levels: int = 10, rounds: int = 12,
             parts = labels.select("node", F.col("community").alias("part"))
             begun = cut_lineage(parts.select(F.col("part").alias("node")).distinct().withColumn("community", F.col("node")))
         members = cut_lineage(members.join(parts.select(F.col("node").alias("community"), "part"), "community").select("node", F.col("part").alias("community")))
-        of = lambda end: parts.select(F.col("node").alias(end), F.col("part").alias(f"c_{end}"))  # noqa: E731, B023
-        both = cut_lineage(both.join(of("src"), "src").join(of("dst"), "dst").groupBy(F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).agg(F.sum("w").alias("w")))
-    # a community that isn't connected is worth less than its parts
-    return connected_parts(_within(edges, found), nodes).withColumnRenamed("part", "community")
+        both = cut_lineage(_merged(both, parts.withColumnRenamed("part", "community")))
+    # a community that isn't connected is worth less than its parts; it is called by its least node
+    parts = connected_parts(_within(edges_between, found), nodes).withColumnRenamed("node", "community")
+    whole = cut_lineage(follows.join(parts, "community").select("node", "part"))
+    return whole.join(whole.groupBy("part").agg(F.min("node").alias("community")), "part").select("node", "community")
 
 
 def community_table(members: DataFrame, most: int = 20) -> DataFrame:

@@ -474,8 +474,8 @@ def later_first(spark: SparkSession, d: str) -> DataFrame:
 @query(with_(Q.ALL_EDGES) + ", X AS (SELECT src AS node FROM G UNION SELECT dst FROM G) SELECT count(*) AS nodes, true AS better_than_labels, true AS whole FROM X")
 def modularity_bounds(spark: SparkSession, d: str) -> DataFrame:
     """Greedy communities cover all nodes and are more modular than propagated labels."""
-    edges = Q.all_edges(spark, d)
-    both, found = G.weighted(edges), A.cut_lineage(G.modularity_communities(edges))
+    edges = cut_lineage(Q.all_edges(spark, d))
+    both, found = cut_lineage(G.weighted(edges)), cut_lineage(G.modularity_communities(edges))
     own, other = (G.modularity(both, labels).first().modularity for labels in (found, G.propagate_labels(edges, 2)))
     return found.agg(F.count(F.lit(1)).alias("nodes"), F.lit(bool(own > max(other, 0.5))).alias("better_than_labels"), (F.count(F.lit(1)) == F.count_distinct("node")).alias("whole"))
 

@@ -78,3 +78,18 @@ def test_no_community_falls_apart(spark):
         assert reached(edges, min(own), own) == own
     assert len({label[i] for i in range(5)}) == len({label[i] for i in range(10, 15)}) == 1 and label[0] != label[10]
     assert G.modularity_communities(spark.createDataFrame([], "src string, dst string")).count() == 0
+
+
+def test_leaves_follow_their_neighbour(spark):
+    """Nodes with one neighbour are merged into it before the search, pairs among themselves; weights stay whole."""
+    edges = [(0, 1), (1, 2), (0, 2), *[(i, 10 + 5 * i + j) for i in range(3) for j in range(5)], (40, 41)]
+    both = G.weighted(edge_frame(spark, edges))
+    follows = G._followed(both, 1.0)
+    got = {int(r.node[1:]): int(r.community[1:]) for r in follows.collect()}
+    assert got == {n: n if n < 3 else 40 if n >= 40 else (n - 10) // 5 for e in edges for n in e}
+    merged = {(r.src, r.dst): r.w for r in G._merged(both, follows).collect()}
+    assert merged == {(a, b): 10.0 if a == b else 1.0 for a in ("n00", "n01", "n02") for b in ("n00", "n01", "n02")} | {("n40", "n40"): 2.0}
+    assert all(r.node == r.community for r in G._followed(both, 1.5).collect())
+    label = {int(r.node[1:]): r.community for r in G.modularity_communities(edge_frame(spark, edges)).collect()}
+    assert sorted(label) == sorted({n for e in edges for n in e}) and all(label[n] == label[got[n]] for n in label)
+    assert all(c == f"n{min(n for n in label if label[n] == c):02d}" for c in label.values())
