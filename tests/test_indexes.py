@@ -184,3 +184,10 @@ def test_large_objects_are_read_in_larger_blocks(spark, tmp_path):
     assert [round_trips.block_bytes(n) for n in (0, 1, 1 << 22, 1 << 30)] == [16 << 10, 16 << 10, 16 << 10, 4 << 20]
     spark.range(100).selectExpr("repeat('x', 99) as value").write.text(str(tmp_path / "a"))
     assert files.size(spark, str(tmp_path / "a")) == 10_000
+
+
+def test_equal_ids_have_a_stated_place(spark):
+    """Rows of one tid are numbered by what else the order states, whatever order they come in."""
+    rows = spark.range(200).selectExpr("id div 2 as tid", "cast(1 - id % 2 as int) as side", "concat('s', id) as subject", "'R' as relation", "'1' as object", "'t' as source_topic")
+    got = {(r.id, r.subject) for r in files.index_rows(rows.repartition(7, "subject"), F.lit("d"), "tid", "side").collect()}
+    assert got == {(f"t_{2 * tid + side}", f"s{2 * tid + 1 - side}") for tid in range(100) for side in (0, 1)}
