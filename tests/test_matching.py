@@ -30,6 +30,17 @@ def test_containment_by_brute_force(spark, seed):
     assert I.containment(items.limit(0), docs, "item", "needle", "doc", "text").count() == I.containment(items, docs.limit(0), "item", "needle", "doc", "text").count() == 0
 
 
+def test_characters_are_looked_at_once_for_each_word(spark, monkeypatch):
+    """Short needles are looked for by characters in the different words of all texts, not in every text."""
+    seen, plain = [], I._by_grams
+    monkeypatch.setattr(I, "_by_grams", lambda needles, texts: (seen.append(sorted(r.text for r in texts.collect())), plain(needles, texts))[1])
+    docs = spark.range(50).selectExpr("id as doc", "concat('the lake of', repeat(' the', int(id)), if(id = 7, ' lakes', '')) as text")
+    items = spark.createDataFrame([(0, "ake"), (1, "e l"), (2, "of"), (3, "akes"), (4, " "), (5, "he the"), (6, "zz"), (7, " of the"), (8, "e of t"), (9, "e zz t"), (10, "lake of the the the")], "item int, needle string")
+    got = Counter(r.item for r in I.containment(items, docs, "item", "needle", "doc", "text").collect())
+    assert got == {0: 50, 1: 50, 2: 50, 3: 1, 4: 50, 5: 48, 7: 49, 8: 49, 10: 47}
+    assert sorted(map(len, seen)) == [4, 50] and ["lake", "lakes", "of", "the"] in seen  # all texts for the long needle alone
+
+
 @pytest.mark.parametrize("kind", ["binary", "tenths", "real"])
 def test_bootstrap_of_any_score(spark, kind):
     rng = np.random.default_rng(3)
