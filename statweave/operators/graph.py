@@ -194,10 +194,14 @@ def relationships(statistical: DataFrame, structural: DataFrame) -> DataFrame:
 
 
 def membership_facts(entities: DataFrame, units: DataFrame, most: int = 3) -> DataFrame:
-    """entities (entity) and text units (unit, text, entity_ids): the first units that name each entity."""
-    named = units.select("unit", "text", F.explode("entity_ids").alias("entity"))
-    rank = F.row_number().over(Window.partitionBy("entity").orderBy("unit"))
-    return entities.select("entity").distinct().join(named, "entity").withColumn("rank", rank.cast("long")).where(F.col("rank") <= most)
+    """entities (entity) and text units (unit, text, entity_ids): the first units that name each entity.
+
+    Units are ranked before entities are looked up, so the join has a few rows for each, and in as many parts as the
+    session states, which adaptive execution doesn't join up again: a task sorts a small share of what is named."""
+    parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = units.select(F.explode("entity_ids").alias("entity"), "unit", "text").repartition(parts, "entity")
+    first = named.withColumn("rank", F.row_number().over(Window.partitionBy("entity").orderBy("unit"))).where(F.col("rank") <= most)
+    return first.join(entities.select("entity").distinct().hint("merge"), "entity", "left_semi").withColumn("rank", F.col("rank").cast("long"))
 
 
 def community_facts(members: DataFrame, triples: DataFrame, first_members: int = 10, each: int = 3, most: int = 15, entities: DataFrame | None = None, described: int = 5) -> DataFrame:

@@ -93,3 +93,13 @@ def test_leaves_follow_their_neighbour(spark):
     label = {int(r.node[1:]): r.community for r in G.modularity_communities(edge_frame(spark, edges)).collect()}
     assert sorted(label) == sorted({n for e in edges for n in e}) and all(label[n] == label[got[n]] for n in label)
     assert all(c == f"n{min(n for n in label if label[n] == c):02d}" for c in label.values())
+
+
+def test_units_are_ranked_in_parts_that_stay_apart(spark):
+    """Units are ranked by many small tasks before entities are looked up, which are never broadcast."""
+    units = spark.range(40).selectExpr("id as unit", "concat('u', id) as text", "array(id % 3, id % 5 + 10, cast(null as bigint)) as entity_ids")
+    entities = spark.createDataFrame([(0,), (0,), (2,), (14,), (99,), (None,)], "entity long")
+    found = G.membership_facts(entities, units)
+    assert {(r.entity, r.unit, r.text, r["rank"]) for r in found.collect()} == {(e, u, f"u{u}", i + 1) for e, us in ((0, (0, 3, 6)), (2, (2, 5, 8)), (14, (4, 9, 14))) for i, u in enumerate(us)}
+    assert found.count() == 9 and found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
