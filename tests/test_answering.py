@@ -89,3 +89,22 @@ def test_gold_is_never_broadcast(spark):
     assert "BuildLeft" not in plan(E.percentile_index(rows.limit(5), ["method"], "latency_ms", 0.95, "p"))
     got = E.summary(joined, "method").first()
     assert (got.n_evaluated, got.nem, got.latency_p95_ms) == (150, 1.0, 142.0)
+
+
+def test_parts_of_the_gold_join_grow_with_the_rows(spark, monkeypatch):
+    """However many rows there are on either side, a task of the join, and of what is worked out from it, holds few."""
+    gold = spark.range(50).selectExpr("id", "concat('q', id) as question", "array(cast(id as string)) as gold_numbers")
+    rows = spark.range(150).selectExpr(
+        "concat('q', id % 50) as question", "concat('m', id % 3) as method", "cast(id % 50 as string) as answer", "if(id % 10 = 0, 'e', null) as error", "array(concat('has ', id % 50), 'and 7') as retrieved"
+    )
+    session = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    few = sorted(map(str, E.with_gold(rows, gold).collect()))
+    summary = sorted(map(str, E.attribution_summary(E.with_gold(rows, gold), "method").collect()))
+    monkeypatch.setattr(E, "PART_ROWS", 10)
+    joined = E.with_gold(rows, gold)
+    assert joined.rdd.getNumPartitions() == 15 > session and sorted(map(str, joined.collect())) == few
+    assert E.with_gold(rows.limit(5), gold).rdd.getNumPartitions() == 5 > session  # more gold than results
+    assert E.with_gold(rows.limit(0), gold.limit(0)).count() == 0
+    found = E.attribution_summary(joined, "method")
+    assert "hashpartitioning(question#" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", 15)" in plan
+    assert sorted(map(str, found.collect())) == summary
