@@ -108,3 +108,14 @@ def test_parts_of_the_gold_join_grow_with_the_rows(spark, monkeypatch):
     found = E.attribution_summary(joined, "method")
     assert "hashpartitioning(question#" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", 15)" in plan
     assert sorted(map(str, found.collect())) == summary
+
+
+def test_error_classes_are_counted_in_small_parts(spark, monkeypatch):
+    """Shares are of all results, matched or not, and no other join is needed for their number."""
+    gold = spark.range(50).selectExpr("id", "concat('q', id) as question", "array(cast(id as string)) as gold_numbers")
+    rows = spark.range(200).selectExpr("concat('q', id % 100) as question", "cast(id % 100 as string) as answer", "array(concat('has ', id)) as retrieved")
+    monkeypatch.setattr(E, "PART_ROWS", 10)
+    found = E.error_taxonomy(rows, gold)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(question#" in plan and ", 20)" in plan and "Broadcast" not in plan and "NestedLoop" not in plan
+    assert [tuple(r) for r in found.collect()] == [("correct", 100, 0.5)]
